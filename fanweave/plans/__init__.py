@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fanweave.session import ship_package
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -19,12 +16,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; ``sql`` gives the same rows on the same tables."""
 
     def register(fn: Query) -> Query:
-        @wraps(fn)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
-            return fn(spark, sf_dir)
-
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 
@@ -65,20 +63,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="fanweave-package-")
-    context.addPyFile(
-        shutil.make_archive(f"{folder}/fanweave", "zip", root, os.path.basename(os.path.dirname(
-            os.path.abspath(__file__))))
-    )
-    _shipped.add(context.applicationId)

@@ -84,10 +84,10 @@ class Gather(StatefulProcessor):
     def _merge_first(self, rows: Iterator[pd.DataFrame]) -> list[tuple]:
         """Earliest value per slot, one frame at a time; needs no order of the frames."""
         for frame in rows:
-            frame = frame.sort_values("_seq", kind="stable").drop_duplicates("_slot")
-            slots = frame["_slot"].to_numpy(dtype=np.int64)
-            seqs = frame["_seq"].to_numpy(dtype=np.int64)
-            values = frame["_value"].to_numpy(dtype=np.float64)
+            frame = frame.sort_values("msg_seq", kind="stable").drop_duplicates("msg_slot")
+            slots = frame["msg_slot"].to_numpy(dtype=np.int64)
+            seqs = frame["msg_seq"].to_numpy(dtype=np.int64)
+            values = frame["msg_value"].to_numpy(dtype=np.float64)
             better = (self.seqs[slots] == EMPTY) | (seqs < self.seqs[slots])
             self.seqs[slots[better]] = seqs[better]
             self.vals[slots[better]] = values[better]
@@ -100,10 +100,10 @@ class Gather(StatefulProcessor):
         frames = [f for f in rows if len(f)]
         if not frames:
             return []
-        batch = pd.concat(frames).sort_values("_seq", kind="stable")
+        batch = pd.concat(frames).sort_values("msg_seq", kind="stable")
         fired: list[tuple] = []
         seq = EMPTY
-        for slot, value, seq in zip(batch["_slot"], batch["_value"], batch["_seq"]):
+        for slot, value, seq in zip(batch["msg_slot"], batch["msg_value"], batch["msg_seq"]):
             if self.dup == "last" or self.seqs[slot] == EMPTY:
                 self.vals[slot], self.seqs[slot] = value, seq
             self.arrived += 1
@@ -124,7 +124,7 @@ class Gather(StatefulProcessor):
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
-        yield frame.sort_values("_seq", kind="stable").drop_duplicates(["_id", "_slot"])
+        yield frame.sort_values("msg_seq", kind="stable").drop_duplicates(["msg_id", "msg_slot"])
 
 
 def fan_in_stream(
@@ -152,8 +152,8 @@ def fan_in_stream(
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     id_type = df.schema[id].dataType
     messages = df.filter(F.col(id).isNotNull() & F.col(slot).between(0, n - 1)).select(
-        F.col(id).alias("_id"), F.col(slot).cast("int").alias("_slot"),
-        F.col(value).cast("double").alias("_value"), F.col(seq).cast("bigint").alias("_seq"),
+        F.col(id).alias("msg_id"), F.col(slot).cast("int").alias("msg_slot"),
+        F.col(value).cast("double").alias("msg_value"), F.col(seq).cast("bigint").alias("msg_seq"),
     )
     if complete == "distinct" and dup == "first" and once:
         messages = messages.mapInPandas(_combine, messages.schema)
@@ -165,7 +165,7 @@ def fan_in_stream(
             StructField("vector", VECTOR),
         ]
     )
-    return messages.groupBy("_id").transformWithStateInPandas(
+    return messages.groupBy("msg_id").transformWithStateInPandas(
         Gather(id, n, dup, complete, fill, ttl_ms, once),
         outputStructType=output,
         outputMode="Append",
