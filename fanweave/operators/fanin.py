@@ -7,6 +7,8 @@ the arrivals of an id. Options:
 * ``complete``: a vector is complete when its ``distinct`` slots reach ``n``, or
   when the ``arrivals`` reach ``n``, repeated slots included. With arrivals, every
   further ``n`` messages complete another cycle and older values stay in place.
+* ``cycles``: with distinct slots, only the ``first`` completion of an id or ``all``;
+  after a completion the id starts again without values.
 * ``fill``: value of a slot that is missing on completion (arrivals only).
 * ``ttl``: only messages less than ``ttl`` after the id's first one count.
 
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fanweave.operators.cycles import distinct_cycles
 from fanweave.operators.skew import HOT_ROWS, attach_per_key, hot_keys, is_hot
 from fanweave.session import stage
 
@@ -47,14 +50,14 @@ def micros_of(ts: str) -> Column:
 def fan_in(
     df: DataFrame, id: str, slot: str, value: str, seq: str, n: int,
     dup: str = "first", complete: str = "distinct", fill: float | None = None,
-    ttl: float | None = None, ttl_col: str | None = None, hot_rows: int = HOT_ROWS,
+    cycles: str = "first", ttl: float | None = None, ttl_col: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Completed vectors of every id; see the module text for the options.
-
-    With ``complete="distinct"`` the first completion of each id is returned.
-    """
+    """Completed vectors of every id; see the module text for the options."""
     if dup not in ("first", "last") or complete not in ("distinct", "arrivals"):
         raise ValueError("dup is 'first' or 'last', complete is 'distinct' or 'arrivals'")
+    if cycles not in ("first", "all"):
+        raise ValueError("cycles is 'first' or 'all'")
     names = ["_id", "_slot", "_value", "_seq"]
     columns = [F.col(c).alias(a) for c, a in zip([id, slot, value, seq], names)]
     if ttl is not None:
@@ -64,13 +67,16 @@ def fan_in(
     if complete == "distinct":
         messages = df.filter(in_range).select(*columns).filter(F.col("_id").isNotNull())
 
-    needs_hot = ttl is not None or complete == "arrivals" or dup == "last"
+    repeated = complete == "distinct" and cycles == "all"
+    needs_hot = ttl is not None or complete == "arrivals" or (dup == "last" and not repeated)
     hot = hot_keys(messages, "_id", hot_rows) if needs_hot else []
     if ttl is not None:
         messages = _live(messages, "_id", "_at", ttl, hot).drop("_at")
 
     if complete == "arrivals":
         result = _arrivals(messages, n, dup, fill, hot)
+    elif repeated:
+        result = distinct_cycles(messages, n, dup)
     elif dup == "first":
         result = _distinct_first(messages, n)
     else:

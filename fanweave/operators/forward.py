@@ -4,8 +4,8 @@ Three physical forms of one layer give the same numbers:
 
 * ``arrow``: numpy matrix products on Arrow batches, the model as a broadcast
   variable. No shuffle. The default.
-* ``hof``: higher-order functions on arrays, JVM only, the layer as a broadcast
-  row. No shuffle.
+* ``hof``: higher-order functions on arrays, JVM only, each layer a constant from a
+  scalar subquery. No join and no shuffle.
 * ``long``: one row per (image, input, neuron) product and a partial aggregate;
   one shuffle per layer. It alone works without broadcasting, so it also
   serves models above the size limit.
@@ -30,6 +30,9 @@ from fanweave.functions.vectors import argmax, dot, softmax
 #: largest model, in bytes of weights, that may be broadcast
 BROADCAST_LIMIT = 256 * 1024 * 1024
 
+#: what a neuron needs to compute; sorted by its first field
+UNIT = ("neuron", "weights", "bias", "activation", "is_final")
+
 def model_bytes(neurons: DataFrame) -> int:
     """Size of the weights and biases; one small aggregate."""
     size = neurons.agg(F.sum((F.size("weights") + 1) * F.lit(8)).alias("bytes")).first()
@@ -74,11 +77,15 @@ def fan_out(
 ) -> DataFrame:
     """Send every row to every neuron of a layer: work for a layer meets its neurons.
 
-    The output is rows x neurons by definition of the operator.
+    The output is rows x neurons by definition of the operator. A layer of checked
+    size is exploded from a constant, so no rows move; a larger one is joined.
     """
+    model = route(neurons, layer).select(*UNIT)
+    if fits_broadcast(model, limit):
+        work = images.withColumn("_unit", F.explode(_units(neurons, layer)))
+        return work.select(*images.columns, F.lit(layer).alias("layer"), "_unit.*")
     work = images.withColumn("layer", F.lit(layer))
-    model = route(neurons, layer).drop("neuron_count")
-    return _join_model(work, model, ["layer"], id, fits_broadcast(model, limit))
+    return _join_model(work, model.withColumn("layer", F.lit(layer)), ["layer"], id, small=False)
 
 
 # --- shared by all forms ---------------------------------------------------------------------
@@ -105,10 +112,14 @@ def _scalar(z: Column, activation: Column, is_final: Column, unknown: str, soft:
 # --- higher-order-function form --------------------------------------------------------------
 
 
-def _layer_rows(neurons: DataFrame) -> DataFrame:
-    """One row per layer with its neurons in order; size bounded by the model."""
-    unit = F.struct("neuron", "weights", "bias", "activation", "is_final")
-    return neurons.groupBy("layer").agg(F.sort_array(F.collect_list(unit)).alias("units"))
+def _units(neurons: DataFrame, layer: int) -> Column:
+    """The neurons of one layer in order, as a constant array in every row.
+
+    A scalar subquery: the layer is read once and needs no join. Only for a layer
+    of checked size.
+    """
+    listed = F.sort_array(F.collect_list(F.struct(*UNIT)))
+    return route(neurons, layer).agg(listed.alias("units")).scalar()
 
 
 def _unit_output(unknown: str, soft: bool) -> Callable[[Column], Column]:
@@ -120,13 +131,11 @@ def _unit_output(unknown: str, soft: bool) -> Callable[[Column], Column]:
 
 
 def _hof_forward(images: DataFrame, neurons: DataFrame, unknown: str) -> DataFrame:
-    layer_rows = _layer_rows(neurons)
     columns = images.columns
     for layer, soft in _layer_plan(neurons):
-        outputs = F.transform("units", _unit_output(unknown, soft))
+        outputs = F.transform("_units", _unit_output(unknown, soft))
         images = (
-            images.withColumn("layer", F.lit(layer))
-            .join(F.broadcast(layer_rows), "layer")
+            images.withColumn("_units", _units(neurons, layer))
             .withColumn("features", softmax(outputs) if soft else outputs)
             .select(*columns)
         )

@@ -221,6 +221,43 @@ def q_fan_in_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slots(done).drop("cycle")
 
 
+CYCLES_SQL = f"""WITH RECURSIVE {MESSAGES_SQL},
+ends AS (
+  SELECT id, seq, CASE WHEN count(next) = {N} THEN max(next) END AS done
+  FROM (SELECT id, seq, k,
+               min(CASE WHEN slot = k THEN seq END)
+                 OVER (PARTITION BY id, k ORDER BY seq
+                       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next
+        FROM m, range({N}) AS s(k))
+  GROUP BY id, seq
+),
+cycles AS (
+  SELECT id, CAST(0 AS BIGINT) AS cycle, seq AS start, done FROM ends
+  WHERE seq = 1 AND done IS NOT NULL
+  UNION ALL
+  SELECT e.id, c.cycle + 1, e.seq, e.done FROM cycles c
+  JOIN ends e ON e.id = c.id AND e.seq = c.done + 1 WHERE e.done IS NOT NULL
+)
+SELECT c.id, c.cycle, any_value(d.event_id) AS completed_event, m.slot,
+       PICK(m.value, m.seq) AS value
+FROM cycles c JOIN m ON m.id = c.id AND m.seq BETWEEN c.start AND c.done
+JOIN m d ON d.id = c.id AND d.seq = c.done
+GROUP BY c.id, c.cycle, m.slot"""
+
+
+@query("fan_in_cycles", CYCLES_SQL.replace("PICK", "arg_min"))
+def q_fan_in_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every completion by distinct slots, the first write of a slot counting."""
+    df = messages(spark, sf_dir)
+    return _slots(fan_in(df, "id", "slot", "value", "seq", N, cycles="all"))
+
+
+@query("fan_in_cycles_last", CYCLES_SQL.replace("PICK", "arg_max"))
+def q_fan_in_cycles_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = messages(spark, sf_dir)
+    return _slots(fan_in(df, "id", "slot", "value", "seq", N, dup="last", cycles="all"))
+
+
 ARRIVALS_SQL = f"""
 filled AS (
   SELECT id, event_id, seq, k AS slot,
@@ -254,7 +291,7 @@ def q_fan_in_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_fan_in_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slots(
-        fan_in(messages(spark, sf_dir), "id", "slot", "value", "seq", N, "last", "arrivals", 0.0)
+        fan_in(messages(spark, sf_dir), "id", "slot", "value", "seq", N, "last", "arrivals", fill=0.0)
     )
 
 
