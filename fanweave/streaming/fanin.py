@@ -138,7 +138,7 @@ def fan_in_stream(
     an id; otherwise the next message opens a new cycle. ``complete`` may also be
     ``batch_arrivals``: arrivals are counted once per micro-batch, so a cycle can
     take more than ``n``. ``ttl_ms`` drops the state of an id that got no message
-    for that long.
+    for that long; such a query runs until it is stopped, so start it with a trigger.
 
     First write, distinct slots and ``once`` do not depend on the order inside a
     batch; repeats are then dropped before the shuffle, so a hot id sends a few rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,15 +71,33 @@ def start(
     return writer.format(format).start(path)
 
 
-def drain(query: StreamingQuery, timeout: float | None = None) -> bool:
-    """Wait for the end of a query; after ``timeout`` seconds stop it. True if it ended."""
-    if timeout is None:
+def drain(
+    query: StreamingQuery, timeout: float | None = None, idle: float | None = None
+) -> bool:
+    """Wait for the end of a query; True if it ended by itself.
+
+    It is stopped after ``timeout`` seconds, or when no row came in for ``idle``
+    seconds. A stream with a state time-to-live needs one of the two and a trigger:
+    it keeps running to expire state, also without input.
+    """
+    if timeout is None and idle is None:
         query.awaitTermination()
         return True
-    ended = query.awaitTermination(timeout)
-    if not ended:
-        query.stop()
-    return ended
+    began = busy = time.monotonic()
+    last_batch = None
+    while not query.awaitTermination(1):
+        now = time.monotonic()
+        progress = query.lastProgress
+        if query.status["isTriggerActive"] and progress is None:
+            busy = now
+        elif progress and progress["numInputRows"] and progress["batchId"] != last_batch:
+            last_batch, busy = progress["batchId"], now
+        if (timeout is not None and now - began >= timeout) or (
+            idle is not None and now - busy >= idle
+        ):
+            query.stop()
+            return False
+    return True
 
 
 def as_messages(df: DataFrame, partition_by: str | None = None) -> DataFrame:

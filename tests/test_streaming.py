@@ -113,7 +113,11 @@ def test_wrong_stream_options(spark, tmp_path):
 def test_state_with_a_time_to_live_runs(spark, tmp_path):
     put(tmp_path, 0, [(1, 0, 1.0, 0), (1, 1, 2.0, 1)])
     df = fan_in_stream(stream(spark, tmp_path), "id", "slot", "value", "seq", 2, ttl_ms=60_000)
-    assert run(spark, df) == {(1, 0, 1, (1.0, 2.0))}
+    path = new_path(spark, "ttl-test")
+    query = start(df, f"{path}-c", path=f"{path}-out", trigger="500 milliseconds")
+    assert drain(query, timeout=90, idle=4) is False
+    rows = spark.read.schema(df.schema).parquet(f"{path}-out").collect()
+    assert [(r.id, r.vector) for r in rows] == [(1, [1.0, 2.0])]
 
 
 def keyed(folder, *rows):
