@@ -98,26 +98,39 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     )
 
 
-def distinct_cycles(messages: DataFrame, n: int, dup: str) -> DataFrame:
-    """``(_id, cycle, _done, vector)`` of every completed cycle.
+def _vectors(
+    slots: np.ndarray, values: np.ndarray, starts: list[int], ends: list[int], n: int, dup: str
+) -> np.ndarray:
+    """First or last value of every slot in each of the full cycles ``starts .. ends``."""
+    matrix = np.empty((len(starts), n))
+    for k in range(n):
+        rows = np.flatnonzero(slots == k)
+        if dup == "first":
+            matrix[:, k] = values[rows[np.searchsorted(rows, starts)]]
+        else:
+            matrix[:, k] = values[rows[np.searchsorted(rows, ends, side="right") - 1]]
+    return matrix
+
+
+def distinct_cycles(messages: DataFrame, order: list[str], n: int, dup: str) -> DataFrame:
+    """``_id``, ``cycle``, ``vector`` and the ``order`` columns of every completing message.
 
-    ``messages`` has ``_id, _slot, _value, _seq`` with slots ``0 .. n-1`` and no two
-    equal ``_seq`` of an id.
+    ``messages`` has ``_id, _slot, _value`` and the ``order`` columns, with slots
+    ``0 .. n-1``; no two messages of an id are equal in ``order``.
     """
     shared_dir(messages.sparkSession)
+    keys = ["_id", *order]
     parts = (
-        messages.select("_id", "_slot", "_value", "_seq")
-        .repartitionByRange("_id", "_seq")
-        .sortWithinPartitions("_id", "_seq")
+        messages.select(*keys, "_slot", "_value")
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
         .checkpoint()
     )
-    id_field, seq_field = parts.schema["_id"], parts.schema["_seq"]
-    starts = _starts(parts, n, dup, id_field, seq_field)
+    key_fields = [parts.schema[k] for k in keys]
     # at most two rows per partition
-    opened = parts.join(F.broadcast(starts), ["_id", "_seq"], "left")
+    opened = parts.join(F.broadcast(_starts(parts, n, dup, key_fields)), keys, "left")
     output = T.StructType(
-        [id_field, T.StructField("cycle", T.LongType()),
-         T.StructField("_done", seq_field.dataType), T.StructField("vector", VECTOR)]
+        [*key_fields, T.StructField("cycle", T.LongType()), T.StructField("vector", VECTOR)]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,41 +139,49 @@ def distinct_cycles(messages: DataFrame, n: int, dup: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             ids, slots, values = _columns(batch)
-            ends = completions(slots, n)
-            done_rows, done_cycles, vectors = [], [], []
+            ends = completions(slots, n).tolist()
+            handed = np.asarray(batch.column("_cycle").is_valid())
+            starts, stops, cycles = [], [], []
+            joined_stops, joined_cycles, joined = [], [], []
             for lo, hi in _segments(ids):
                 if ids[lo] != current:
                     current, held, cycle = ids[lo], {}, 0
-                    if batch.column("_cycle")[lo].is_valid:
+                    if handed[lo]:
                         cycle = batch.column("_cycle")[lo].as_py()
                         held = dict(zip(batch.column("_open")[lo].as_py(),
                                         batch.column("_open_values")[lo].as_py()))
                 start = lo
-                while start < hi:
-                    if held:
-                        end = _first_end(slots[start:hi], held, n) + start
-                    else:
-                        end = int(ends[start])
-                    if end >= hi:
-                        new = _open_slots(slots[start:hi], values[start:hi], dup)
-                        held = _merge(held, new, dup)
-                        break
-                    last = end + 1
-                    new = _open_slots(slots[start:last], values[start:last], dup)
-                    full = _merge(held, new, dup)
-                    vectors.append([full[k] for k in range(n)])
-                    done_rows.append(end)
-                    done_cycles.append(cycle)
-                    held, cycle, start = {}, cycle + 1, last
-            rows = pa.array(done_rows, type=pa.int64())
+                if held:
+                    stop = _first_end(slots[lo:hi], held, n) + lo
+                    new = _open_slots(slots[lo:min(stop + 1, hi)], values[lo:stop + 1], dup)
+                    held = _merge(held, new, dup)
+                    if stop < hi:
+                        joined.append([held[k] for k in range(n)])
+                        joined_stops.append(stop)
+                        joined_cycles.append(cycle)
+                        held, cycle = {}, cycle + 1
+                    start = min(stop + 1, hi)
+                while start < hi and ends[start] < hi:
+                    starts.append(start)
+                    stops.append(ends[start])
+                    cycles.append(cycle)
+                    cycle, start = cycle + 1, ends[start] + 1
+                # only the last id of the batch can go on
+                if start < hi == len(ids):
+                    held = _open_slots(slots[start:hi], values[start:hi], dup)
+            vectors = np.concatenate([
+                np.array(joined, dtype=np.float64).reshape(-1, n),
+                _vectors(slots, values, starts, stops, n, dup),
+            ])
+            rows = pa.array([*joined_stops, *stops], type=pa.int64())
+            offsets = pa.array(np.arange(0, vectors.size + 1, n, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("_id").take(rows),
-                    pa.array(done_cycles, type=pa.int64()),
-                    batch.column("_seq").take(rows),
-                    pa.array(vectors, type=pa.list_(pa.float64())),
+                    *[batch.column(k).take(rows) for k in keys],
+                    pa.array([*joined_cycles, *cycles], type=pa.int64()),
+                    pa.ListArray.from_arrays(offsets, pa.array(vectors.reshape(-1))),
                 ],
-                names=["_id", "cycle", "_done", "vector"],
+                names=[*keys, "cycle", "vector"],
             )
 
     return opened.mapInArrow(scan, output)
@@ -175,13 +196,13 @@ def _first_end(slots: np.ndarray, held: dict[int, float], n: int) -> int:
 
 
 def _starts(
-    parts: DataFrame, n: int, dup: str, id_field: T.StructField, seq_field: T.StructField
+    parts: DataFrame, n: int, dup: str, key_fields: list[T.StructField]
 ) -> DataFrame:
     """The open cycle at an id's first row in every partition that goes on with it."""
+    keys = [f.name for f in key_fields]
     effects = T.StructType(
         [
-            id_field,
-            seq_field,
+            *key_fields,
             T.StructField("order", INTS),
             T.StructField("seen", VECTOR),
             T.StructField("counts", T.ArrayType(T.LongType())),
@@ -202,13 +223,12 @@ def _starts(
         current, is_first, kept = None, True, []
 
         def effect() -> pa.RecordBatch:
-            slots = np.concatenate([s for _, _, s, _ in kept])
-            values = np.concatenate([v for _, _, _, v in kept])
+            slots = np.concatenate([s for _, s, _ in kept])
+            values = np.concatenate([v for _, _, v in kept])
             result = _effect(slots, values, n, dup)
-            keys = [kept[0][0], kept[0][1]]
-            columns = keys + [pa.array([result[f.name]], type=f.type) for f in arrow_effects]
+            columns = [pa.array([result[f.name]], type=f.type) for f in arrow_effects]
             return pa.RecordBatch.from_arrays(
-                columns, names=["_id", "_seq", *[f.name for f in arrow_effects]]
+                kept[0][0] + columns, names=[*keys, *[f.name for f in arrow_effects]]
             )
 
         for batch in batches:
@@ -221,22 +241,23 @@ def _starts(
                         yield effect()
                     is_first, kept = False, []
                 current = ids[lo]
-                kept.append((batch.column("_id").slice(lo, 1), batch.column("_seq").slice(lo, 1),
-                             slots[lo:hi], values[lo:hi]))
+                if is_first or hi == len(ids):  # the others end here
+                    at = [] if kept else [batch.column(k).slice(lo, 1) for k in keys]
+                    kept.append((at, slots[lo:hi], values[lo:hi]))
         if kept:
             yield effect()
 
     starts = T.StructType(
-        [id_field, seq_field, T.StructField("_cycle", T.LongType()), T.StructField("_open", INTS),
+        [*key_fields, T.StructField("_cycle", T.LongType()), T.StructField("_open", INTS),
          T.StructField("_open_values", VECTOR)]
     )
 
     def follow(frame: pd.DataFrame) -> pd.DataFrame:
         """Hand the open cycle of one id from partition to partition; a row per partition."""
         held, cycle, out = {}, 0, []
-        for row in frame.sort_values("_seq").itertuples(index=False, name=None):
-            id, seq, order, seen, counts, exit_slots, exit_values = row
-            out.append((id, seq, cycle, list(held), list(held.values())))
+        for row in frame.sort_values(keys[1:]).itertuples(index=False, name=None):
+            order, seen, counts, exit_slots, exit_values = row[len(keys):]
+            out.append((*row[:len(keys)], cycle, list(held), list(held.values())))
             missing = set(range(n)) - set(held)
             if missing <= set(order):
                 at = max(j for j, k in enumerate(order) if k in missing)

@@ -1,7 +1,8 @@
 """Keyed fan-in: gather slot-indexed values of an id into one vector.
 
-Input rows are ``(id, slot, value, seq)``, where ``seq`` is a number that orders
-the arrivals of an id. Options:
+Input rows are ``(id, slot, value, seq)``, where ``seq`` orders the arrivals of an
+id: one number column, or a time and a tie-break column. Two columns are compared as
+they are in sorts, and packed into one number for aggregates. Options:
 
 * ``dup``: the ``first`` or the ``last`` write of a slot counts.
 * ``complete``: a vector is complete when its ``distinct`` slots reach ``n``, or
@@ -48,7 +49,7 @@ def micros_of(ts: str) -> Column:
 
 
 def fan_in(
-    df: DataFrame, id: str, slot: str, value: str, seq: str, n: int,
+    df: DataFrame, id: str, slot: str, value: str, seq: str | tuple[str, str], n: int,
     dup: str = "first", complete: str = "distinct", fill: float | None = None,
     cycles: str = "first", ttl: float | None = None, ttl_col: str | None = None,
     hot_rows: int = HOT_ROWS,
@@ -58,15 +59,17 @@ def fan_in(
         raise ValueError("dup is 'first' or 'last', complete is 'distinct' or 'arrivals'")
     if cycles not in ("first", "all"):
         raise ValueError("cycles is 'first' or 'all'")
-    names = ["_id", "_slot", "_value", "_seq"]
-    columns = [F.col(c).alias(a) for c, a in zip([id, slot, value, seq], names)]
+    by = [seq] if isinstance(seq, str) else list(seq)
+    order = [f"_o{i}" for i in range(len(by))]
+    columns = [
+        F.col(c).alias(a)
+        for c, a in zip([id, slot, value, *by], ["_id", "_slot", "_value", *order])
+    ]
     if ttl is not None:
-        columns.append(F.col(ttl_col or seq).alias("_at"))
-    in_range = F.col(slot).between(0, n - 1)
-    messages = df.select(*columns).filter(F.col("_id").isNotNull())
+        columns.append(F.col(ttl_col or by[0]).alias("_at"))
     if complete == "distinct":
-        messages = df.filter(in_range).select(*columns).filter(F.col("_id").isNotNull())
-
+        df = df.filter(F.col(slot).between(0, n - 1))
+    messages = df.select(*columns).filter(F.col("_id").isNotNull())
     repeated = complete == "distinct" and cycles == "all"
     needs_hot = ttl is not None or complete == "arrivals" or (dup == "last" and not repeated)
     hot = hot_keys(messages, "_id", hot_rows) if needs_hot else []
@@ -74,18 +77,24 @@ def fan_in(
         messages = _live(messages, "_id", "_at", ttl, hot).drop("_at")
 
     if complete == "arrivals":
-        result = _arrivals(messages, n, dup, fill, hot)
+        result = _arrivals(messages, order, n, dup, fill, hot)
     elif repeated:
-        result = distinct_cycles(messages, n, dup)
-    elif dup == "first":
-        result = _distinct_first(messages, n)
+        result = distinct_cycles(messages, order, n, dup)
     else:
-        result = _distinct_last(messages, n, hot)
+        packed = messages.withColumn("_seq", _packed(order)).drop(*order)
+        pick = _distinct_first(packed, n) if dup == "first" else _distinct_last(packed, n, hot)
+        return pick.select(
+            F.col("_id").alias(id), "cycle", F.col("_done").alias("completed_seq"), "vector"
+        )
     return result.select(
-        F.col("_id").alias(id), "cycle", F.col("_done").alias("completed_seq"), "vector"
+        F.col("_id").alias(id), "cycle", _packed(order).alias("completed_seq"), "vector"
     )
 
 
+def _packed(order: list[str]) -> Column:
+    return F.col(order[0]) if len(order) == 1 else arrival_seq(*[F.col(c) for c in order])
+
+
 def within_ttl(
     df: DataFrame, id: str, at: str, ttl: float, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -238,21 +247,21 @@ def _distinct_last(messages: DataFrame, n: int, hot: list) -> DataFrame:
 
 
 def _arrivals(
-    messages: DataFrame, n: int, dup: str, fill: float | None, hot: list
+    messages: DataFrame, order: list[str], n: int, dup: str, fill: float | None, hot: list
 ) -> DataFrame:
     if dup != "last":
         raise ValueError("counting arrivals overwrites slots: use dup='last'")
-    by_arrival = W.partitionBy("_id").orderBy("_seq")
+    by_arrival = W.partitionBy("_id").orderBy(*order)
     cold = messages if not hot else messages.filter(~is_hot("_id", hot))
     ranked = cold.withColumn("_rank", (F.row_number().over(by_arrival) - 1).cast("bigint"))
-    result = _cycles(ranked, n, fill, spans=False)
+    result = _cycles(ranked, order, n, fill, spans=False)
     if hot:
-        apart = _rank_spread(messages.filter(is_hot("_id", hot)))
-        result = result.unionByName(_cycles(apart, n, fill, spans=True))
+        apart = _rank_spread(messages.filter(is_hot("_id", hot)), order)
+        result = result.unionByName(_cycles(apart, order, n, fill, spans=True))
     return result
 
 
-def _rank_spread(messages: DataFrame) -> DataFrame:
+def _rank_spread(messages: DataFrame, order: list[str]) -> DataFrame:
     """``_rank`` of every message within its id, for ids too large for one task.
 
     The rows are range-partitioned by id and arrival, which cuts a hot id into
@@ -261,7 +270,7 @@ def _rank_spread(messages: DataFrame) -> DataFrame:
     and part.
     """
     parts = stage(
-        messages.repartitionByRange("_id", "_seq").withColumn("_part", F.spark_partition_id()),
+        messages.repartitionByRange("_id", *order).withColumn("_part", F.spark_partition_id()),
         "fan-in",
     )
     before = W.partitionBy("_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -270,7 +279,7 @@ def _rank_spread(messages: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select("_id", "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
     )
-    in_part = W.partitionBy("_id", "_part").orderBy("_seq")
+    in_part = W.partitionBy("_id", "_part").orderBy(*order)
     return (
         parts.join(totals, ["_id", "_part"])
         .withColumn("_rank", F.col("_base") + F.row_number().over(in_part) - 1)
@@ -278,43 +287,44 @@ def _rank_spread(messages: DataFrame) -> DataFrame:
     )
 
 
-def _cycles(ranked: DataFrame, n: int, fill: float | None, spans: bool) -> DataFrame:
+def _cycles(
+    ranked: DataFrame, order: list[str], n: int, fill: float | None, spans: bool
+) -> DataFrame:
     """Vectors of all full cycles: last value per slot, older cycles showing through.
 
     Cycles have ``n`` messages each, so grouping by cycle spreads a hot id; with
     ``spans`` the forward fill is cut into spans too.
     """
     cycle = F.expr(f"`_rank` div {int(n)}").alias("cycle")
-    rows = ranked.select("_id", cycle, "_slot", "_value", "_seq")
-    per_cycle = _latest_in_cycle(rows, n)
+    rows = ranked.select("_id", cycle, "_slot", "_value", "_rank", *order)
+    per_cycle = _latest_in_cycle(rows, order, n)
     slots = [f"_v{k}" for k in range(n)]
     filled = _fill_spans(per_cycle, slots) if spans else _fill_forward(per_cycle, slots, "_id")
     cells = [F.col(c) if fill is None else F.coalesce(F.col(c), F.lit(float(fill))) for c in slots]
     return filled.filter(F.col("_rows") == n).select(
-        "_id", "cycle", "_done", F.array(*cells).alias("vector")
+        "_id", "cycle", *order, F.array(*cells).alias("vector")
     )
 
 
-def _latest_in_cycle(rows: DataFrame, n: int) -> DataFrame:
-    """``_rows``, ``_done`` and the last value of each slot in every cycle."""
+def _latest_in_cycle(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """``_rows``, the last message's ``order`` and the last value of each slot in a cycle."""
+    done = [F.max_by(c, "_rank").alias(c) for c in order]
     if n <= WIDE_SLOTS:
         latest = [
-            F.max_by("_value", F.when(F.col("_slot") == k, F.col("_seq"))).alias(f"_v{k}")
+            F.max_by("_value", F.when(F.col("_slot") == k, F.col("_rank"))).alias(f"_v{k}")
             for k in range(n)
         ]
-        return rows.groupBy("_id", "cycle").agg(
-            F.count(F.lit(1)).alias("_rows"), F.max("_seq").alias("_done"), *latest
-        )
+        return rows.groupBy("_id", "cycle").agg(F.count(F.lit(1)).alias("_rows"), *done, *latest)
     per_slot = rows.groupBy("_id", "cycle", "_slot").agg(
-        F.count(F.lit(1)).alias("c"), F.max("_seq").alias("s"),
-        F.max_by("_value", "_seq").alias("v"),
+        F.count(F.lit(1)).alias("c"), *done, F.max("_rank").alias("_rank"),
+        F.max_by("_value", "_rank").alias("v"),
     )
     by_slot = F.map_from_entries(F.collect_list(F.struct("_slot", "v")))
     return (
         per_slot.groupBy("_id", "cycle")
-        .agg(F.sum("c").alias("_rows"), F.max("s").alias("_done"), by_slot.alias("m"))
+        .agg(F.sum("c").alias("_rows"), *done, by_slot.alias("m"))
         .select(
-            "_id", "cycle", "_rows", "_done",
+            "_id", "cycle", "_rows", *order,
             *[F.col("m")[F.lit(k)].alias(f"_v{k}") for k in range(n)],
         )
     )

@@ -19,6 +19,7 @@ from fanweave.operators.parsing import bad_rows, lookup_values, parse_messages,
 from fanweave.operators.rows import chunk, global_id, with_row_id
 from fanweave.plans import query
 from fanweave.plans.tables import (
+    ARRIVAL,
     CELLS_SQL,
     MESSAGES_SQL,
     SLOTS,
@@ -203,7 +204,7 @@ def _slots(result: DataFrame) -> DataFrame:
     FROM firsts f JOIN done d ON f.id = d.id JOIN m e ON e.id = d.id AND e.seq = d.done""",
 )
 def q_fan_in_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = fan_in(messages(spark, sf_dir), "id", "slot", "value", "seq", N)
+    done = fan_in(messages(spark, sf_dir), "id", "slot", "value", ARRIVAL, N)
     return _slots(done).drop("cycle")
 
 
@@ -217,7 +218,7 @@ GROUP BY m.id, m.slot"""
 
 @query("fan_in_last", LAST_SQL)
 def q_fan_in_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = fan_in(messages(spark, sf_dir), "id", "slot", "value", "seq", N, dup="last")
+    done = fan_in(messages(spark, sf_dir), "id", "slot", "value", ARRIVAL, N, dup="last")
     return _slots(done).drop("cycle")
 
 
@@ -249,13 +250,13 @@ GROUP BY c.id, c.cycle, m.slot"""
 def q_fan_in_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every completion by distinct slots, the first write of a slot counting."""
     df = messages(spark, sf_dir)
-    return _slots(fan_in(df, "id", "slot", "value", "seq", N, cycles="all"))
+    return _slots(fan_in(df, "id", "slot", "value", ARRIVAL, N, cycles="all"))
 
 
 @query("fan_in_cycles_last", CYCLES_SQL.replace("PICK", "arg_max"))
 def q_fan_in_cycles_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = messages(spark, sf_dir)
-    return _slots(fan_in(df, "id", "slot", "value", "seq", N, dup="last", cycles="all"))
+    return _slots(fan_in(df, "id", "slot", "value", ARRIVAL, N, dup="last", cycles="all"))
 
 
 ARRIVALS_SQL = f"""
@@ -280,7 +281,7 @@ cycles AS (
 def q_fan_in_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cycle of n arrivals; a slot never written is null."""
     return _slots(
-        fan_in(messages(spark, sf_dir), "id", "slot", "value", "seq", N, "last", "arrivals")
+        fan_in(messages(spark, sf_dir), "id", "slot", "value", ARRIVAL, N, "last", "arrivals")
     )
 
 
@@ -291,7 +292,7 @@ def q_fan_in_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_fan_in_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slots(
-        fan_in(messages(spark, sf_dir), "id", "slot", "value", "seq", N, "last", "arrivals", fill=0.0)
+        fan_in(messages(spark, sf_dir), "id", "slot", "value", ARRIVAL, N, "last", "arrivals", fill=0.0)
     )
 
 
@@ -311,7 +312,7 @@ live AS (
 )
 def q_fan_in_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fan_in(
-        messages(spark, sf_dir), "id", "slot", "value", "seq", N, ttl=TTL_MICROS, ttl_col="at"
+        messages(spark, sf_dir), "id", "slot", "value", ARRIVAL, N, ttl=TTL_MICROS, ttl_col="at"
     )
     return _slots(done).drop("cycle")
 
@@ -336,7 +337,7 @@ def q_fan_in_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {MESSAGES_SQL}, {ARRIVALS_SQL} SELECT DISTINCT id, cycle FROM cycles",
 )
 def q_fan_in_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = fan_in(messages(spark, sf_dir), "id", "slot", "value", "seq", N, "last", "arrivals")
+    done = fan_in(messages(spark, sf_dir), "id", "slot", "value", ARRIVAL, N, "last", "arrivals")
     return completed_ids(done, "id")
 
 
@@ -380,7 +381,7 @@ def q_fan_in_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_pending_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of ids that did not complete in time; the state of the rest is dropped."""
     df = messages(spark, sf_dir)
-    finished = fan_in(df, "id", "slot", "value", "seq", N, ttl=TTL_MICROS, ttl_col="at")
+    finished = fan_in(df, "id", "slot", "value", ARRIVAL, N, ttl=TTL_MICROS, ttl_col="at")
     return pending(df.select("event_id", "id"), finished, "id")
 
 

@@ -12,6 +12,8 @@ from fanweave.operators.fanin import arrival_seq, micros_of
 WIDTHS = (64, 32, 10)
 #: event types in slot order; fixed values
 SLOTS = ("click", "error", "purchase", "signup", "view")
+#: columns that order the arrivals
+ARRIVAL = ("at", "event_id")
 #: three days in microseconds
 TTL_MICROS = 3 * 24 * 3600 * 1_000_000
 
@@ -73,7 +75,10 @@ def formula_neurons(spark: SparkSession) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as partial outputs: ``(event_id, id, slot, value, seq, at)``."""
+    """Events as partial outputs: ``(event_id, id, slot, value, at, seq)``.
+
+    ``(at, event_id)`` orders the arrivals; ``seq`` is the same as one number.
+    """
     return as_partial_outputs(table(spark, sf_dir, "events"))
 
 
