@@ -116,7 +116,8 @@ def distinct_cycles(messages: DataFrame, order: list[str], n: int, dup: str) ->
     """``_id``, ``cycle``, ``vector`` and the ``order`` columns of every completing message.
 
     ``messages`` has ``_id, _slot, _value`` and the ``order`` columns, with slots
-    ``0 .. n-1``; no two messages of an id are equal in ``order``.
+    ``0 .. n-1``; no two messages of an id are equal in ``order``, whose columns are
+    numbers.
     """
     shared_dir(messages.sparkSession)
     keys = ["_id", *order]
@@ -127,29 +128,34 @@ def distinct_cycles(messages: DataFrame, order: list[str], n: int, dup: str) ->
         .checkpoint()
     )
     key_fields = [parts.schema[k] for k in keys]
-    # at most two rows per partition
-    opened = parts.join(F.broadcast(_starts(parts, n, dup, key_fields)), keys, "left")
+    handed_on = F.size("_open") + F.col("_cycle") > 0
+    # at most one row per partition: the open cycle of the id it shares with the one before
+    opened = {
+        tuple(row[k] for k in keys): (row["_cycle"], dict(zip(row["_open"], row["_open_values"])))
+        for row in _starts(parts, n, dup, key_fields).filter(handed_on).collect()
+    }
+    shared = messages.sparkSession.sparkContext.broadcast(opened)
     output = T.StructType(
         [*key_fields, T.StructField("cycle", T.LongType()), T.StructField("vector", VECTOR)]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, cycle = None, {}, 0
+        is_first = True
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, slots, values = _columns(batch)
             ends = completions(slots, n).tolist()
-            handed = np.asarray(batch.column("_cycle").is_valid())
+            if is_first:
+                first = tuple(batch.column(k)[0].as_py() for k in keys)
+                cycle, held = shared.value.get(first, (0, {}))
+                current, is_first = ids[0], False
             starts, stops, cycles = [], [], []
             joined_stops, joined_cycles, joined = [], [], []
             for lo, hi in _segments(ids):
                 if ids[lo] != current:
                     current, held, cycle = ids[lo], {}, 0
-                    if handed[lo]:
-                        cycle = batch.column("_cycle")[lo].as_py()
-                        held = dict(zip(batch.column("_open")[lo].as_py(),
-                                        batch.column("_open_values")[lo].as_py()))
                 start = lo
                 if held:
                     stop = _first_end(slots[lo:hi], held, n) + lo
@@ -184,7 +190,7 @@ def distinct_cycles(messages: DataFrame, order: list[str], n: int, dup: str) ->
                 names=[*keys, "cycle", "vector"],
             )
 
-    return opened.mapInArrow(scan, output)
+    return parts.mapInArrow(scan, output)
 
 
 def _first_end(slots: np.ndarray, held: dict[int, float], n: int) -> int:
