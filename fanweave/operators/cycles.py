@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fanweave.schemas import VECTOR
-from fanweave.session import shared_dir
+from fanweave.session import pin
 
 INTS = T.ArrayType(T.IntegerType())
 
@@ -119,13 +119,11 @@ def distinct_cycles(messages: DataFrame, order: list[str], n: int, dup: str) ->
     ``0 .. n-1``; no two messages of an id are equal in ``order``, whose columns are
     numbers.
     """
-    shared_dir(messages.sparkSession)
     keys = ["_id", *order]
-    parts = (
+    parts = pin(
         messages.select(*keys, "_slot", "_value")
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .checkpoint()
     )
     key_fields = [parts.schema[k] for k in keys]
     handed_on = F.size("_open") + F.col("_cycle") > 0

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +30,9 @@ from fanweave.functions.vectors import argmax, dot, softmax
 #: largest model, in bytes of weights, that may be broadcast
 BROADCAST_LIMIT = 256 * 1024 * 1024
 
+#: a weight as a row of a broadcast table takes about this many times its eight bytes
+ROW_OVERHEAD = 8
+
 #: what a neuron needs to compute; sorted by its first field
 UNIT = ("neuron", "weights", "bias", "activation", "is_final")
 
@@ -51,24 +54,22 @@ def route(df: DataFrame, layer: int, column: str = "layer") -> DataFrame:
     return df.filter(F.col(column) == layer)
 
 
-def _salts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _join_model(
-    rows: DataFrame, model: DataFrame, keys: list[str], id: str, small: bool
+    rows: DataFrame, model: DataFrame, key: str, values: int, id: str, small: bool
 ) -> DataFrame:
-    """Equi-join rows with the model on a key of few values.
+    """Equi-join rows with the model on a key that has only ``values`` values.
 
-    A small model is broadcast. Otherwise each key holds a large share of the
-    rows, so rows are spread over salts and the model is repeated once per salt.
+    A small model is broadcast. Otherwise each value holds a large share of the
+    rows, so rows are spread over just enough salts to use all shuffle partitions,
+    and the model is repeated once per salt.
     """
     if small:
-        return rows.join(F.broadcast(model), keys)
-    salts = _salts(rows)
+        return rows.join(F.broadcast(model), key)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, -(-partitions // max(1, values)))
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64(id), F.lit(salts)).cast("int"))
     copies = model.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*keys, "_salt"]).drop("_salt")
+    return spread.join(copies, [key, "_salt"]).drop("_salt")
 
 
 def fan_out(
@@ -85,23 +86,25 @@ def fan_out(
         work = images.withColumn("_unit", F.explode(_units(neurons, layer)))
         return work.select(*images.columns, F.lit(layer).alias("layer"), "_unit.*")
     work = images.withColumn("layer", F.lit(layer))
-    return _join_model(work, model.withColumn("layer", F.lit(layer)), ["layer"], id, small=False)
+    return _join_model(work, model.withColumn("layer", F.lit(layer)), "layer", 1, id, small=False)
 
 
 # --- shared by all forms ---------------------------------------------------------------------
 
 
-def _layer_plan(neurons: DataFrame) -> list[tuple[int, bool]]:
-    """The layers in order, each with whether it is a hidden softmax layer."""
-    soft = ((F.col("activation") == "softmax") & ~F.col("is_final")).cast("int")
-    plan = []
-    for row in neurons.groupBy("layer").agg(
-        F.coalesce(F.sum(soft), F.lit(0)).alias("soft"), F.count(F.lit(1)).alias("nodes")
-    ).collect():
+def _layer_plan(neurons: DataFrame) -> list[Row]:
+    """The layers in order: ``layer``, ``soft`` (a hidden softmax layer), ``nodes``, ``width``."""
+    is_soft = (F.col("activation") == "softmax") & ~F.col("is_final")
+    plan = neurons.groupBy("layer").agg(
+        F.count(F.when(is_soft, 1)).alias("soft"),
+        F.count(F.lit(1)).alias("nodes"),
+        F.max(F.size("weights")).alias("width"),
+    )
+    layers = sorted(plan.collect(), key=lambda row: row["layer"])
+    for row in layers:
         if row["soft"] not in (0, row["nodes"]):
             raise ValueError(f"layer {row['layer']}: softmax must cover the whole layer")
-        plan.append((row["layer"], row["soft"] > 0))
-    return sorted(plan)
+    return layers
 
 
 def _scalar(z: Column, activation: Column, is_final: Column, unknown: str, soft: bool) -> Column:
@@ -132,7 +135,8 @@ def _unit_output(unknown: str, soft: bool) -> Callable[[Column], Column]:
 
 def _hof_forward(images: DataFrame, neurons: DataFrame, unknown: str) -> DataFrame:
     columns = images.columns
-    for layer, soft in _layer_plan(neurons):
+    for plan in _layer_plan(neurons):
+        layer, soft = plan["layer"], plan["soft"] > 0
         outputs = F.transform("_units", _unit_output(unknown, soft))
         images = (
             images.withColumn("_units", _units(neurons, layer))
@@ -150,17 +154,18 @@ def _long_forward(
 ) -> DataFrame:
     """``(id, slot, x)`` rows of the last layer of ``neurons``."""
     long = _to_long(images, id)
-    for layer, soft in _layer_plan(neurons):
+    for plan in _layer_plan(neurons):
+        layer, soft = plan["layer"], plan["soft"] > 0
         here = route(neurons, layer)
         weights = here.select("neuron", F.posexplode("weights").alias("slot", "w"))
         facts = here.select("neuron", "bias", "activation", "is_final")
         sums = (
-            _join_model(long, weights, ["slot"], id, small)
+            _join_model(long, weights, "slot", plan["width"], id, small)
             .groupBy(id, "neuron")
             .agg(F.sum(F.col("x") * F.col("w")).alias("z"))
         )
         z = F.col("z") + F.col("bias")
-        long = _join_model(sums, facts, ["neuron"], id, small).select(
+        long = _join_model(sums, facts, "neuron", plan["nodes"], id, small).select(
             id,
             F.col("neuron").alias("slot"),
             _scalar(z, F.col("activation"), F.col("is_final"), unknown, soft).alias("x"),
@@ -277,9 +282,9 @@ def _choose(neurons: DataFrame, form: str, unknown: str, limit: int) -> tuple[st
         raise ValueError(f"form must be one of {FORMS}")
     if unknown not in ("relu", "identity", "error"):
         raise ValueError("unknown must be 'relu', 'identity' or 'error'")
-    small = fits_broadcast(neurons, limit)
-    if not small:
-        return "long", False
+    size = model_bytes(neurons)
+    if form == "long" or size > limit:
+        return "long", size * ROW_OVERHEAD <= limit
     missing = columns_only()
     if form == "arrow" and missing:
         used = neurons.filter(F.col("activation").isin(list(missing)) & ~F.col("is_final"))
