@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from fanweave.llm.exact_dedup import exact_duplicates
 from fanweave.llm.registry import query, table
-from fanweave.llm.rows import numbered
+from fanweave.llm.token_records import read_index, write_token_records
+from fanweave.session import new_path
 
 EXACT_SQL = r"""
 WITH norm AS (
@@ -27,3 +28,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts by verified chunk recipes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_duplicates(docs).drop("row_no")
+
+
+@query("op10_token_records")
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all token ids as binary records, then read the places back from the files."""
+    import public_tokenizers
+
+    path = new_path(spark, "token-records")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    write_token_records(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
