@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fanweave.llm.exact_dedup import exact_duplicates
 from fanweave.llm.registry import query, table
 from fanweave.llm.token_records import read_index, write_token_records
+from fanweave.llm.warc import read_archives, write_archives
 from fanweave.session import new_path
 
 EXACT_SQL = r"""
@@ -39,3 +40,33 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     write_token_records(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+# base32 in SQL: five hexadecimal digits are four characters
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex, html FROM p),
+b AS (
+  SELECT *, list_aggregate(list_transform(range(32), lambda i: substr(
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS INTEGER)
+            >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '')
+      AS payload_digest,
+    max(page_id) OVER (PARTITION BY html) AS best
+  FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to
+FROM b
+"""
+
+
+@query("op9_warc", WARC_SQL)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages to archives, then read and check them."""
+    path = new_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
