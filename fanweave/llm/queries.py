@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanweave.llm.exact_dedup import exact_duplicates
+from fanweave.llm.labels import in_fold
+from fanweave.llm.quality import ACCEPT, fit_quality, score_quality
 from fanweave.llm.registry import query, table
+from fanweave.llm.secrets import BASE_KINDS, find_secrets
 from fanweave.llm.token_records import read_index, write_token_records
+from fanweave.llm.toxicity import FLAG, fit_toxicity, score_toxicity
 from fanweave.llm.warc import read_archives, write_archives
 from fanweave.session import new_path
 
@@ -70,3 +74,47 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels are learned outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels, ~in_fold("doc_id", 5, 0))
+    return score_quality(docs, model).select(
+        "doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "score",
+        (F.col("score") >= ACCEPT).cast("int").alias("predicted"),
+    )
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels are learned outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels, ~in_fold("doc_id", 4, 2))
+    return score_toxicity(docs, model).select(
+        "doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "score",
+        (F.col("score") >= FLAG).cast("int").alias("predicted"),
+    )
+
+
+@query("op7_secrets")
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the secrets in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    return find_secrets(docs).select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in BASE_KINDS),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+    )
