@@ -116,7 +116,8 @@ def _der_key(data: bytes) -> str | None:
         return "pkcs1"
     if tags[:3] == [INTEGER, SEQUENCE, OCTETS]:
         inner = der_items(data, items[1][1], items[1][2])
-        return "pkcs8" if inner and inner[0][0] == OID else None
+        held = der_items(data, items[2][1], items[2][2])
+        return "pkcs8" if inner and inner[0][0] == OID and held and len(held) == 1 else None
     version = data[items[0][1]: items[0][2]]
     if tags[:2] == [INTEGER, OCTETS] and version == b"\x01" and items[1][2] - items[1][1] >= 16:
         return "sec1"
