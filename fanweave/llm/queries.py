@@ -11,6 +11,7 @@ from fanweave.llm.quality import ACCEPT, fit_quality, score_quality
 from fanweave.llm.registry import query, table
 from fanweave.llm.secrets import BASE_KINDS, find_secrets
 from fanweave.llm.token_records import read_index, write_token_records
+from fanweave.llm.topk import top_k
 from fanweave.llm.toxicity import FLAG, fit_toxicity, score_toxicity
 from fanweave.llm.warc import read_archives, write_archives
 from fanweave.session import new_path
@@ -118,3 +119,28 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(count(k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
+         AS rank
+  FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op1_top_k", TOP_K_SQL)
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector against all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
