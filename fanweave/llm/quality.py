@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fanweave.llm.labels import clear_labels, hash_sample, platt, sigmoid
+from fanweave.llm.rows import small_batches
 from fanweave.llm.text_stats import N_FEATURES, features
 
 #: bounds of what a fit reads
@@ -113,7 +114,7 @@ def fit_quality(
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     # the sample's size is bounded by the two parameters
     chosen = texts.join(F.broadcast(wanted), "id").select("y", "text")
-    rows = chosen.mapInArrow(_feature_rows, "y int, x binary").toPandas()
+    rows = small_batches(chosen).mapInArrow(_feature_rows, "y int, x binary").toPandas()
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
     y = rows["y"].to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
     order = np.lexsort((*x.T[:8], y))  # the result must not depend on the order of arrival
@@ -146,4 +147,4 @@ def score_quality(
                 [*(batch.column(c) for c in kept), pa.array(values)], [*kept, score]
             )
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

@@ -26,3 +26,20 @@ def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
     """
     row = fresh("row_no", docs.columns)
     return stage(docs.withColumn(row, F.monotonically_increasing_id()), label), row
+
+
+#: rows that one Arrow batch may hold in the operators on texts
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df``, after lowering the session's rows per Arrow batch to ``rows`` at most.
+
+    Spark bounds a batch by rows only, and both sides of a Python task hold one; texts
+    of a hundred thousand characters must not come ten thousand at a time.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, rows)
+    return df

@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fanweave.llm.rows import small_batches
+
 #: in the order in which equal starts are listed
 KINDS = ("assign", "access", "hex", "private_key", "signed_token")
 BASE_KINDS = KINDS[:3]
@@ -231,6 +233,6 @@ def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     """``doc_id`` and the list of spans (kind, start, end, detail) of every document."""
     named = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = named.schema["id"].dataType.simpleString()
-    return named.mapInArrow(_scan, f"id {kind}, spans {SPAN_TYPE}").withColumnRenamed(
+    return small_batches(named).mapInArrow(_scan, f"id {kind}, spans {SPAN_TYPE}").withColumnRenamed(
         "id", "doc_id"
     )

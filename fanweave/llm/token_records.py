@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fanweave.llm.rows import small_batches
 from fanweave.llm.shards import read_shards, write_shards
 from fanweave.llm.words import text_bytes, text_slices
 
@@ -331,7 +332,7 @@ def write_token_records(
         .sortWithinPartitions(*order)
         .select("doc_id", "text")
     )
-    shards = dealt.mapInArrow(_shard_maker(tokenizer_path, end_id, shard_bytes), "shard binary")
+    shards = small_batches(dealt).mapInArrow(_shard_maker(tokenizer_path, end_id, shard_bytes), "shard binary")
     write_shards(shards, "shard", f"{path}/shards", CLOSING)
     index = read_shards(docs.sparkSession, f"{path}/shards")
     index.mapInArrow(_index_rows, INDEX_SCHEMA).write.parquet(f"{path}/index")

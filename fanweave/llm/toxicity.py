@@ -33,11 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fanweave.llm.labels import clear_labels, hash_sample, platt, sigmoid
+from fanweave.llm.rows import small_batches
 from fanweave.session import stage
 
 MAX_TOXIC = 6_000
 MAX_CLEAN = 10_000
 MAX_CANDIDATES = 20_000
+#: distinct patterns that a task counts before it hands them on
+KEPT_PATTERNS = 200_000
 MAX_ENTRIES = 4_000
 #: an entry's least log-odds, and the least number of toxic documents it is seen in
 LEAST_WEIGHT = 3.0
@@ -132,17 +135,25 @@ def _patterns(text: str) -> set[str]:
 
 
 def _pattern_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
-            seen[y].update(_patterns(folded(text or "")))
+    """Documents of both kinds by pattern, summed over as many as ``KEPT_PATTERNS`` at once."""
+
+    def summed(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
         names = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array([seen[1][n] for n in names], pa.int64()),
              pa.array([seen[0][n] for n in names], pa.int64())],
             ["pattern", "toxic", "clean"],
         )
 
+    seen = (Counter(), Counter())
+    for batch in batches:
+        for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+            seen[y].update(_patterns(folded(text or "")))
+            if len(seen[0]) + len(seen[1]) > KEPT_PATTERNS:
+                yield summed(seen)
+                seen = (Counter(), Counter())
+    yield summed(seen)
+
 
 def choose_entries(
     rows: Iterable[tuple[str, float]], most: int = MAX_ENTRIES
@@ -224,7 +235,7 @@ def fit_toxicity(
         (F.col("clean") + 0.5) / (n_clean + 1)
     )
     candidates = (
-        sample.mapInArrow(_pattern_counts, "pattern string, toxic long, clean long")
+        small_batches(sample).mapInArrow(_pattern_counts, "pattern string, toxic long, clean long")
         .groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .filter(F.col("toxic") >= min(LEAST_DOCS, max(1, n_toxic // 4)))
         .withColumn("weight", odds)
@@ -271,4 +282,4 @@ def score_toxicity(
                 [*kept, score],
             )
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

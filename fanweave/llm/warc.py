@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanweave.llm.rows import numbered
+from fanweave.llm.rows import numbered, small_batches
 from fanweave.llm.shards import read_shards, write_shards
 
 #: fixed values of the format
@@ -303,7 +303,7 @@ def write_archives(
     placed, row = numbered(named, "warc-pages")
     placed = placed.withColumnRenamed(row, "row_no")
     dictionary = train_dictionary(_sample(placed, date))
-    archives = _with_roles(placed, least_bytes).mapInArrow(
+    archives = small_batches(_with_roles(placed, least_bytes)).mapInArrow(
         _archive_maker(dictionary, date, archive_bytes), "archive binary"
     )
     write_shards(archives, "archive", path, CLOSING)

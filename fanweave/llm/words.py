@@ -115,6 +115,6 @@ def slices(n_bytes: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def text_slices(column: pa.Array, most: int = 4 << 20) -> list[tuple[int, int]]:
+def text_slices(column: pa.Array, most: int = 1 << 20) -> list[tuple[int, int]]:
     """Ranges of rows whose texts have about ``most`` bytes together."""
     return slices(np.diff(text_bytes(column)[1]), most)
