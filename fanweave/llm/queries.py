@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fanweave.llm.exact_dedup import exact_duplicates
 from fanweave.llm.labels import in_fold
+from fanweave.llm.near_dedup import near_duplicates
 from fanweave.llm.quality import ACCEPT, fit_quality, score_quality
 from fanweave.llm.registry import query, table
 from fanweave.llm.secrets import BASE_KINDS, find_secrets
@@ -144,3 +145,10 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every twentieth vector against all others."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+@query("op6_near_dedup")
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets have a similarity of 0.85 or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).drop("row_no")
