@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanweave.llm.exact_dedup import exact_duplicates
+from fanweave.llm.exact_dedup import exact_duplicates, normalised
 from fanweave.llm.labels import in_fold
+from fanweave.llm.mixing import DOMAINS, fit_domains, mix
 from fanweave.llm.near_dedup import near_duplicates
+from fanweave.llm.packing import best_fit, word_count
 from fanweave.llm.quality import ACCEPT, fit_quality, score_quality
 from fanweave.llm.registry import query, table
 from fanweave.llm.secrets import BASE_KINDS, find_secrets
@@ -152,3 +154,19 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose shingle sets have a similarity of 0.85 or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).drop("row_no")
+
+
+@query("op3_mixing")
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors, rates and copies of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_domains(docs, table(spark, sf_dir, "labels"))
+    shares = [F.col("posteriors")[n].alias(f"p_{name}") for n, name in enumerate(DOMAINS)]
+    return mix(docs, model).select("doc_id", "tokens", *shares, "rate", "copies")
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2048 words; documents of one source or with equal texts are kept apart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return best_fit(docs, word_count("text"), F.col("source"), F.xxhash64(normalised("text")))
