@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanweave.functions.vectors import argmax, percent_text, softmax
+from fanweave.functions.vectors import percent_text, softmax
 from fanweave.operators.forward import BROADCAST_LIMIT, predict
 from fanweave.sinks.predictions import latest_predictions
 
@@ -91,9 +91,7 @@ def missing_predictions(labels: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def evaluate(images: DataFrame, neurons: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Accuracy of the model on labelled images, scored in place without a join."""
-    scored = predict(images.select("image_id", "label", "features"), neurons, limit=limit)
-    if "label" not in scored.columns:
-        scored = scored.join(images.select("image_id", "label"), "image_id")
+    scored = predict(images.select("label", "features"), neurons, limit=limit)
     right = F.when(F.col("label") == F.col("prediction"), 1)
     return scored.agg(
         F.count(right).alias("correct"), F.count(F.lit(1)).alias("total")
@@ -110,8 +108,3 @@ def cross_entropy(scored: DataFrame, logits: str = "features", label: str = "lab
     """Mean ``-log softmax(logits)[label]`` over all rows."""
     p = F.element_at(softmax(F.col(logits)), F.col(label) + 1)
     return scored.agg(F.avg(-F.log(p)).alias("loss"), F.count(F.lit(1)).alias("rows"))
-
-
-def top_slot(scored: DataFrame, logits: str = "features") -> DataFrame:
-    """Predictions from a logits table."""
-    return scored.withColumn("prediction", argmax(F.col(logits))).drop(logits)

@@ -1,41 +1,46 @@
 """Forward pass of a dense network over a table of vectors.
 
-Three physical forms of one layer give the same numbers:
+Three physical forms of one layer mean the same for every row: all columns stay, rows with
+equal ids stay apart, a null vector or one of another width than the model is an error, and
+a null element counts as NaN.
 
 * ``arrow``: numpy matrix products on Arrow batches, the model as a broadcast
   variable. No shuffle. The default.
 * ``hof``: higher-order functions on arrays, JVM only, each layer a constant from a
   scalar subquery. No join and no shuffle.
-* ``long``: one row per (image, input, neuron) product and a partial aggregate;
-  one shuffle per layer. It alone works without broadcasting, so it also
-  serves models above the size limit.
+* ``blocks``: the neurons in blocks below the size limit. One narrow pass multiplies all
+  rows with one block and keeps the outputs beside the row; the outputs of all blocks
+  together are the layer's. Each pass is written before the next one, so a worker
+  holds one block at a time. No row moves and nothing is exploded.
 
-The model's size is measured before anything is broadcast.
+The model is written once and measured before anything is broadcast; above the limit the
+form is ``blocks``, whatever was asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fanweave.functions.activations import activate, array_functions, columns_only
 from fanweave.functions.vectors import argmax, dot, softmax
+from fanweave.session import stage
 
 #: largest model, in bytes of weights, that may be broadcast
 BROADCAST_LIMIT = 256 * 1024 * 1024
 
-#: a weight as a row of a broadcast table takes about this many times its eight bytes
-ROW_OVERHEAD = 8
-
 #: what a neuron needs to compute; sorted by its first field
 UNIT = ("neuron", "weights", "bias", "activation", "is_final")
 
+FORMS = ("arrow", "hof", "blocks")
+
+
 def model_bytes(neurons: DataFrame) -> int:
     """Size of the weights and biases; one small aggregate."""
     size = neurons.agg(F.sum((F.size("weights") + 1) * F.lit(8)).alias("bytes")).first()
@@ -54,39 +59,64 @@ def route(df: DataFrame, layer: int, column: str = "layer") -> DataFrame:
     return df.filter(F.col(column) == layer)
 
 
-def _join_model(
-    rows: DataFrame, model: DataFrame, key: str, values: int, id: str, small: bool
+def fan_out(
+    images: DataFrame, neurons: DataFrame, layer: int, limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
-    """Equi-join rows with the model on a key that has only ``values`` values.
+    """Send every row to every neuron of a layer: work for a layer meets its neurons.
 
-    A small model is broadcast. Otherwise each value holds a large share of the
-    rows, so rows are spread over just enough salts to use all shuffle partitions,
-    and the model is repeated once per salt.
+    The output is rows x neurons by definition of the operator. Neurons are exploded from
+    constants of at most ``limit`` bytes, so no row moves; a layer above the limit takes
+    one pass over the rows for each block of its neurons.
     """
-    if small:
-        return rows.join(F.broadcast(model), key)
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, -(-partitions // max(1, values)))
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(id), F.lit(salts)).cast("int"))
-    copies = model.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [key, "_salt"]).drop("_salt")
+    model = stage(route(neurons, layer).select("layer", *UNIT), "layer")
+    parts = [
+        images.withColumn("_unit", F.explode(_units(block, layer))).select(
+            *images.columns, F.lit(layer).alias("layer"), "_unit.*")
+        for block in _blocks(model, limit)
+    ]
+    return reduce(DataFrame.unionAll, parts)
 
 
-def fan_out(
-    images: DataFrame, neurons: DataFrame, layer: int, id: str = "image_id",
-    limit: int = BROADCAST_LIMIT,
+def neuron_sums(
+    images: DataFrame, neurons: DataFrame, layer: int, limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
-    """Send every row to every neuron of a layer: work for a layer meets its neurons.
+    """``z`` of every row and neuron of a layer, before the activation.
+
+    A row carries the neuron's number, activation and ``is_final``, but neither vector.
+    """
+    model = stage(route(neurons, layer).select("layer", *UNIT), "layer")
+    kept = [c for c in images.columns if c != "features"]
 
-    The output is rows x neurons by definition of the operator. A layer of checked
-    size is exploded from a constant, so no rows move; a larger one is joined.
+    def sums(u: Column) -> Column:
+        z = dot(F.col("features"), u["weights"], u["bias"])
+        return F.struct(u["neuron"].alias("neuron"), z.alias("z"),
+                        u["activation"].alias("activation"), u["is_final"].alias("is_final"))
+
+    parts = [
+        images.withColumn("_units", _units(block, layer)).select(
+            *kept, F.lit(layer).alias("layer"), F.inline(F.transform("_units", sums)))
+        for block in _blocks(model, limit)
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _blocks(layer: DataFrame, limit: int) -> list[DataFrame]:
+    """The neurons of one layer in consecutive parts of at most ``limit`` bytes each.
+
+    A part has one neuron at least. Neurons are numbered 0, 1, 2, ... in a layer.
     """
-    model = route(neurons, layer).select(*UNIT)
-    if fits_broadcast(model, limit):
-        work = images.withColumn("_unit", F.explode(_units(neurons, layer)))
-        return work.select(*images.columns, F.lit(layer).alias("layer"), "_unit.*")
-    work = images.withColumn("layer", F.lit(layer))
-    return _join_model(work, model.withColumn("layer", F.lit(layer)), "layer", 1, id, small=False)
+    size = layer.agg(
+        F.max(F.size("weights") + 1).alias("width"), F.max("neuron").alias("last")
+    ).first()
+    if size["last"] is None:
+        return [layer]
+    per_block = max(1, limit // (8 * size["width"]))
+    if size["last"] < per_block:
+        return [layer]
+    return [
+        layer.filter(F.col("neuron").between(begin, begin + per_block - 1))
+        for begin in range(0, size["last"] + 1, per_block)
+    ]
 
 
 # --- shared by all forms ---------------------------------------------------------------------
@@ -133,10 +163,24 @@ def _unit_output(unknown: str, soft: bool) -> Callable[[Column], Column]:
     return output
 
 
+def _checked(vector: str, width: int) -> Column:
+    """The vector with nulls as NaN; an error if it is null or has another width."""
+    v = F.col(vector)
+    size = F.coalesce(F.size(v), F.lit(-1))
+    message = F.concat(
+        F.lit("vector lengths differ: "), size.cast("string"), F.lit(f" and {width}")
+    )
+    whole = F.transform(v, lambda x: F.coalesce(x.cast("double"), F.lit(float("nan"))))
+    return F.when(v.isNotNull() & (size == width), whole).otherwise(
+        F.raise_error(message).cast("array<double>")
+    )
+
+
 def _hof_forward(images: DataFrame, neurons: DataFrame, unknown: str) -> DataFrame:
     columns = images.columns
     for plan in _layer_plan(neurons):
         layer, soft = plan["layer"], plan["soft"] > 0
+        images = images.withColumn("features", _checked("features", plan["width"]))
         outputs = F.transform("_units", _unit_output(unknown, soft))
         images = (
             images.withColumn("_units", _units(neurons, layer))
@@ -146,46 +190,48 @@ def _hof_forward(images: DataFrame, neurons: DataFrame, unknown: str) -> DataFra
     return images
 
 
-# --- long form -------------------------------------------------------------------------------
+# --- block form ------------------------------------------------------------------------------
 
 
-def _long_forward(
-    images: DataFrame, neurons: DataFrame, id: str, unknown: str, small: bool
+def _with_column(
+    images: DataFrame, name: str, kind: T.DataType, compute: Callable[[pa.RecordBatch], pa.Array]
 ) -> DataFrame:
-    """``(id, slot, x)`` rows of the last layer of ``neurons``."""
-    long = _to_long(images, id)
-    for plan in _layer_plan(neurons):
-        layer, soft = plan["layer"], plan["soft"] > 0
-        here = route(neurons, layer)
-        weights = here.select("neuron", F.posexplode("weights").alias("slot", "w"))
-        facts = here.select("neuron", "bias", "activation", "is_final")
-        sums = (
-            _join_model(long, weights, "slot", plan["width"], id, small)
-            .groupBy(id, "neuron")
-            .agg(F.sum(F.col("x") * F.col("w")).alias("z"))
-        )
-        z = F.col("z") + F.col("bias")
-        long = _join_model(sums, facts, "neuron", plan["nodes"], id, small).select(
-            id,
-            F.col("neuron").alias("slot"),
-            _scalar(z, F.col("activation"), F.col("is_final"), unknown, soft).alias("x"),
-        )
-        if soft:
-            one = W.partitionBy(id)  # as many rows as the layer has neurons
-            power = F.exp(F.col("x") - F.max("x").over(one))
-            long = long.withColumn("x", power).withColumn(
-                "x", F.col("x") / F.sum("x").over(one)
-            )
-    return long
+    """``images`` and one more column, computed batch by batch."""
+    schema = T.StructType([*images.schema.fields, T.StructField(name, kind)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, compute(batch)], [*batch.schema.names, name])
 
-def _to_long(images: DataFrame, id: str) -> DataFrame:
-    return images.select(id, F.posexplode("features").alias("slot", "x"))
+    return images.mapInArrow(run, schema)
 
 
-def _to_vectors(long: DataFrame, id: str) -> DataFrame:
-    ordered = F.sort_array(F.collect_list(F.struct("slot", "x")))
-    return long.groupBy(id).agg(F.transform(ordered, lambda p: p["x"]).alias("features"))
+def _block_outputs(images: DataFrame, block: list[tuple], unknown: str, name: str) -> DataFrame:
+    """One more column: the outputs of one block's neurons."""
+    shared = images.sparkSession.sparkContext.broadcast(block)
+    functions = array_functions()
+
+    def outputs(batch: pa.RecordBatch) -> pa.Array:
+        layer = shared.value[0]
+        x = _matrix(batch.column("features"), layer[1].shape[0])
+        return _lists(_apply_layer(x, layer, functions, unknown, whole=False))
+
+    return _with_column(images, name, T.ArrayType(T.DoubleType()), outputs)
+
+
+def _block_forward(images: DataFrame, neurons: DataFrame, unknown: str, limit: int) -> DataFrame:
+    columns = images.columns
+    for plan in _layer_plan(neurons):
+        parts = []
+        for n, block in enumerate(_blocks(route(neurons, plan["layer"]), limit)):
+            parts.append(f"_block_{n}")
+            images = stage(
+                _block_outputs(images, _local_model(block), unknown, parts[-1]), "block-outputs")
+        outputs = F.concat(*parts)
+        images = images.withColumn("features", softmax(outputs) if plan["soft"] else outputs)
+        images = images.select(*columns)
+    return images
 
 
 # --- Arrow form ------------------------------------------------------------------------------
@@ -222,11 +268,22 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     )
 
 
-def _apply_layer(x: np.ndarray, layer: tuple, functions: dict, unknown: str) -> np.ndarray:
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as a list column."""
+    offsets = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1)))
+
+
+def _apply_layer(
+    x: np.ndarray, layer: tuple, functions: dict, unknown: str, whole: bool = True
+) -> np.ndarray:
+    """Outputs of a layer; of a softmax layer the sums only, if it is not ``whole``."""
     _, weights, bias, names, finals = layer
     z = x @ weights + bias
     hidden = [n for n, final in zip(names, finals) if not final]
-    if hidden and all(n == "softmax" for n in hidden) and len(hidden) == len(names):
+    if hidden and set(hidden) == {"softmax"} and len(hidden) == len(names):
+        if not whole:
+            return z
         powers = np.exp(z - z.max(axis=1, keepdims=True))
         return powers / powers.sum(axis=1, keepdims=True)
     for name in set(hidden):
@@ -263,8 +320,7 @@ def _arrow_forward(
             if predict:
                 out = pa.array(np.argmax(x, axis=1).astype(np.int32))
             else:
-                offsets = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
-                out = pa.ListArray.from_arrays(offsets, x.reshape(-1))
+                out = _lists(x)
             columns = [batch.column(c) for c in kept] + [out]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, result.name])
 
@@ -273,63 +329,68 @@ def _arrow_forward(
 
 # --- public operators ------------------------------------------------------------------------
 
-FORMS = ("arrow", "hof", "long")
-
 
-def _choose(neurons: DataFrame, form: str, unknown: str, limit: int) -> tuple[str, bool]:
-    """The form to run and whether the model may be broadcast."""
+def _choose(neurons: DataFrame, form: str, unknown: str, limit: int) -> str:
+    """The form to run for a staged model."""
     if form not in FORMS:
         raise ValueError(f"form must be one of {FORMS}")
     if unknown not in ("relu", "identity", "error"):
         raise ValueError("unknown must be 'relu', 'identity' or 'error'")
-    size = model_bytes(neurons)
-    if form == "long" or size > limit:
-        return "long", size * ROW_OVERHEAD <= limit
-    missing = columns_only()
-    if form == "arrow" and missing:
-        used = neurons.filter(F.col("activation").isin(list(missing)) & ~F.col("is_final"))
-        if not used.isEmpty():
-            return "hof", True
-    return form, True
+    size = neurons.agg(
+        F.sum((F.size("weights") + 1) * F.lit(8)).alias("bytes"),
+        F.collect_set(F.when(~F.col("is_final"), F.col("activation"))).alias("names"),
+    ).first()
+    if form == "blocks" or int(size["bytes"] or 0) > limit:
+        missing = set(columns_only()) & set(size["names"])
+        if missing:
+            raise ValueError(f"activations without an array form: {sorted(missing)}")
+        return "blocks"
+    return "hof" if set(columns_only()) & set(size["names"]) else form
+
+
+def _forward(
+    images: DataFrame, neurons: DataFrame, form: str, unknown: str, limit: int, scored: bool
+) -> DataFrame:
+    """``features`` becomes the outputs of the last layer, or ``prediction`` if ``scored``."""
+    model = stage(neurons.select("layer", *UNIT), "model")
+    form = _choose(model, form, unknown, limit)
+    if form == "arrow":
+        _layer_plan(model)
+        return _arrow_forward(images, _local_model(model), unknown, scored)
+    if form == "hof":
+        out = _hof_forward(images, model, unknown)
+    else:
+        out = _block_forward(images, model, unknown, limit)
+    if scored:
+        out = out.withColumn("prediction", argmax(F.col("features"))).drop("features")
+    return out
 
 
 def logits(
-    images: DataFrame, neurons: DataFrame, id: str = "image_id",
-    form: str = "arrow", unknown: str = "relu", limit: int = BROADCAST_LIMIT,
+    images: DataFrame, neurons: DataFrame, form: str = "arrow", unknown: str = "relu",
+    limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """All layers: ``features`` becomes the final layer's outputs.
 
-    Layer 0 reads the images, every other layer the one before it. The ``long``
-    form returns the id and the outputs only.
+    Layer 0 reads the images, every other layer the one before it.
     """
-    form, small = _choose(neurons, form, unknown, limit)
-    if form == "long":
-        return _to_vectors(_long_forward(images, neurons, id, unknown, small), id)
-    if form == "hof":
-        return _hof_forward(images, neurons, unknown)
-    return _arrow_forward(images, _local_model(neurons), unknown, predict=False)
+    return _forward(images, neurons, form, unknown, limit, scored=False)
 
 
 def layer_forward(
-    images: DataFrame, neurons: DataFrame, layer: int, id: str = "image_id",
-    form: str = "arrow", unknown: str = "relu", limit: int = BROADCAST_LIMIT,
+    images: DataFrame, neurons: DataFrame, layer: int, form: str = "arrow",
+    unknown: str = "relu", limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """One layer: ``features`` becomes the vector of the layer's outputs."""
-    return logits(images, route(neurons, layer), id, form, unknown, limit)
+    return logits(images, route(neurons, layer), form, unknown, limit)
 
 
 def predict(
-    images: DataFrame, neurons: DataFrame, id: str = "image_id",
-    form: str = "arrow", unknown: str = "relu", limit: int = BROADCAST_LIMIT,
+    images: DataFrame, neurons: DataFrame, form: str = "arrow", unknown: str = "relu",
+    limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """The slot of the largest logit as ``prediction`` for every row."""
-    form, small = _choose(neurons, form, unknown, limit)
-    if form == "long":
-        return argmax_rows(_long_forward(images, neurons, id, unknown, small), id, "slot", "x")
-    if form == "hof":
-        scored = _hof_forward(images, neurons, unknown)
-        return scored.withColumn("prediction", argmax(F.col("features"))).drop("features")
-    return _arrow_forward(images, _local_model(neurons), unknown, predict=True)
+    return _forward(images, neurons, form, unknown, limit, scored=True)
 
 
 def argmax_rows(df: DataFrame, id: str, slot: str = "slot", value: str = "value") -> DataFrame:

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanweave.functions import activate, argmax, dot, relu, softmax
-from fanweave.operators.forward import argmax_rows, fan_out, layer_forward, logits, predict
+from fanweave.functions import activate, argmax, relu, softmax
+from fanweave.operators.forward import (
+    argmax_rows,
+    fan_out,
+    layer_forward,
+    logits,
+    neuron_sums,
+    predict,
+)
 from fanweave.plans import query
 from fanweave.plans.tables import (
     CELLS_SQL,
@@ -90,9 +97,8 @@ def q_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("neuron_dot", f"WITH {FORWARD_SQL} SELECT image_id, neuron, z FROM z0")
 def q_neuron_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = dot(F.col("features"), F.col("weights"), F.col("bias"))
-    return fan_out(_vectors(spark, sf_dir), formula_neurons(spark), 0).select(
-        "image_id", "neuron", z.alias("z")
+    return neuron_sums(_vectors(spark, sf_dir), formula_neurons(spark), 0).select(
+        "image_id", "neuron", "z"
     )
 
 
@@ -110,7 +116,7 @@ def q_layer_forward_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("layer_forward_long", LAYER_SQL)
 def q_layer_forward_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = layer_forward(_vectors(spark, sf_dir), formula_neurons(spark), 0, form="long")
+    out = layer_forward(_vectors(spark, sf_dir), formula_neurons(spark), 0, form="blocks")
     return exploded(out, "image_id")
 
 
@@ -131,10 +137,27 @@ def q_predict_hof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("predict_long", PREDICT_SQL)
 def q_predict_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predict(_vectors(spark, sf_dir), formula_neurons(spark), form="long")
+    return predict(_vectors(spark, sf_dir), formula_neurons(spark), form="blocks")
 
 
 @query("predict_unbroadcast", PREDICT_SQL)
 def q_predict_unbroadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan of a model above the broadcast limit."""
-    return predict(_vectors(spark, sf_dir), formula_neurons(spark), limit=0)
+    """The plan of a model above the broadcast limit, a few neurons in a block."""
+    return predict(_vectors(spark, sf_dir), formula_neurons(spark), limit=5000)
+
+
+@query(
+    "logits_unbroadcast",
+    f"""WITH {FORWARD_SQL}
+    SELECT image_id, label, CAST(slot AS INTEGER) AS slot, z AS value
+    FROM z1 JOIN embeddings ON image_id = vec_id
+    UNION ALL
+    SELECT image_id, label, CAST(slot AS INTEGER), z FROM z1 JOIN embeddings ON image_id = vec_id
+    WHERE image_id % 10 = 0""",
+)
+def q_logits_unbroadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Above the limit, with labels and with every tenth id twice."""
+    labelled = images(spark, sf_dir).select("image_id", "label", "features")
+    rows = labelled.unionByName(labelled.filter("image_id % 10 = 0"))
+    return exploded(
+        logits(rows, formula_neurons(spark), limit=5000), "image_id", "label")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fanweave.functions.activations import activate
-from fanweave.functions.vectors import argmax, dot
-from fanweave.operators.forward import BROADCAST_LIMIT, fan_out, fits_broadcast, predict
+from fanweave.functions.vectors import argmax
+from fanweave.operators.forward import BROADCAST_LIMIT, fits_broadcast, neuron_sums, predict
 from fanweave.streaming.fanin import fan_in_stream
 from fanweave.streaming.io import start
 
@@ -17,7 +17,7 @@ def predictions_of(src: DataFrame, neurons: DataFrame, id: str = "image_id") ->
     """Whole vectors arrive, so a row needs no state: the batch operator on a stream."""
     if not fits_broadcast(neurons):
         raise ValueError("streaming inference needs a model that can be broadcast")
-    return predict(src, neurons, id)
+    return predict(src.select(id, "features"), neurons)
 
 
 def neuron_messages(
@@ -25,11 +25,11 @@ def neuron_messages(
     unknown: str = "relu", limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Partial outputs of one layer: ``(id, slot, value)``, one message per neuron."""
-    z = dot(F.col("features"), F.col("weights"), F.col("bias"))
-    return fan_out(vectors.select(id, "features"), neurons, layer, id, limit).select(
+    sums = neuron_sums(vectors.select(id, "features"), neurons, layer, limit)
+    return sums.select(
         id,
         F.col("neuron").alias("slot"),
-        activate(z, F.col("activation"), F.col("is_final"), unknown).alias("value"),
+        activate(F.col("z"), F.col("activation"), F.col("is_final"), unknown).alias("value"),
     )
 
 

@@ -10,6 +10,7 @@ from fanweave.operators.forward import (
     layer_forward,
     logits,
     model_bytes,
+    neuron_sums,
     predict,
     route,
 )
@@ -49,7 +50,7 @@ def outputs(df):
     return np.array([r.features for r in df.orderBy("image_id").collect()])
 
 
-@pytest.mark.parametrize("form", ["arrow", "hof", "long"])
+@pytest.mark.parametrize("form", ["arrow", "hof", "blocks"])
 def test_forms_agree_with_numpy(spark, form):
     got = outputs(logits(images(spark), network(spark), form=form))
     np.testing.assert_allclose(got, expected(), rtol=1e-12, atol=1e-12)
@@ -58,21 +59,64 @@ def test_forms_agree_with_numpy(spark, form):
 
 
 def test_model_above_the_limit_is_not_broadcast(spark):
-    df = predict(images(spark), network(spark), limit=10)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoop" not in plan
+    df = predict(images(spark), network(spark), limit=150)
     got = [r.prediction for r in df.orderBy("image_id").collect()]
     assert got == expected().argmax(axis=1).tolist()
 
 
-def test_no_form_uses_a_cross_join(spark):
-    for form in ("arrow", "hof", "long"):
+def test_no_form_joins_or_moves_rows(spark):
+    for form in ("arrow", "hof", "blocks"):
         plan = predict(images(spark), network(spark), form=form)._jdf.queryExecution()
-        text = plan.executedPlan().toString()
-        assert "CartesianProduct" not in text and "NestedLoop" not in text
+        text = plan.executedPlan().toString().split("Subqueries")[0]
+        assert "Join" not in text and "CartesianProduct" not in text
+        assert form == "hof" or "Exchange" not in text
+
+
+FORMS = [("arrow", 1 << 20), ("hof", 1 << 20), ("blocks", 1 << 20), ("arrow", 150), ("arrow", 0)]
+
+
+@pytest.mark.parametrize("form,limit", FORMS)
+def test_all_forms_mean_the_same(spark, form, limit):
+    """Repeated ids stay apart, all columns stay, wrong vectors are errors, nulls are NaN."""
+    rows = [(1, [1.0] * 7, "a", 5), (1, [2.0] * 7, "b", 6), (None, [0.5] * 7, "c", 7)]
+    schema = "image_id BIGINT, features ARRAY<DOUBLE>, tag STRING, label INT"
+    df = spark.createDataFrame(rows, schema)
+    model = network(spark)
+    got = logits(df, model, form=form, limit=limit)
+    assert set(got.columns) == set(df.columns)
+    by_tag = {r.tag: r for r in got.collect()}
+    plain = {r.tag: r.features for r in logits(df, model).collect()}
+    assert {t: (r.image_id, r.label) for t, r in by_tag.items()} == {
+        "a": (1, 5), "b": (1, 6), "c": (None, 7)}
+    for tag, r in by_tag.items():
+        np.testing.assert_allclose(r.features, plain[tag], rtol=1e-12)
+    chosen = predict(df, model, form=form, limit=limit)
+    assert set(chosen.columns) == {"image_id", "tag", "label", "prediction"} and chosen.count() == 3
+    for bad in ([1.0] * 6, [1.0] * 8, [], None):
+        wrong = spark.createDataFrame([(1, bad, "a", 5)], schema)
+        with pytest.raises(Exception, match="vector lengths differ"):
+            logits(wrong, model, form=form, limit=limit).collect()
+    hole = spark.createDataFrame([(1, [None] + [1.0] * 6, "a", 5)], schema)
+    assert np.isnan(logits(hole, model, form=form, limit=limit).first().features).all()
+    mixed = network(spark).withColumn(
+        "activation", F.when((F.col("layer") == 0) & (F.col("neuron") == 1), "softmax")
+        .otherwise(F.col("activation")))
+    with pytest.raises(ValueError, match="softmax must cover the whole layer"):
+        logits(df, mixed, form=form, limit=limit)
+
+
+def test_sums_carry_no_vectors(spark):
+    for limit in (1 << 20, 0):
+        out = neuron_sums(images(spark), network(spark), 1 - 1, limit=limit)
+        assert set(out.columns) == {"image_id", "layer", "neuron", "z", "activation", "is_final"}
+        got = {(r.image_id, r.neuron): r.z for r in out.collect()}
+        w, b = WEIGHTS[0]
+        want = IMAGES @ w + b
+        assert len(got) == want.size
+        assert all(abs(got[i, k] - want[i, k]) < 1e-12 for i, k in got)
 
 
-@pytest.mark.parametrize("form", ["arrow", "hof", "long"])
+@pytest.mark.parametrize("form", ["arrow", "hof", "blocks"])
 def test_hidden_softmax_layer(spark, form):
     def softmax(z):
         e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -83,7 +127,7 @@ def test_hidden_softmax_layer(spark, form):
     np.testing.assert_allclose(got, expected(softmax), rtol=1e-12, atol=1e-12)
 
 
-@pytest.mark.parametrize("form", ["arrow", "hof", "long"])
+@pytest.mark.parametrize("form", ["arrow", "hof", "blocks"])
 def test_unknown_activation_rules(spark, form):
     got = outputs(logits(images(spark), network(spark), form=form, unknown="identity"))
     np.testing.assert_allclose(got, expected(lambda z: z), rtol=1e-12, atol=1e-12)
@@ -102,7 +146,7 @@ def test_registered_activation_without_arrays_takes_the_column_form(spark):
 
 def test_wrong_width_is_an_error(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0])], "image_id BIGINT, features ARRAY<DOUBLE>")
-    for form in ("arrow", "hof"):
+    for form in ("arrow", "hof", "blocks"):
         with pytest.raises(Exception, match="vector lengths differ"):
             predict(df, network(spark), form=form).collect()
 
