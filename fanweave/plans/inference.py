@@ -149,11 +149,11 @@ def q_predict_unbroadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "logits_unbroadcast",
     f"""WITH {FORWARD_SQL}
-    SELECT image_id, label, CAST(slot AS INTEGER) AS slot, z AS value
-    FROM z1 JOIN embeddings ON image_id = vec_id
+    SELECT image_id, e.label, CAST(slot AS INTEGER) AS slot, z AS value
+    FROM z1 JOIN embeddings AS e ON image_id = vec_id
     UNION ALL
-    SELECT image_id, label, CAST(slot AS INTEGER), z FROM z1 JOIN embeddings ON image_id = vec_id
-    WHERE image_id % 10 = 0""",
+    SELECT image_id, e.label, CAST(slot AS INTEGER), z
+    FROM z1 JOIN embeddings AS e ON image_id = vec_id WHERE image_id % 10 = 0""",
 )
 def q_logits_unbroadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Above the limit, with labels and with every tenth id twice."""
