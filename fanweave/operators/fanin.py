@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fanweave.operators.cycles import distinct_cycles
-from fanweave.operators.skew import HOT_ROWS, attach_per_key, hot_keys, is_hot
+from fanweave.operators.skew import HOT_ROWS, attach_per_key, hot_keys, split_hot
 from fanweave.session import stage
 
 #: up to this width the slots become aggregate columns and one shuffle is enough
@@ -33,12 +33,14 @@ CYCLES_PER_SPAN = 100_000
 
 
 def arrival_seq(micros: Column, tie: Column) -> Column:
-    """Time and tie-break as one number; both must be non-negative.
+    """Time and tie-break as one number; a negative one is an error, as it would misorder.
 
     A decimal keeps min_by and max_by in hash aggregates, which a struct would not.
     """
     step = F.lit("10000000000000000000").cast("decimal(20,0)")
-    return (micros.cast("decimal(19,0)") * step + tie.cast("decimal(19,0)")).cast("decimal(38,0)")
+    seq = (micros.cast("decimal(19,0)") * step + tie.cast("decimal(19,0)")).cast("decimal(38,0)")
+    wrong = F.raise_error(F.lit("arrival order needs times and ties from 0 on"))
+    return F.when((micros < 0) | (tie < 0), wrong.cast("decimal(38,0)")).otherwise(seq)
 
 
 def micros_of(ts: str) -> Column:
@@ -72,7 +74,7 @@ def fan_in(
     messages = df.select(*columns).filter(F.col("_id").isNotNull())
     repeated = complete == "distinct" and cycles == "all"
     needs_hot = ttl is not None or complete == "arrivals" or (dup == "last" and not repeated)
-    hot = hot_keys(messages, "_id", hot_rows) if needs_hot else []
+    hot = hot_keys(messages, "_id", hot_rows) if needs_hot else None
     if ttl is not None:
         messages = _live(messages, "_id", "_at", ttl, hot).drop("_at")
 
@@ -95,6 +97,21 @@ def _packed(order: list[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else arrival_seq(*[F.col(c) for c in order])
 
 
+def misplaced(df: DataFrame, id: str, slot: str, n: int) -> DataFrame:
+    """The dead letters of a fan-in: rows without id, and slots outside ``0 .. n-1``.
+
+    Counting arrivals, such slots count although they have no place in the vector; with
+    distinct slots they do not count. A row without id never counts. The same rows in
+    batches and on streams.
+    """
+    reason = (
+        F.when(F.col(id).isNull(), "no id")
+        .when(F.col(slot).isNull(), "no slot")
+        .when(~F.col(slot).between(0, n - 1), "slot out of range")
+    )
+    return df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def within_ttl(
     df: DataFrame, id: str, at: str, ttl: float, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -102,7 +119,7 @@ def within_ttl(
     return _live(df, id, at, ttl, hot_keys(df, id, hot_rows))
 
 
-def _live(df: DataFrame, id: str, at: str, ttl: float, hot: list) -> DataFrame:
+def _live(df: DataFrame, id: str, at: str, ttl: float, hot: DataFrame | None) -> DataFrame:
     first = df.groupBy(id).agg(F.min(at).alias("_first"))
     live = attach_per_key(df, first, id, hot)
     return live.filter(F.col(at) < F.col("_first") + F.lit(ttl)).drop("_first")
@@ -164,18 +181,18 @@ def strict_check(df: DataFrame, id: str, slot: str, value: str, n: int) -> DataF
 
 
 def stack_columns(
-    df: DataFrame, chunk: str, neuron: str, vector: str, n: int, size: int
+    df: DataFrame, chunk: str, neuron: str, vector: str, n: int, size: int, seq: str
 ) -> DataFrame:
     """Per-neuron batch vectors to matrix rows: ``(chunk, pos, vector)``.
 
     Each input row holds one neuron's outputs for all members of a chunk. A chunk
-    counts when all ``n`` neurons reported; the first report of a neuron counts
-    when reports are equal. Rows are assembled per member, never per chunk.
+    counts when all ``n`` neurons reported; of several reports of a neuron the first by
+    ``seq`` counts. A report with more than ``size`` outputs does not count; see
+    :func:`oversized_reports`. Rows are assembled per member, never per chunk.
     """
-    cells = df.select(chunk, neuron, F.posexplode(vector).alias("pos", "x")).filter(
-        F.col("pos") < size
-    )
-    per_cell = cells.groupBy(chunk, "pos", neuron).agg(F.first("x").alias("x"))
+    fit = df.filter(F.size(vector) <= size)
+    cells = fit.select(chunk, neuron, seq, F.posexplode(vector).alias("pos", "x"))
+    per_cell = cells.groupBy(chunk, "pos", neuron).agg(F.min_by("x", seq).alias("x"))
     pairs = F.collect_list(F.struct(neuron, "x"))
     return (
         per_cell.groupBy(chunk, "pos")
@@ -185,6 +202,13 @@ def stack_columns(
     )
 
 
+def oversized_reports(df: DataFrame, vector: str, size: int) -> DataFrame:
+    """The dead letters of :func:`stack_columns`: reports with more than ``size`` outputs."""
+    reason = F.concat(
+        F.lit("expected at most "), F.lit(size), F.lit(" outputs, got "), F.size(vector))
+    return df.filter(F.size(vector) > size).withColumn("reason", reason)
+
+
 # --- distinct slots --------------------------------------------------------------------------
 
 
@@ -234,7 +258,7 @@ def _distinct_first(messages: DataFrame, n: int) -> DataFrame:
     return done.withColumn("cycle", F.lit(0).cast("bigint"))
 
 
-def _distinct_last(messages: DataFrame, n: int, hot: list) -> DataFrame:
+def _distinct_last(messages: DataFrame, n: int, hot: DataFrame | None) -> DataFrame:
     """The id completes with its last new slot; later writes do not count."""
     done = _per_id(messages, n, (F.min_by, F.min)).select("_id", F.col("_done").alias("_end"))
     live = attach_per_key(messages, done, "_id", hot).filter(F.col("_seq") <= F.col("_end"))
@@ -247,16 +271,17 @@ def _distinct_last(messages: DataFrame, n: int, hot: list) -> DataFrame:
 
 
 def _arrivals(
-    messages: DataFrame, order: list[str], n: int, dup: str, fill: float | None, hot: list
+    messages: DataFrame, order: list[str], n: int, dup: str, fill: float | None,
+    hot: DataFrame | None,
 ) -> DataFrame:
     if dup != "last":
         raise ValueError("counting arrivals overwrites slots: use dup='last'")
     by_arrival = W.partitionBy("_id").orderBy(*order)
-    cold = messages if not hot else messages.filter(~is_hot("_id", hot))
+    cold, spread = split_hot(messages, "_id", hot)
     ranked = cold.withColumn("_rank", (F.row_number().over(by_arrival) - 1).cast("bigint"))
     result = _cycles(ranked, order, n, fill, spans=False)
-    if hot:
-        apart = _rank_spread(messages.filter(is_hot("_id", hot)), order)
+    if spread is not None:
+        apart = _rank_spread(spread, order)
         result = result.unionByName(_cycles(apart, order, n, fill, spans=True))
     return result
 
@@ -319,7 +344,9 @@ def _latest_in_cycle(rows: DataFrame, order: list[str], n: int) -> DataFrame:
         F.count(F.lit(1)).alias("c"), *done, F.max("_rank").alias("_rank"),
         F.max_by("_value", "_rank").alias("v"),
     )
-    by_slot = F.map_from_entries(F.collect_list(F.struct("_slot", "v")))
+    # slots outside the vector count as arrivals, but have no place in it
+    placed = F.when(F.col("_slot").between(0, n - 1), F.struct("_slot", "v"))
+    by_slot = F.map_from_entries(F.collect_list(placed))
     return (
         per_slot.groupBy("_id", "cycle")
         .agg(F.sum("c").alias("_rows"), *done, by_slot.alias("m"))

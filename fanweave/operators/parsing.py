@@ -112,12 +112,13 @@ def tag_messages(
         raise ValueError(f"unknown layout: {layout}")
     raw = {"raw_key": F.col("key"), "raw_value": F.col("value")}
     others = [c for c in df.columns if c not in ("key", "value", *fields)]
-    parsed = df.select(
-        *others,
+    values = F.struct(
         *[c.alias(name) for name, c in raw.items()],
         _first_reason(checks).alias("_shape"),
         *[c.alias(name) for name, c in fields.items()],
     )
+    # one element: later filters stay above it, so a message is parsed once
+    parsed = df.select(*others, F.inline(F.array(values)))
     optional = {"image_id"} if layout == "P7_JSON" else set()
     bad = [(F.col(name).isNull(), f"bad {name}") for name in fields if name not in optional]
     if n is not None and "slot" in fields:

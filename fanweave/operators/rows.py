@@ -10,6 +10,8 @@ from fanweave.session import stage
 
 #: ``monotonically_increasing_id`` keeps the partition above this bit
 PARTITION_BIT = 33
+#: about 100 bytes each
+BROADCAST_BLOCKS = 500_000
 
 
 def _partition(mark: str) -> Column:
@@ -54,9 +56,10 @@ def with_file_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
     """Number the rows of a file scan by position, files in path order.
 
     Rows are counted per file block in one narrow pass; a row's id is the start
-    of its block plus its place in the block. No row moves. If the second scan
-    splits the files in another way than the first, the job fails instead of
-    giving wrong ids.
+    of its block plus its place in the block. The starts, one row per block, are
+    broadcast up to ``BROADCAST_BLOCKS`` of them, so no row moves; beyond that rows are
+    joined with their block. If the second scan splits the files in another way than the
+    first, the job fails instead of giving wrong ids.
     """
     block = ["_file", "_block"]
     placed = scan.select(
@@ -68,7 +71,9 @@ def with_file_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
     counts = placed.groupBy(*block).agg(
         F.count(F.lit(1)).alias("count"), F.min("_mark").alias("_first")
     )
-    starts = _starts(counts, block).select(*block, "_start", "_first")
+    starts = stage(_starts(counts, block).select(*block, "_start", "_first"), "block-starts")
+    if starts.count() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
     same_split = F.col("_first").isNotNull() & (_partition("_mark") == _partition("_first"))
     row_id = F.when(
         same_split, F.col("_start") + F.col("_mark") - F.col("_first")
@@ -77,8 +82,14 @@ def with_file_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 def limit_rows(df: DataFrame, n: int, order_by: str = "image_id") -> DataFrame:
-    """The first ``n`` rows by id; planned as a top-n, not as a full sort."""
-    return df.orderBy(order_by).limit(n)
+    """The first ``n`` rows by id.
+
+    The n-th id is found on the id column alone; only rows up to it, in all other columns,
+    meet in one task.
+    """
+    last = df.select(order_by).orderBy(order_by).limit(n).agg(F.max(order_by))
+    upto = F.col(order_by).isNull() | (F.col(order_by) <= last.scalar())
+    return df.filter(upto).orderBy(order_by).limit(n)
 
 
 def split_label(df: DataFrame, row: str = "row") -> DataFrame:

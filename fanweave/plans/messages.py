@@ -364,7 +364,13 @@ def q_fan_in_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     width = 64
-    matrix = stack_columns(columns, "chunk_id", "neuron", "outputs", width, CHUNK)
+    # beside the true reports: later ones with other values, and reports that are too long
+    late = columns.select("chunk_id", "neuron", F.transform("outputs", lambda x: -x).alias(
+        "outputs"), F.lit(2).alias("seq"))
+    long = columns.select("chunk_id", "neuron", F.concat("outputs", F.array_repeat(
+        F.lit(7.0), CHUNK)).alias("outputs"), F.lit(0).alias("seq"))
+    reports = columns.withColumn("seq", F.lit(1)).unionByName(late).unionByName(long)
+    matrix = stack_columns(reports, "chunk_id", "neuron", "outputs", width, CHUNK, "seq")
     rows = matrix.select(
         global_id(F.col("chunk_id"), F.col("pos"), CHUNK).alias("row_id"), "vector"
     )

@@ -1,6 +1,7 @@
 """Table sinks."""
 
 from fanweave.sinks.predictions import (
+    compact_upserts,
     latest_predictions,
     pending,
     read_upserts,
@@ -9,5 +10,6 @@ from fanweave.sinks.predictions import (
 )
 
 __all__ = [
-    "latest_predictions", "pending", "read_upserts", "upsert_predictions", "write_predictions",
+    "compact_upserts", "latest_predictions", "pending", "read_upserts", "upsert_predictions",
+    "write_predictions",
 ]

@@ -27,17 +27,14 @@ def latest_predictions(df: DataFrame, id: str = "image_id", seq: str = "seq") ->
     return df.groupBy(id).agg(F.max_by("prediction", seq).cast("int").alias("prediction"))
 
 
-def upsert_predictions(batch: DataFrame, batch_id: int, path: str, seq: str | None = None) -> None:
+def upsert_predictions(batch: DataFrame, batch_id: int, path: str, seq: str) -> None:
     """Add one batch of predictions to an upsert log; use it in ``foreachBatch``.
 
-    Each batch owns one folder and overwrites it, so a replayed batch leaves the
+    Of several predictions of an id in a batch the last by ``seq`` counts. Each batch owns one folder and overwrites it, so a replayed batch leaves the
     same log. Readers merge with :func:`read_upserts`; nothing already written is
     rewritten.
     """
-    rank = F.col(seq) if seq else F.col("prediction")
-    merged = batch.groupBy("image_id").agg(
-        F.max_by("prediction", rank).cast("int").alias("prediction")
-    )
+    merged = latest_predictions(batch, "image_id", seq)
     merged.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
 
 
@@ -46,6 +43,18 @@ def read_upserts(spark: SparkSession, path: str) -> DataFrame:
     return latest_predictions(spark.read.parquet(path), "image_id", "batch_id")
 
 
+def compact_upserts(spark: SparkSession, path: str, into: str) -> None:
+    """Write a log with the current predictions only; it takes the old log's place.
+
+    The result keeps each id's batch, so a batch that is replayed later still merges.
+    """
+    log = spark.read.parquet(path)
+    last = F.max(F.struct("batch_id", "prediction")).alias("last")
+    log.groupBy("image_id").agg(last).select(
+        "image_id", "last.prediction", "last.batch_id"
+    ).write.partitionBy("batch_id").parquet(into)
+
+
 def pending(df: DataFrame, finished: DataFrame, id: str = "image_id") -> DataFrame:
     """Rows of ``df`` whose id is not among the finished ones."""
     return df.join(finished.select(id).distinct(), id, "left_anti")

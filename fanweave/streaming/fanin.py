@@ -26,9 +26,9 @@ COMPLETE = ("distinct", "arrivals", "batch_arrivals")
 class Gather(StatefulProcessor):
     """Fan-in of one id; see :func:`fan_in_stream` for the options."""
 
-    def __init__(self, id, n, dup, complete, fill, ttl_ms, once):
+    def __init__(self, id, n, dup, complete, fill, ttl_ms, once, forget):
         self.id, self.n, self.dup, self.complete = id, n, dup, complete
-        self.fill, self.ttl_ms, self.once = fill, ttl_ms, once
+        self.fill, self.ttl_ms, self.once, self.forget = fill, ttl_ms, once, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("slots", STATE, self.ttl_ms)
@@ -36,8 +36,10 @@ class Gather(StatefulProcessor):
     def _load(self) -> None:
         if self.state.exists():
             vals, seqs, arrived, cycle, closed = self.state.get()
-            self.vals = np.array(vals, dtype=np.float64)
-            self.seqs = np.array(seqs, dtype=np.int64)
+            self._reset_slots()
+            if len(vals):
+                self.vals = np.array(vals, dtype=np.float64)
+                self.seqs = np.array(seqs, dtype=np.int64)
             self.arrived, self.cycle, self.closed = int(arrived), int(cycle), bool(closed)
         else:
             self._reset_slots()
@@ -48,10 +50,15 @@ class Gather(StatefulProcessor):
         self.seqs = np.full(self.n, EMPTY, dtype=np.int64)
 
     def _save(self) -> None:
-        if self.closed:
-            self._reset_slots()
+        """Keep what the id still needs: nothing when forgotten, no slots when closed or new."""
+        idle = self.arrived == 0 and (self.seqs == EMPTY).all()
+        if self.forget and idle:
+            self.state.clear()
+            return
+        kept = slice(0, 0) if self.closed or idle else slice(None)
         self.state.update(
-            (self.vals.tolist(), self.seqs.tolist(), self.arrived, self.cycle, self.closed)
+            (self.vals[kept].tolist(), self.seqs[kept].tolist(), self.arrived, self.cycle,
+             self.closed)
         )
 
     def _vector(self) -> list:
@@ -95,27 +102,58 @@ class Gather(StatefulProcessor):
             return [self._fire(self.seqs.max())]
         return []
 
+    def _put(self, slots: np.ndarray, values: np.ndarray, seqs: np.ndarray) -> None:
+        """Write messages in their order; slots outside the vector have no place in it."""
+        inside = slots >= 0
+        slots, values, seqs = slots[inside], values[inside], seqs[inside]
+        if self.dup == "first":
+            slots, first = np.unique(slots, return_index=True)
+            values, seqs = values[first], seqs[first]
+            free = self.seqs[slots] == EMPTY
+            slots, values, seqs = slots[free], values[free], seqs[free]
+        # of repeated slots numpy keeps the last
+        self.vals[slots], self.seqs[slots] = values, seqs
+
+    def _until(self, slots: np.ndarray) -> int:
+        """How many messages the open cycle still takes; more than there are if it stays open."""
+        if self.complete == "arrivals":
+            return self.n - self.arrived
+        missing = np.flatnonzero(self.seqs == EMPTY)
+        window = 4 * self.n
+        while True:
+            seen, first = np.unique(slots[:window], return_index=True)
+            found = np.isin(missing, seen)
+            if found.all():
+                return int(first[np.isin(seen, missing)].max()) + 1 if len(missing) else 1
+            if window >= len(slots):
+                return len(slots) + 1
+            window *= 2
+
     def _replay(self, rows: Iterator[pd.DataFrame]) -> list[tuple]:
-        """Message by message in arrival order; holds one id's rows of one micro-batch."""
+        """Cycle by cycle in arrival order; holds one id's rows of one micro-batch."""
         frames = [f for f in rows if len(f)]
         if not frames:
             return []
         batch = pd.concat(frames).sort_values("msg_seq", kind="stable")
+        slots = batch["msg_slot"].to_numpy(dtype=np.int64)
+        values = batch["msg_value"].to_numpy(dtype=np.float64)
+        seqs = batch["msg_seq"].to_numpy(dtype=np.int64)
         fired: list[tuple] = []
-        seq = EMPTY
-        for slot, value, seq in zip(batch["msg_slot"], batch["msg_value"], batch["msg_seq"]):
-            if self.dup == "last" or self.seqs[slot] == EMPTY:
-                self.vals[slot], self.seqs[slot] = value, seq
-            self.arrived += 1
-            if self.complete == "arrivals" and self.arrived >= self.n:
-                fired.append(self._fire(seq))
-            elif self.complete == "distinct" and (self.seqs != EMPTY).all():
-                fired.append(self._fire(seq))
-                self._reset_slots()
-            if self.closed:
-                return fired
-        if self.complete == "batch_arrivals" and self.arrived >= self.n:
-            fired.append(self._fire(seq))
+        if self.complete == "batch_arrivals":
+            self._put(slots, values, seqs)
+            self.arrived += len(slots)
+            return [self._fire(seqs[-1])] if self.arrived >= self.n else fired
+        at = 0
+        while at < len(slots) and not self.closed:
+            take = self._until(slots[at:])
+            end = min(at + take, len(slots))
+            self._put(slots[at:end], values[at:end], seqs[at:end])
+            self.arrived += end - at
+            if at + take <= len(slots):
+                fired.append(self._fire(seqs[end - 1]))
+                if self.complete == "distinct":
+                    self._reset_slots()
+            at = end
         return fired
 
     def close(self) -> None:
@@ -130,14 +168,16 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fan_in_stream(
     df: DataFrame, id: str, slot: str, value: str, seq: str, n: int,
     dup: str = "first", complete: str = "distinct", fill: float | None = None,
-    ttl_ms: int | None = None, once: bool = False,
+    ttl_ms: int | None = None, once: bool = False, forget: bool = False,
 ) -> DataFrame:
     """Completed vectors of a message stream: ``(id, cycle, completed_seq, vector)``.
 
     ``seq`` is a BIGINT arrival number. ``once`` keeps only the first completion of
     an id; otherwise the next message opens a new cycle. ``complete`` may also be
     ``batch_arrivals``: arrivals are counted once per micro-batch, so a cycle can
-    take more than ``n``. ``ttl_ms`` drops the state of an id that got no message
+    take more than ``n``. Counting arrivals, slots outside the vector count, as in batches.
+    ``forget`` drops the state of an id when its vector is complete; the numbers of its
+    cycles then start at 0 again. With ``once`` a mark without slots stays. ``ttl_ms`` drops the state of an id that got no message
     for that long; such a query runs until it is stopped, so start it with a trigger.
 
     First write, distinct slots and ``once`` do not depend on the order inside a
@@ -150,9 +190,14 @@ def fan_in_stream(
     if complete != "distinct" and dup != "last":
         raise ValueError("counting arrivals overwrites slots: use dup='last'")
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    if forget and once:
+        raise ValueError("an id that completes only once must be remembered")
     id_type = df.schema[id].dataType
-    messages = df.filter(F.col(id).isNotNull() & F.col(slot).between(0, n - 1)).select(
-        F.col(id).alias("msg_id"), F.col(slot).cast("int").alias("msg_slot"),
+    inside = F.coalesce(F.col(slot).between(0, n - 1), F.lit(False))
+    known = df.filter(F.col(id).isNotNull() & (inside if complete == "distinct" else F.lit(True)))
+    messages = known.select(
+        F.col(id).alias("msg_id"),
+        F.when(inside, F.col(slot)).otherwise(-1).cast("int").alias("msg_slot"),
         F.col(value).cast("double").alias("msg_value"), F.col(seq).cast("bigint").alias("msg_seq"),
     )
     if complete == "distinct" and dup == "first" and once:
@@ -166,7 +211,7 @@ def fan_in_stream(
         ]
     )
     return messages.groupBy("msg_id").transformWithStateInPandas(
-        Gather(id, n, dup, complete, fill, ttl_ms, once),
+        Gather(id, n, dup, complete, fill, ttl_ms, once, forget),
         outputStructType=output,
         outputMode="Append",
         timeMode="None" if ttl_ms is None else "ProcessingTime",

@@ -38,7 +38,8 @@ def predictions_by_messages(
 ) -> DataFrame:
     """The message form: every layer is a fan-out and a stateful fan-in by id.
 
-    An id may be sent again later and is then predicted again.
+    An id may be sent again in a later micro-batch and is then predicted again; a finished id
+    leaves no state behind.
     """
     widths = {
         r["layer"]: r["n"]
@@ -48,7 +49,8 @@ def predictions_by_messages(
     for layer in sorted(widths):
         messages = neuron_messages(vectors, neurons, layer, id).withColumn("seq", F.lit(0))
         vectors = fan_in_stream(
-            messages, id, "slot", "value", "seq", widths[layer], ttl_ms=ttl_ms
+            messages, id, "slot", "value", "seq", widths[layer], ttl_ms=ttl_ms,
+            forget=True,
         ).select(id, F.col("vector").alias("features"))
     return vectors.select(id, argmax(F.col("features")).alias("prediction"))
 

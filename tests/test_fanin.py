@@ -10,6 +10,8 @@ from fanweave.operators.fanin import (
     completed_ids,
     completeness,
     fan_in,
+    misplaced,
+    oversized_reports,
     stack_columns,
     strict_check,
     within_ttl,
@@ -161,15 +163,39 @@ def test_completeness_and_completed(spark):
 def test_stack_columns_with_a_short_chunk(spark):
     rows = [(0, 0, [1.0, 2.0]), (0, 1, [3.0, 4.0]), (1, 0, [5.0]), (1, 1, [6.0]), (2, 0, [9.0])]
     df = spark.createDataFrame(rows, "chunk INT, neuron INT, out ARRAY<DOUBLE>")
-    got = sorted(map(tuple, stack_columns(df, "chunk", "neuron", "out", 2, 2).collect()))
+    df = df.withColumn("seq", F.lit(1))
+    got = sorted(map(tuple, stack_columns(df, "chunk", "neuron", "out", 2, 2, "seq").collect()))
     assert got == [(0, 0, [1.0, 3.0]), (0, 1, [2.0, 4.0]), (1, 0, [5.0, 6.0])]
 
 
+def test_stack_columns_takes_the_first_report_and_lists_the_oversized(spark):
+    rows = [(0, 0, [9.0], 5), (0, 0, [1.0], 2), (0, 1, [3.0, 4.0], 1), (0, 1, [7.0], 3)]
+    df = spark.createDataFrame(rows, "chunk INT, neuron INT, out ARRAY<DOUBLE>, seq INT").repartition(3)
+    got = [tuple(r) for r in stack_columns(df, "chunk", "neuron", "out", 2, 1, "seq").collect()]
+    assert got == [(0, 0, [1.0, 7.0])]
+    bad = [(r.neuron, r.reason) for r in oversized_reports(df, "out", 1).collect()]
+    assert bad == [(1, "expected at most 1 outputs, got 2")]
+
+
+@pytest.mark.parametrize("n", [2, 20])
+@pytest.mark.parametrize("hot_rows", [1, 10**9])
+def test_arrivals_outside_the_vector_count(spark, n, hot_rows):
+    rows = [(1, None, 5.0, 0), (1, n + 7, 5.0, 1)] + [(1, k % n, float(k), k + 2) for k in range(2 * n - 2)]
+    got = run(spark, rows, n, dup="last", complete="arrivals", fill=0.0, hot_rows=hot_rows)
+    assert got == models.arrivals(rows, n, 0.0)
+    assert {(c, s) for _, c, s, _ in got} == {(0, n - 1), (1, 2 * n - 1)}
+    df = spark.createDataFrame([*rows, (None, 0, 1.0, 99)], SCHEMA)
+    assert sorted(r.reason for r in misplaced(df, "id", "slot", n).collect()) == [
+        "no id", "no slot", "slot out of range"]
+
+
 def test_hot_keys_and_the_split_join(spark):
     df = spark.range(900).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
-    assert hot_keys(df, "k", 100) == [1]
+    hot = hot_keys(df, "k", 100)
+    assert [r.k for r in hot.collect()] == [1] and hot_keys(df, "k", 1000) is None
+    assert hot_keys(df, "k", 1).count() == 600  # no number of hot keys is too large
     facts = df.groupBy("k").count()
-    joined = attach_per_key(df, facts, "k", [1])
+    joined = attach_per_key(df, facts, "k", hot)
     assert joined.count() == 900
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
@@ -179,3 +205,6 @@ def test_arrival_seq_orders_by_time_then_tie(spark):
     df = spark.createDataFrame([(2, 1), (1, 9), (1, 2)], "t BIGINT, e BIGINT")
     seq = arrival_seq(F.col("t"), F.col("e"))
     assert [tuple(r) for r in df.orderBy(seq).collect()] == [(1, 2), (1, 9), (2, 1)]
+    early = spark.createDataFrame([(-1, 1)], df.schema).select(seq)
+    with pytest.raises(Exception, match="from 0 on"):
+        early.collect()

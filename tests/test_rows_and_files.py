@@ -13,6 +13,7 @@ from fanweave.operators.rows import (
 )
 from fanweave.session import new_path, shared_dir, stage
 from fanweave.sinks import (
+    compact_upserts,
     latest_predictions,
     pending,
     read_upserts,
@@ -112,6 +113,37 @@ def test_upserts_survive_a_replay(spark):
     for batch, batch_id in ((one, 0), (two, 1), (two, 1), (one, 0)):
         upsert_predictions(batch, batch_id, path, seq="seq")
     assert sorted(map(tuple, read_upserts(spark, path).collect())) == [(1, 6), (2, 8)]
+    short = new_path(spark, "test-upserts")
+    compact_upserts(spark, path, short)
+    assert spark.read.parquet(short).count() == 2
+    assert sorted(map(tuple, read_upserts(spark, short).collect())) == [(1, 6), (2, 8)]
+
+
+def test_the_last_write_of_a_batch_counts(spark):
+    path = new_path(spark, "test-upserts")
+    batch = spark.createDataFrame([(1, 9, 0), (1, 3, 1)], "image_id BIGINT, prediction INT, seq INT")
+    upsert_predictions(batch, 0, path, "seq")
+    assert [tuple(r) for r in read_upserts(spark, path).collect()] == [(1, 3)]
+
+
+def test_a_scan_moves_no_rows(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("a,b,label\n" + "1,2,3\n" * 50)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = scan_features(spark, str(path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert "SortMergeJoin" not in plan
+
+
+def test_first_rows_are_found_on_the_id_alone(spark):
+    rows = [(k % 40, [float(k)]) for k in range(200)]
+    df = spark.createDataFrame(rows, "image_id BIGINT, features ARRAY<DOUBLE>").repartition(3)
+    assert [r.image_id for r in limit_rows(df, 7).collect()] == [0] * 5 + [1] * 2
+    assert limit_rows(df, 500).count() == 200 and limit_rows(df.limit(0), 5).count() == 0
 
 
 def test_latest_and_pending(spark):

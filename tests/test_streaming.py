@@ -101,6 +101,45 @@ def test_arrivals_counted_per_batch_overshoot(spark, tmp_path):
     assert run(spark, df) == {(1, 0, 3, (2.0, 4.0))}
 
 
+def random_with_outside(seed, n, rows):
+    rng = random.Random(seed)
+    return [(rng.randrange(3), rng.randrange(-1, n + 2), float(q), q) for q in range(rows)]
+
+
+@pytest.mark.parametrize("n", [2, 20])
+@pytest.mark.parametrize(
+    "options", [{}, {"dup": "last"}, {"dup": "last", "complete": "arrivals", "fill": 0.0}])
+def test_stream_equals_batch_with_slots_outside(spark, tmp_path, n, options):
+    rows = random_with_outside(n, n, 600)
+    for part in range(2):
+        put(tmp_path, part, rows[part * 300:part * 300 + 300])
+    df = fan_in_stream(stream(spark, tmp_path), "id", "slot", "value", "seq", n, **options)
+    cycles = {} if "complete" in options else {"cycles": "all"}
+    batch = fan_in(spark.createDataFrame(rows, SCHEMA), "id", "slot", "value", "seq", n,
+                   **options, **cycles)
+    want = {(r.id, r.cycle, r.completed_seq, tuple(r.vector)) for r in batch.collect()}
+    assert want and run(spark, df) == want
+
+
+def test_finished_ids_leave_no_state(spark, tmp_path):
+    put(tmp_path, 0, [(i, s, 1.0, s) for i in range(50) for s in range(2)] + [(99, 0, 1.0, 9)])
+    left = {}
+    for forget in (False, True):
+        df = fan_in_stream(stream(spark, tmp_path), "id", "slot", "value", "seq", 2, forget=forget)
+        path = new_path(spark, "state-test")
+        query = start(df, f"{path}-c", path=f"{path}-out")
+        drain(query)
+        left[forget] = max(state_rows_of(p) for p in query.recentProgress)
+        assert len(spark.read.parquet(f"{path}-out").collect()) == 50
+    assert left == {False: 51, True: 1}
+    with pytest.raises(ValueError):
+        fan_in_stream(stream(spark, tmp_path), "id", "slot", "value", "seq", 2, once=True, forget=True)
+
+
+def state_rows_of(progress):
+    return sum(op["numRowsTotal"] for op in progress["stateOperators"])
+
+
 def test_wrong_stream_options(spark, tmp_path):
     put(tmp_path, 0, [(1, 0, 1.0, 0)])
     df = stream(spark, tmp_path)
@@ -180,11 +219,13 @@ def test_streamed_predictions_equal_batch(spark, tmp_path, by_messages):
 
 
 def test_upserts_from_a_stream(spark, tmp_path):
-    put(tmp_path, 0, [(1, 3), (2, 4)], ("image_id", "prediction"))
-    put(tmp_path, 1, [(1, 5)], ("image_id", "prediction"))
-    src = read_messages(spark, path=str(tmp_path), schema=schemas.PREDICTIONS, rate=1)
+    columns = ("image_id", "prediction", "seq")
+    put(tmp_path, 0, [(1, 9, 1), (1, 3, 2), (2, 4, 1)], columns)
+    put(tmp_path, 1, [(1, 5, 3)], columns)
+    schema = f"{schemas.PREDICTIONS}, seq BIGINT"
+    src = read_messages(spark, path=str(tmp_path), schema=schema, rate=1)
     path = new_path(spark, "upsert-test")
-    drain(start(src, f"{path}-c", each_batch=lambda df, i: upsert_predictions(df, i, path)))
+    drain(start(src, f"{path}-c", each_batch=lambda df, i: upsert_predictions(df, i, path, "seq")))
     assert sorted(map(tuple, read_upserts(spark, path).collect())) == [(1, 5), (2, 4)]
 
 
