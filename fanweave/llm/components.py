@@ -38,10 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
     partial aggregates and in joins that Spark can split; the number of rounds grows with
     the logarithm of the longest path.
     """
-    edges = stage(edges.filter("a <> b").select("a", "b").distinct(), "edges")
-    state = _state(edges)
+    edges = stage(edges.filter("a <> b").select("a", "b"), "edges")
+    state: tuple | None = None
     while True:
-        edges = stage(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        edges = stage(_small_star(_large_star(edges)).distinct(), "edges")
         after = _state(edges)
         if after == state:
             break

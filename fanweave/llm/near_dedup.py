@@ -5,14 +5,15 @@
    of the hashes) form a class; the rest works on classes, so copies cost nothing.
 2. Classes that agree in the six registers of one of 42 bands share a bucket. Two sets
    with similarity 0.85 miss all buckets of each other with probability 2e-9.
-3. Buckets are resolved in rounds. In the first, every class of a bucket is paired with
+3. Buckets are resolved in two rounds. In the first, every class of a bucket is paired with
    the bucket's most central class, the one whose buckets are the largest: the original
-   of a group of copies shares more buckets with them than they do with each other. In
-   each later round, some remaining classes of each unresolved bucket (64, 256, ..., all
-   of a bucket with fewer) are paired with those classes of it that are not yet
-   connected to them. A bucket is done when its remaining classes are connected. So no
-   pair that could connect two components stays untested, and groups of copies are
-   never expanded into all pairs.
+   of a group of copies shares more buckets with them than they do with each other.
+   After that most buckets are connected and done. In the others, those classes that are
+   not connected with the central one meet all classes of the bucket, block by block: a
+   row holds two blocks of about ``BLOCK`` sketches, and the task that compares them
+   returns only pairs that are in different components, whose estimate is high enough,
+   and for which this is the first bucket they share. So no pair that could connect two
+   components stays untested, and groups of copies are never expanded into pairs.
 4. A pair is dropped if its joint-likelihood similarity is six standard errors below the
    threshold (probability 1e-9 for a true link), else confirmed on both full sets.
 5. Links are contracted to connected components.
@@ -35,15 +36,15 @@ from pyspark.sql import functions as F
 
 from fanweave.llm.components import components
 from fanweave.llm.rows import fresh, numbered, small_batches
-from fanweave.llm.setsketch import REGISTERS, band_keys, joint_similarity, registers
+from fanweave.llm.setsketch import BANDS, REGISTERS, band_keys, joint_similarity, registers
 from fanweave.llm.words import mix, shingle_sets, text_slices
 from fanweave.session import stage
 
 PERCENT = 85
 #: standard errors by which an estimate may fall short
 MARGIN = 6.0
-#: remaining classes per bucket that the second round pairs; each later round, four times as many
-FIRST_LEADERS = 64
+#: classes of a bucket that are compared as one block
+BLOCK = 64
 #: sets are fetched through a broadcast of at most so many ids, beyond it by a join
 BROADCAST_IDS = 1_000_000
 
@@ -83,9 +84,11 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b"".join(batch.column("sketch").to_pylist()), np.uint16
         ).reshape(-1, REGISTERS)
         keys = band_keys(sketches)
-        cid = np.repeat(np.asarray(batch.column("cid")), keys.shape[1])
+        cid, n = (np.repeat(np.asarray(batch.column(c)), BANDS) for c in ("cid", "n"))
+        slot = np.tile(np.arange(BANDS), len(keys))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.reshape(-1).view(np.int64)), pa.array(cid)], ["band", "cid"]
+            [pa.array(keys.reshape(-1).view(np.int64)), pa.array(slot), pa.array(cid), pa.array(n)],
+            ["band", "slot", "cid", "n"],
         )
 
 
@@ -103,10 +106,19 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- pairs -----------------------------------------------------------------------------------
 
+#: what leads from a class to the text of its first document
+FACTS = ("rep", "n", "k1", "k2")
+NEAR = ("a", "b", *(f"{c}_{side}" for side in "ab" for c in FACTS))
+NEAR_SCHEMA = ", ".join(f"{c} long" for c in NEAR)
 
-def _estimated(percent: int):
+
+def _least_estimate(percent: int) -> float:
     share = percent / 100
-    least = share - MARGIN * np.sqrt(share * (1 - share) / REGISTERS)
+    return share - MARGIN * np.sqrt(share * (1 - share) / REGISTERS)
+
+
+def _estimated(percent: int):
+    least = _least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,8 +133,7 @@ def _estimated(percent: int):
             near = joint_similarity(left, right, *sizes) >= least
             rows = pa.array(np.flatnonzero(near))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a").take(rows), batch.column("b").take(rows)], ["a", "b"]
-            )
+                [batch.column(c).take(rows) for c in NEAR], list(NEAR))
 
     return run
 
@@ -150,12 +161,16 @@ def _confirmed(percent: int):
     return run
 
 
-def _full_sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(cid, elements)`` of the wanted classes, from the texts of their first documents."""
-    wanted = stage(wanted.join(classes.select("cid", "rep", "n", "k1", "k2"), "cid"), "wanted")
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+def _full_sets(texts: DataFrame, near: DataFrame) -> DataFrame:
+    """``(cid, elements)`` of the classes in the pairs, from the texts of their first documents."""
+    both = F.array(*(
+        F.struct(F.col(s).alias("cid"), *(F.col(f"{c}_{s}").alias(c) for c in FACTS))
+        for s in "ab"
+    ))
+    wanted = stage(near.select(F.inline(both)).distinct(), "wanted")
+    ids = wanted.select(F.col("rep").alias("doc_id"))
     if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+        ids, wanted = F.broadcast(ids), F.broadcast(wanted)
     found = small_batches(texts.join(ids, "doc_id", "left_semi").select("text")).mapInArrow(
         _set_rows, "n long, k1 long, k2 long, elements binary"
     )
@@ -164,9 +179,9 @@ def _full_sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataF
     return stage(sets.dropDuplicates(["cid"]), "full-sets")
 
 
-def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that are links."""
-    facts = classes.select("cid", "n", "sketch")
+def _estimated_pairs(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose estimate is high enough, with the facts of both classes."""
+    facts = classes.select("cid", *FACTS, "sketch")
 
     def side(name: str) -> DataFrame:
         return facts.select(*(F.col(c).alias(f"{c}_{name}") for c in facts.columns))
@@ -174,11 +189,14 @@ def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int)
     both = (
         pairs.join(side("a"), F.col("a") == F.col("cid_a"))
         .join(side("b"), F.col("b") == F.col("cid_b"))
-        .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        .select(*NEAR, "sketch_a", "sketch_b")
     )
-    near = stage(small_batches(both).mapInArrow(_estimated(percent), "a long, b long"), "near-pairs")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = _full_sets(texts, classes, wanted)
+    return stage(small_batches(both).mapInArrow(_estimated(percent), NEAR_SCHEMA), "near-pairs")
+
+
+def _links(texts: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that full sets confirm."""
+    sets = _full_sets(texts, near)
     full = (
         near.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("set_a")), "a")
         .join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("set_b")), "b")
@@ -187,45 +205,95 @@ def _links(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int)
     return stage(small_batches(full).mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
 
-def _similar_sizes(percent: int) -> Column:
+def _first_pairs(members: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """Every class of a bucket with the bucket's most central class."""
     small, large = F.least("n", "n_lead"), F.greatest("n", "n_lead")
-    return small * 100 >= large * percent
-
-
-def _as_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.select(
+    found = members.join(leaders, "band").filter(F.col("cid") != F.col("lead"))
+    return found.filter(small * 100 >= large * percent).select(
         F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")
     ).distinct()
 
 
-def _first_pairs(members: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
-    lead = leaders.select("band", "lead", "n_lead")
-    found = members.join(lead, "band").filter(F.col("cid") != F.col("lead"))
-    return _as_pairs(found.filter(_similar_sizes(percent)))
+def _block_tester(percent: int):
+    """Compare two blocks of a bucket; the pairs that must be confirmed."""
+    least = _least_estimate(percent)
 
+    def table(block: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        sketches = np.frombuffer(b"".join(m["sketch"] for m in block), np.uint16)
+        columns = ("cid", "root", *FACTS)
+        return sketches.reshape(-1, REGISTERS), np.array(
+            [[m[c] for c in columns] for m in block], np.int64)
 
-def _later_pairs(
-    members: DataFrame, leaders: DataFrame, roots: DataFrame, done: int, until: int, percent: int
-) -> DataFrame:
-    """Pairs of classes of a bucket in different components; one of each is a new leader."""
-    place = F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
-    rest = (
-        members.join(leaders.select("band", "lead"), "band")
-        .filter(F.col("cid") != F.col("lead")).drop("lead")
-        .withColumn("place", place).filter(F.col("place") >= done)
-        .join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
-        .withColumn("root", F.coalesce("root", "cid"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                (left, x), (right, y) = table(row["left"]), table(row["right"])
+                n, m = x[:, 3][:, None], y[:, 3][None, :]
+                open_ = (x[:, 1][:, None] != y[:, 1][None, :]) & (
+                    np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+                if row["same"]:  # a block with itself: each pair once
+                    open_ &= x[:, 0][:, None] < y[:, 0][None, :]
+                i, k = np.nonzero(open_)
+                for begin in range(0, len(i), 4096):
+                    a, b = i[begin: begin + 4096], k[begin: begin + 4096]
+                    same = left[a] == right[b]
+                    bands = same.reshape(len(a), BANDS, -1).all(2)
+                    kept = (same.mean(1) >= least - 0.05) & (bands.argmax(1) == row["slot"])
+                    a, b = a[kept], b[kept]
+                    near = joint_similarity(
+                        left[a], right[b], x[a, 3].astype(float), y[b, 3].astype(float)) >= least
+                    found.append(np.hstack([
+                        x[a[near]][:, :1], y[b[near]][:, :1], x[a[near]][:, 2:], y[b[near]][:, 2:]]))
+            rows = np.concatenate(found) if found else np.zeros((0, len(NEAR)), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], list(NEAR))
+
+    return run
+
+
+def _open_pairs(
+    members: DataFrame, leaders: DataFrame, roots: DataFrame, classes: DataFrame, percent: int
+) -> DataFrame | None:
+    """Near pairs of classes of a bucket that the first round left in different components.
+
+    None if all classes of every bucket are connected.
+    """
+    known = roots.select(F.col("node").alias("cid"), "root")
+    lead = leaders.select("band", "lead").join(
+        roots.select(F.col("node").alias("lead"), F.col("root").alias("root_lead")), "lead", "left"
+    ).withColumn("root_lead", F.coalesce("root_lead", "lead"))
+    rest = stage(
+        members.select("band", "slot", "cid", "size").join(lead, "band")
+        .filter(F.col("cid") != F.col("lead"))
+        .join(known, "cid", "left")
+        .withColumn("root", F.coalesce("root", "cid")),
+        "rest-of-buckets",
+    )
+    ends = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    open_ = stage(ends.filter("low < high").select("band"), "open-buckets")
+    if open_.isEmpty():
+        return None
+    blocks = F.ceil(F.col("size") / BLOCK)
+    placed = rest.join(open_, "band").join(classes.select("cid", *FACTS, "sketch"), "cid").select(
+        "band", "slot", F.pmod(F.xxhash64("cid"), blocks).alias("block"),
+        (F.col("root") != F.col("root_lead")).alias("is_left"),
+        F.struct("cid", "root", *FACTS, "sketch").alias("member"),
     )
-    rest = stage(rest, "rest-of-buckets")
-    open_ = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    rest = rest.join(open_.filter("low < high").select("band"), "band")
-    lead = rest.filter(F.col("place") < until).select(
-        "band", F.col("cid").alias("lead"), F.col("n").alias("n_lead"),
-        F.col("root").alias("root_lead"),
+    # about BLOCK members of a bucket each, whatever the bucket's size
+    gathered = stage(
+        placed.groupBy("band", "slot", "block", "is_left").agg(
+            F.collect_list("member").alias("members")),
+        "bucket-blocks",
     )
-    twice = (F.col("place") < until) & (F.col("cid") < F.col("lead"))
-    found = rest.join(lead, "band").filter((F.col("root") != F.col("root_lead")) & ~twice)
-    return _as_pairs(found.filter(_similar_sizes(percent)))
+    left = gathered.filter("is_left").select("band", "slot", F.col("block").alias("at"),
+                                             F.col("members").alias("left"))
+    right = gathered.select("band", "is_left", F.col("block").alias("to"),
+                            F.col("members").alias("right"))
+    once = ~F.col("is_left") | (F.col("at") <= F.col("to"))
+    both = left.join(right, "band").filter(once).select(
+        "slot", "left", "right", (F.col("is_left") & (F.col("at") == F.col("to"))).alias("same"))
+    return stage(
+        small_batches(both, 64).mapInArrow(_block_tester(percent), NEAR_SCHEMA), "open-pairs")
 
 
 # --- public operators ------------------------------------------------------------------------
@@ -256,37 +324,28 @@ def near_duplicates(
     )
     # sets so small that one other element is too much can only be equal
     banded = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent)
-    bands = banded.select("cid", "sketch").mapInArrow(_bands, "band long, cid long")
+    bands = banded.select("cid", "n", "sketch").mapInArrow(
+        _bands, "band long, slot long, cid long, n long")
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = stage(bands.join(sizes, "band"), "buckets")
     central = shared.groupBy("cid").agg(F.sum("size").alias("central"))
-    facts = central.join(classes.select("cid", "n"), "cid")
-    members = stage(shared.join(facts, "cid"), "bucket-members")
+    members = stage(shared.join(central, "cid"), "bucket-members")
     best = F.max(F.struct("central", (-F.col("cid")).alias("minus"), "n")).alias("best")
     leaders = stage(
         members.groupBy("band").agg(best).select(
             "band", (-F.col("best.minus")).alias("lead"), F.col("best.n").alias("n_lead")),
         "leaders",
     )
-    tested = pairs = stage(_first_pairs(members, leaders, percent), "pairs")
-    links, roots, done, until = None, None, 0, FIRST_LEADERS
-    largest = shared.agg(F.max("size")).first()[0] or 0
-    while True:
-        if not pairs.isEmpty():
-            found = _links(named, classes, pairs, percent)
-            links = found if links is None else links.unionByName(found)
-            roots = stage(components(links), "roots")
-        elif roots is None:
-            roots = stage(pairs.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots")
-        if done >= largest:
-            break
-        pairs = stage(
-            _later_pairs(members, leaders, roots, done, until, percent)
-            .join(tested, ["a", "b"], "left_anti"),
-            "pairs",
-        )
-        tested = tested.unionByName(pairs)
-        done, until = until, until * 4
+    near = _estimated_pairs(classes, _first_pairs(members, leaders, percent), percent)
+    links = _links(named, near, percent)
+    roots = stage(components(links), "roots")
+    near = _open_pairs(members, leaders, roots, classes, percent)
+    if near is not None and not near.isEmpty():
+        links = _links(named, near, percent)
+        if not links.isEmpty():
+            # the components so far are stars, which keeps the contraction short
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = stage(components(links.unionByName(known)), "roots")
     linked = classes.join(roots, classes["cid"] == roots["node"], "left").select(
         *key, "rep", F.coalesce("root", "cid").alias("root")
     )

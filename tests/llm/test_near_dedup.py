@@ -80,9 +80,9 @@ def make_rows(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("leaders", [64, 2])
-def test_components_by_brute_force(spark, monkeypatch, leaders):
-    monkeypatch.setattr(nd, "FIRST_LEADERS", leaders)
+@pytest.mark.parametrize("block", [64, 3])
+def test_components_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block)
     rows = make_rows()
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(3)
     got = nd.near_duplicates(df).drop("row_no")
@@ -90,10 +90,9 @@ def test_components_by_brute_force(spark, monkeypatch, leaders):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
 
 
-def test_without_broadcast_and_central_start(spark, monkeypatch):
-    """The least central start and the join instead of the broadcast give the same."""
+def test_without_broadcast(spark, monkeypatch):
+    """The join instead of the broadcast gives the same."""
     monkeypatch.setattr(nd, "BROADCAST_IDS", -1)
-    monkeypatch.setattr(nd, "FIRST_LEADERS", 1)
     rows = make_rows(2)[:250]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)
     got = nd.near_duplicates(df).drop("row_no").collect()
