@@ -1,28 +1,29 @@
 """Mini-batch training of a Linear-ReLU-Linear classifier as Spark jobs.
 
-One job per epoch. Every task starts from the same weights, runs Adam on
-mini-batches of its own partition and sends its weights out once; Spark averages
-them by row count. No image moves: the shuffle carries weights only. With one
-partition this is plain mini-batch Adam.
+A hash of the id decides the mini-batch of a row, and the rows are written once, by
+mini-batch. A step is a job over one mini-batch: every task sums the gradients of its
+rows into one packed array, the arrays are summed in a tree, and the driver makes one
+Adam update. So the result does not depend on how the rows are partitioned or ordered,
+but for rounding. Each epoch takes the mini-batches in another random order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanweave import schemas
 from fanweave.operators.forward import BROADCAST_LIMIT, _matrix
-from fanweave.session import stage
+from fanweave.session import new_path
 
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
-STATE, STEPS, LOSS = 0, 1, 2
-OUTPUT = "kind INT, i INT, x DOUBLE, weight DOUBLE"
+#: at most so many packed gradients reach the driver in a step
+FAN_IN = 32
+PACKED = "gradient binary, loss double, rows long"
 
 
 class Network:
@@ -67,97 +68,118 @@ class Network:
         gradient = [x.T @ back, back.sum(axis=0), a.T @ delta, delta.sum(axis=0)]
         return loss, np.concatenate([g.reshape(-1) for g in gradient])
 
+    def flat(self, units: list) -> np.ndarray:
+        """The flat array of neuron rows ordered by layer and number."""
+        parts = []
+        for layer in (0, 1):
+            here = [u for u in units if u.layer == layer]
+            parts.append(np.array([u.weights for u in here]).T.reshape(-1))
+            parts.append(np.array([u.bias for u in here]))
+        return np.concatenate(parts)
 
-def _minibatches(
-    batches: Iterator[pa.RecordBatch], width: int, size: int, seed: int
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Mini-batches of ``size`` rows, shuffled inside each Arrow batch; the last may be short."""
-    rng = np.random.default_rng(seed)
-    rest_x, rest_y = np.empty((0, width)), np.empty(0, dtype=np.int64)
+
+def _packed(gradient: np.ndarray, loss: float, rows: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([gradient.tobytes()], pa.binary()), pa.array([loss]), pa.array([rows])],
+        names=["gradient", "loss", "rows"],
+    )
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The element-wise sum of packed gradients; one row a task."""
+    total, loss, rows = None, 0.0, 0
     for batch in batches:
-        x = _matrix(batch.column("features"), width)
-        y = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-        order = rng.permutation(len(y))
-        x, y = np.concatenate([rest_x, x[order]]), np.concatenate([rest_y, y[order]])
-        whole = len(y) - len(y) % size
-        for start in range(0, whole, size):
-            yield x[start:start + size], y[start:start + size]
-        rest_x, rest_y = x[whole:], y[whole:]
-    if len(rest_y):
-        yield rest_x, rest_y
-
-
-def _epoch(
-    images: DataFrame, net: Network, state: np.ndarray, steps: float, epoch: int,
-    batch: int, lr: float, seed: int, report_every: int,
-) -> DataFrame:
-    """One pass over the images: row-weighted sums of weights and moments, and losses."""
-    shared = images.sparkSession.sparkContext.broadcast((state, steps))
+        for row in batch.to_pylist():
+            gradient = np.frombuffer(row["gradient"])
+            total = gradient.copy() if total is None else total + gradient
+            loss, rows = loss + row["loss"], rows + row["rows"]
+    if rows:
+        yield _packed(total, loss, rows)
+
+
+def _gradient(batch: DataFrame, net: Network, flat: np.ndarray) -> tuple[np.ndarray, float]:
+    """Mean gradient and mean loss over all rows of one mini-batch."""
+    shared = batch.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, t = shared.value
-        flat, m, v = (part.copy() for part in np.split(start, 3))
-        rows, step, losses = 0, 0, []
-        for x, y in _minibatches(batches, net.width, batch, seed + epoch):
-            loss, g = net.loss_and_gradient(flat, x, y)
-            t += 1
-            step += 1
-            m = BETA1 * m + (1 - BETA1) * g
-            v = BETA2 * v + (1 - BETA2) * g * g
-            flat -= lr * (m / (1 - BETA1 ** t)) / (np.sqrt(v / (1 - BETA2 ** t)) + EPSILON)
-            rows += len(y)
-            if step == 1 or step % report_every == 0:
-                losses.append((step, loss))
-        if not rows:
-            return
-        final = np.concatenate([flat, m, v])
-        kind = np.concatenate([
-            np.full(final.size, STATE), [STEPS], np.full(len(losses), LOSS)
-        ])
-        i = np.concatenate([np.arange(final.size), [0], [s for s, _ in losses]])
-        x = np.concatenate([final * rows, [t * rows], [value for _, value in losses]])
-        weight = np.where(kind == LOSS, 1.0, float(rows))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kind.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(x),
-             pa.array(weight)],
-            names=["kind", "i", "x", "weight"],
-        )
-
-    sums = images.select("features", "label").mapInArrow(run, OUTPUT).groupBy("kind", "i").agg(
-        (F.sum("x") / F.sum("weight")).alias("x")
+        total, loss, rows = np.zeros(net.size), 0.0, 0
+        for part in batches:
+            if part.num_rows:
+                x = _matrix(part.column("features"), net.width)
+                y = part.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+                mean_loss, mean = net.loss_and_gradient(shared.value, x, y)
+                total += mean * len(y)
+                loss, rows = loss + mean_loss * len(y), rows + len(y)
+        if rows:
+            yield _packed(total, loss, rows)
+
+    sums = batch.mapInArrow(run, PACKED)
+    fan = max(1, min(FAN_IN, BROADCAST_LIMIT // (8 * net.size)))
+    if batch.rdd.getNumPartitions() > fan:
+        sums = sums.repartition(fan).mapInArrow(_summed, PACKED)
+    found = sums.collect()
+    rows = sum(r["rows"] for r in found)
+    gradient = np.sum([np.frombuffer(r["gradient"]) for r in found], axis=0)
+    shared.unpersist()
+    return gradient / rows, sum(r["loss"] for r in found) / rows
+
+
+def _by_batch(images: DataFrame, id: str, batches: int, seed: int) -> tuple[str, list[int]]:
+    """Write the rows by mini-batch; the folder and the mini-batches that have rows."""
+    path = new_path(images.sparkSession, "mini-batches")
+    tasks = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = max(1, tasks // batches)  # few mini-batches are written by many tasks
+    key = F.xxhash64(F.lit(seed), id)
+    placed = images.select(
+        F.col("features").cast("array<double>").alias("features"),
+        F.col("label").cast("int").alias("label"),
+        F.pmod(key, F.lit(batches)).alias("batch"),
+        F.pmod(F.xxhash64(key), F.lit(spread)).alias("_spread"),
     )
-    return stage(sums, f"epoch-{epoch}")
+    placed.repartition("batch", "_spread").drop("_spread").write.partitionBy("batch").parquet(path)
+    found = images.sparkSession.read.parquet(path).select("batch").distinct().collect()
+    return path, sorted(int(r["batch"]) for r in found)
 
 
 def train(
     images: DataFrame, hidden: int = 128, epochs: int = 5, batch: int = 64, lr: float = 0.001,
-    seed: int = 0, report_every: int = 100,
+    seed: int = 0, report_every: int = 100, id: str = "image_id",
+    initial: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Train on ``(features, label)``; returns the neurons table and ``(epoch, step, loss)``.
+    """Train on ``(id, features, label)``; returns the neurons table and ``(epoch, step, loss)``.
 
-    ``loss`` is averaged over the partitions that reached the step.
+    ``batch`` is the mean number of rows of a mini-batch. ``loss`` is the mean over the
+    mini-batch before its update. ``initial``: a neurons table of two layers to start from;
+    without it the start is random.
     """
     spark = images.sparkSession
-    shape = images.agg(F.max(F.size("features")).alias("w"), F.max("label").alias("c")).first()
-    net = Network(shape["w"], hidden, shape["c"] + 1)
+    shape = images.agg(
+        F.max(F.size("features")).alias("w"), F.max("label").alias("c"),
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    start = None if initial is None else sorted(initial.collect(), key=lambda r: (r.layer, r.neuron))
+    if start is not None:
+        hidden = sum(r.layer == 0 for r in start)
+    classes = shape["c"] + 1 if start is None else sum(r.layer == 1 for r in start)
+    net = Network(shape["w"], hidden, classes)
     if 3 * 8 * net.size > BROADCAST_LIMIT:
         raise ValueError("the network is too large to broadcast")
-    state = np.concatenate([net.initial(seed), np.zeros(2 * net.size)])
-    steps, losses = 0.0, []
+    flat = net.initial(seed) if start is None else net.flat(start)
+    m, v, t, losses = np.zeros(net.size), np.zeros(net.size), 0, []
+    path, batches = _by_batch(images, id, max(1, -(-shape["n"] // batch)), seed)
     for epoch in range(epochs):
-        result = _epoch(images, net, state, steps, epoch, batch, lr, seed, report_every)
-        # as many rows as the network has weights and moments
-        for row in result.filter(F.col("kind") != LOSS).collect():
-            if row["kind"] == STATE:
-                state[row["i"]] = row["x"]
-            else:
-                steps = row["x"]
-        losses.append(
-            result.filter(F.col("kind") == LOSS).select(
-                F.lit(epoch + 1).alias("epoch"), F.col("i").alias("step"), F.col("x").alias("loss")
-            )
-        )
-    return _neurons(spark, net, state[:net.size]), reduce(DataFrame.unionByName, losses)
+        order = np.random.default_rng(seed + epoch).permutation(batches)
+        for step, number in enumerate(order.tolist(), 1):
+            rows = spark.read.schema("features ARRAY<DOUBLE>, label INT").parquet(
+                f"{path}/batch={number}")
+            g, loss = _gradient(rows, net, flat)
+            t += 1
+            m, v = BETA1 * m + (1 - BETA1) * g, BETA2 * v + (1 - BETA2) * g * g
+            flat = flat - lr * (m / (1 - BETA1**t)) / (np.sqrt(v / (1 - BETA2**t)) + EPSILON)
+            if step == 1 or step % report_every == 0:
+                losses.append((epoch + 1, step, loss))
+    return _neurons(spark, net, flat), spark.createDataFrame(
+        losses, "epoch INT, step INT, loss DOUBLE")
 
 
 def _neurons(spark, net: Network, flat: np.ndarray) -> DataFrame:

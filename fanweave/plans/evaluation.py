@@ -194,8 +194,52 @@ def q_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy(scored).withColumn("loss", F.round("loss", 9))
 
 
-@query("train_epoch_loss")
+# one full-batch Adam step from the formula network, and the loss before and after it
+TRAIN_SQL = f"""WITH {FORWARD_SQL},
+shifted AS (SELECT image_id, label, slot, z - max(z) OVER (PARTITION BY image_id) AS s FROM z1),
+probs AS (SELECT image_id, label, slot, exp(s) / sum(exp(s)) OVER (PARTITION BY image_id) AS p
+          FROM shifted),
+delta AS (SELECT image_id, slot AS k,
+            (p - CASE WHEN slot = label THEN 1 ELSE 0 END) / (SELECT count(*) FROM embeddings) AS d
+          FROM probs),
+back AS (SELECT d.image_id, w.slot AS j, sum(d.d * w.w) AS d
+         FROM delta d JOIN w1 w ON w.neuron = d.k
+         JOIN z0 z ON z.image_id = d.image_id AND z.neuron = w.slot WHERE z.z > 0
+         GROUP BY d.image_id, w.slot),
+g1 AS (SELECT h.slot, d.k AS neuron, sum(h.x * d.d) AS g
+       FROM h0 h JOIN delta d ON h.image_id = d.image_id GROUP BY h.slot, d.k),
+gb1 AS (SELECT k AS neuron, sum(d) AS g FROM delta GROUP BY k),
+g0 AS (SELECT c.slot, b.j AS neuron, sum(c.x * b.d) AS g
+       FROM cells c JOIN back b ON c.image_id = b.image_id GROUP BY c.slot, b.j),
+gb0 AS (SELECT j AS neuron, sum(d) AS g FROM back GROUP BY j),
+u0 AS (SELECT w.slot, w.neuron, w.w - 0.01 * coalesce(g.g, 0) / (abs(coalesce(g.g, 0)) + 1e-8) AS w,
+         w.bias - 0.01 * coalesce(b.g, 0) / (abs(coalesce(b.g, 0)) + 1e-8) AS bias
+       FROM w0 w LEFT JOIN g0 g USING (slot, neuron) LEFT JOIN gb0 b ON b.neuron = w.neuron),
+u1 AS (SELECT w.slot, w.neuron, w.w - 0.01 * coalesce(g.g, 0) / (abs(coalesce(g.g, 0)) + 1e-8) AS w,
+         w.bias - 0.01 * coalesce(b.g, 0) / (abs(coalesce(b.g, 0)) + 1e-8) AS bias
+       FROM w1 w LEFT JOIN g1 g USING (slot, neuron) LEFT JOIN gb1 b ON b.neuron = w.neuron),
+y0 AS (SELECT image_id, label, neuron AS slot, greatest(sum(x * w) + any_value(bias), 0) AS x
+       FROM cells JOIN u0 USING (slot) GROUP BY image_id, label, neuron),
+y1 AS (SELECT image_id, label, neuron AS slot, sum(x * w) + any_value(bias) AS z
+       FROM y0 JOIN u1 USING (slot) GROUP BY image_id, label, neuron),
+after_shift AS (SELECT image_id, label, slot, z - max(z) OVER (PARTITION BY image_id) AS s FROM y1),
+after AS (SELECT label, slot, exp(s) / sum(exp(s)) OVER (PARTITION BY image_id) AS p FROM after_shift)
+SELECT CAST(1 AS INTEGER) AS epoch, CAST(1 AS INTEGER) AS step, round(avg(-ln(p)), 6) AS loss
+FROM probs WHERE slot = label
+UNION ALL SELECT CAST(2 AS INTEGER), CAST(1 AS INTEGER), round(avg(-ln(p)), 6)
+FROM after WHERE slot = label"""
+
+
+@query("train_epoch_loss", TRAIN_SQL)
 def q_train_epoch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Losses of a short training run; floating-point sums, so there is no SQL for it."""
-    _, losses = train(images(spark, sf_dir), hidden=32, epochs=3, report_every=10)
+    """Losses before and after one step over all rows."""
+    _, losses = train(
+        images(spark, sf_dir), epochs=2, batch=1 << 40, lr=0.01, initial=formula_neurons(spark))
+    return losses.withColumn("loss", F.round("loss", 6))
+
+
+@query("train_mini_batches")
+def q_train_mini_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of mini-batches of 200 rows; tested against a loop over the same rows."""
+    _, losses = train(images(spark, sf_dir), hidden=32, epochs=2, batch=200, report_every=1)
     return losses
