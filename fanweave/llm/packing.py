@@ -122,9 +122,8 @@ def _packer(capacity: int, names: list[str]):
 
 def word_count(text: str) -> Column:
     """Number of words separated by white space; 0 for a null text."""
-    trimmed = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D]", " "))
-    words = F.size(F.split(trimmed, r"\x20+"))
-    return F.when(F.length(trimmed) == 0, F.lit(0)).otherwise(words).cast("long")
+    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    return words.cast("long")
 
 
 def best_fit(

@@ -70,20 +70,30 @@ def _fold_table() -> dict[int, str]:
 
 _FOLD = _fold_table()
 _SIGNS = str.maketrans(SIGNS)
-_SIGNED = re.compile(r"\S*[0-9@$!|]\S*")
+_SIGN = re.compile(r"[0-9@$!|]")
+#: the same folding for texts whose characters all are bytes of Latin-1
+_FOLD_BYTES = bytes(
+    ord((chr(b).lower().translate(_FOLD) or chr(b)).encode("latin-1", "replace")) for b in range(256)
+)
+_DROPPED_BYTES = bytes(b for b in range(256) if _FOLD.get(b) == "")
 
 
-def _read_signs(match: re.Match) -> str:
-    word = match[0].rstrip("!|")
+def _read_signs(word: str) -> str:
+    word = word.rstrip("!|")
     return word.translate(_SIGNS) if any(c.isalpha() for c in word) else word
 
 
 def folded(text: str) -> str:
     """The text's folded words, each after one space, and a space at the end."""
-    out = text.lower().translate(_FOLD)
-    if _SIGNED.search(out):
-        out = _SIGNED.sub(_read_signs, out)
-    return f" {' '.join(out.split())} "
+    try:
+        out = text.encode("latin-1").translate(_FOLD_BYTES, _DROPPED_BYTES).decode("latin-1")
+    except UnicodeEncodeError:
+        out = text.lower().translate(_FOLD)
+    words = out.split()
+    if _SIGN.search(out):
+        words = [_read_signs(w) if _SIGN.search(w) else w for w in words]
+        words = [w for w in words if w]
+    return f" {' '.join(words)} "
 
 
 @dataclass
