@@ -28,6 +28,7 @@ from fanweave.plans.tables import (
     exploded,
     images,
     messages,
+    table,
 )
 from fanweave.sinks import pending
 
@@ -143,6 +144,55 @@ def q_parse_vector_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+@query(
+    "parse_hex_values",
+    f"WITH {CELLS_SQL} SELECT image_id, slot, x AS value FROM cells",
+)
+def q_parse_hex_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element of every vector as a hex number in a message of its own."""
+    one = images(spark, sf_dir).select(
+        F.col("image_id").alias("event_id"), F.col("image_id").alias("id"),
+        F.posexplode("features").alias("slot", "x"),
+    ).withColumn("features", F.array("x"))
+    number = F.to_json(F.struct(
+        F.col("slot").alias("neuron_id"), F.col("id").alias("image_id"), F.col("blob").alias(
+            "output")))
+    good, _ = parse_messages(_as_text(encode_vectors(one, "hex"), number), "P4", n=64, encoding="hex")
+    return good.select("image_id", "slot", "value")
+
+
+@query(
+    "parse_batch_messages",
+    f"""WITH {MESSAGES_SQL}
+    SELECT layout, event_id, slot AS number, id,
+           CASE WHEN layout <> 'P7_JSON' THEN CAST({CHUNK} + id % 7 AS INTEGER) END AS batch_size,
+           CASE WHEN layout = 'P8' THEN CAST({N} + slot AS INTEGER) END AS columns
+    FROM m, (VALUES ('P6'), ('P7_JSON'), ('P8')) AS l(layout)""",
+)
+def q_parse_batch_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of the messages that announce a batch, with sizes that differ."""
+    df = messages(spark, sf_dir)
+    id, slot = F.col("id"), F.col("slot")
+    size = (F.lit(CHUNK) + id % 7).cast("int")
+    none = F.lit(None).cast("int")
+    layer = F.concat(F.lit("layer-"), slot)
+    p6, _ = parse_messages(_as_text(df, _text(slot, id, size)), "P6", n=N)
+    p8, _ = parse_messages(_as_text(df, _text(layer, id, size, F.lit(N) + slot)), "P8")
+    note = F.to_json(F.struct(layer.alias("layer"), id.alias("image_id")))
+    p7, _ = parse_messages(_as_text(df, note), "P7_JSON")
+
+    def rows(good: DataFrame, layout: str, number: str, id: str, *rest: Column) -> DataFrame:
+        return good.select(
+            F.lit(layout).alias("layout"), "event_id", F.col(number).alias("number"),
+            F.col(id).alias("id"), *(c.alias(n) for c, n in zip(rest, ("batch_size", "columns"))))
+
+    return (
+        rows(p6, "P6", "slot", "batch_id", F.col("batch_size"), none)
+        .unionByName(rows(p7, "P7_JSON", "layer", "image_id", none, none))
+        .unionByName(rows(p8, "P8", "layer", "batch_id", F.col("batch_size"), F.col("columns")))
+    )
+
+
 @query("route_layer",
        f"WITH {MESSAGES_SQL} SELECT event_id, slot AS layer, id AS image_id FROM m WHERE slot = 2")
 def q_route_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,6 +382,50 @@ def q_fan_in_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.filter(F.col("reason").isNotNull()).select("id", "reason")
 
 
+# groups of five events with faults by the group's number
+ENTRIES_SQL = f"""entries AS (
+  SELECT event_id // {N} AS id,
+         CASE WHEN event_id % {N} <> 4 THEN event_id % {N}
+              WHEN event_id // {N} % 6 = 2 THEN 9 WHEN event_id // {N} % 6 = 3 THEN 0
+              WHEN event_id // {N} % 6 = 5 THEN NULL ELSE 4 END AS slot,
+         CASE WHEN event_id // {N} % 6 <> 4 OR event_id % {N} <> 2 THEN value END AS value
+  FROM events WHERE event_id // {N} % 6 <> 1 OR event_id % {N} <> 4),
+checked AS (
+  SELECT id, CASE WHEN count(*) <> {N} THEN 'expected {N} entries, got ' || count(*)
+                  WHEN count(slot) < {N} THEN 'bad slot'
+                  WHEN max(slot) >= {N} OR min(slot) < 0 THEN 'slot out of range'
+                  WHEN count(DISTINCT slot) < {N} THEN 'repeated slot'
+                  WHEN count(value) < {N} THEN 'bad value' END AS reason
+  FROM entries GROUP BY id)"""
+
+
+@query(
+    "fan_in_strict_reasons",
+    f"""WITH {ENTRIES_SQL}
+    SELECT id, reason, CAST(NULL AS INTEGER) AS slot, CAST(NULL AS DOUBLE) AS value FROM checked
+    WHERE reason IS NOT NULL
+    UNION ALL
+    SELECT c.id, c.reason, CAST(e.slot AS INTEGER), e.value
+    FROM checked c JOIN entries e ON c.id = e.id WHERE c.reason IS NULL""",
+)
+def q_fan_in_strict_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of the strict assembly broken somewhere, and the vectors of the good sets."""
+    events = table(spark, sf_dir, "events")
+    place, group = F.col("event_id") % N, F.expr(f"event_id div {N}")
+    fault = group % 6
+    last = (
+        F.when(fault == 2, 9).when(fault == 3, 0).when(fault == 5, F.lit(None).cast("int"))
+        .otherwise(4)
+    )
+    entries = events.filter(~((fault == 1) & (place == 4))).select(
+        group.alias("id"), F.when(place == 4, last).otherwise(place).cast("int").alias("slot"),
+        F.when(~((fault == 4) & (place == 2)), F.col("value")).alias("value"),
+    )
+    checked = strict_check(entries, "id", "slot", "value", N)
+    return checked.select(
+        "id", "reason", F.posexplode_outer("vector").alias("slot", "value"))
+
+
 @query(
     "fan_in_completed",
     f"WITH {MESSAGES_SQL}, {ARRIVALS_SQL} SELECT DISTINCT id, cycle FROM cycles",
