@@ -204,7 +204,7 @@ def solve_rates(
 
     ``facts`` has ``tokens`` and ``posteriors``. Targets are multiples of the expected
     tokens of all documents in good domains. The search ends when no domain's relative
-    residual changes by more than a millionth.
+    residual changes by more than 1e-5.
     """
     present = _expected(facts, [], ridge)
     share = np.array([targets.get(d, 0.0) for d in DOMAINS])
@@ -216,7 +216,7 @@ def solve_rates(
         return residuals, wanted, present
     for _ in range(rounds):
         residual = np.where(exists, (reached - wanted) / np.where(exists, present, 1.0), 0.0)
-        if residuals and np.abs(residual - residuals[-1]).max() < 1e-6:
+        if residuals and np.abs(residual - residuals[-1]).max() < 1e-5:
             break
         residuals.append(residual)
         reached = _expected(facts, residuals, ridge)
