@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fanweave.functions.activations import activate
 from fanweave.functions.vectors import argmax
 from fanweave.operators.forward import BROADCAST_LIMIT, fits_broadcast, neuron_sums, predict
+from fanweave.sinks.predictions import ROWS_PER_FILE
 from fanweave.streaming.fanin import fan_in_stream
 from fanweave.streaming.io import start
 
@@ -57,11 +58,16 @@ def predictions_by_messages(
 
 def predict_stream(
     src: DataFrame, neurons: DataFrame, folder: str, checkpoint: str, id: str = "image_id",
-    trigger: str | None = None, by_messages: bool = False,
+    trigger: str | None = None, by_messages: bool = False, rows_per_file: int = ROWS_PER_FILE,
 ) -> StreamingQuery:
-    """Write ``id,prediction`` CSV files with a header as vectors arrive."""
+    """Write ``id,prediction`` CSV files with a header as vectors arrive.
+
+    A file has at most ``rows_per_file`` rows and is closed with its micro-batch, so
+    ``trigger`` bounds how long rows wait.
+    """
     form = predictions_by_messages if by_messages else predictions_of
     out = form(src, neurons, id).select(id, "prediction")
     return start(
-        out, checkpoint, path=folder, format="csv", trigger=trigger, options={"header": "true"}
+        out, checkpoint, path=folder, format="csv", trigger=trigger,
+        options={"header": "true", "maxRecordsPerFile": str(rows_per_file)},
     )

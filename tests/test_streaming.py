@@ -218,6 +218,17 @@ def test_streamed_predictions_equal_batch(spark, tmp_path, by_messages):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
 
 
+def test_streamed_prediction_files_are_short(spark, tmp_path):
+    rows = [(i, [float(i % 5), 1.0, 0.0, -1.0]) for i in range(30)]
+    put(tmp_path, 0, rows, ("image_id", "features"))
+    src = read_messages(spark, path=str(tmp_path), schema="image_id BIGINT, features ARRAY<DOUBLE>")
+    path = new_path(spark, "rotate-test")
+    drain(predict_stream(src, network(spark), f"{path}-out", f"{path}-c", rows_per_file=7))
+    sizes = [len(open(f"{path}-out/{f}").read().splitlines()) - 1
+             for f in os.listdir(f"{path}-out") if f.endswith(".csv")]
+    assert sum(sizes) == 30 and max(sizes) <= 7
+
+
 def test_upserts_from_a_stream(spark, tmp_path):
     columns = ("image_id", "prediction", "seq")
     put(tmp_path, 0, [(1, 9, 1), (1, 3, 2), (2, 4, 1)], columns)
