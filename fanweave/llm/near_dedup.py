@@ -11,7 +11,8 @@
    After that most buckets are connected and done. In the others, those classes that are
    not connected with the central one meet all classes of the bucket, block by block: a
    row holds two blocks of about ``BLOCK`` sketches, and the task that compares them
-   returns only pairs that are in different components, whose estimate is high enough,
+   returns only pairs that are in different components, whose estimates from the sketch
+   and from a wide one of 1024 registers are high enough,
    and for which this is the first bucket they share. So no pair that could connect two
    components stays untested, and groups of copies are never expanded into pairs.
 4. A pair is dropped if its joint-likelihood similarity is six standard errors below the
@@ -36,7 +37,16 @@ from pyspark.sql import functions as F
 
 from fanweave.llm.components import components
 from fanweave.llm.rows import fresh, numbered, small_batches
-from fanweave.llm.setsketch import BANDS, REGISTERS, band_keys, joint_similarity, registers
+from fanweave.llm.setsketch import (
+    BANDS,
+    REGISTERS,
+    WIDE,
+    band_keys,
+    joint_similarity,
+    registers,
+    wide_bytes,
+    wide_similarity,
+)
 from fanweave.llm.words import mix, shingle_sets, text_slices
 from fanweave.session import stage
 
@@ -112,9 +122,9 @@ NEAR = ("a", "b", *(f"{c}_{side}" for side in "ab" for c in FACTS))
 NEAR_SCHEMA = ", ".join(f"{c} long" for c in NEAR)
 
 
-def _least_estimate(percent: int) -> float:
+def _least_estimate(percent: int, size: int = REGISTERS) -> float:
     share = percent / 100
-    return share - MARGIN * np.sqrt(share * (1 - share) / REGISTERS)
+    return share - MARGIN * np.sqrt(share * (1 - share) / size)
 
 
 def _estimated(percent: int):
@@ -161,13 +171,26 @@ def _confirmed(percent: int):
     return run
 
 
-def _full_sets(texts: DataFrame, near: DataFrame) -> DataFrame:
-    """``(cid, elements)`` of the classes in the pairs, from the texts of their first documents."""
+def _of_pairs(near: DataFrame) -> DataFrame:
+    """``cid`` and facts of the classes in the pairs."""
     both = F.array(*(
         F.struct(F.col(s).alias("cid"), *(F.col(f"{c}_{s}").alias(c) for c in FACTS))
         for s in "ab"
     ))
-    wanted = stage(near.select(F.inline(both)).distinct(), "wanted")
+    return near.select(F.inline(both)).distinct()
+
+
+def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [wide_bytes(np.frombuffer(e, np.uint64), np.array([0, len(e) // 8])).tobytes()
+                  for e in batch.column("elements").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("cid"), pa.array(packed, pa.binary())], ["cid", "wide"])
+
+
+def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(cid, elements)`` of the wanted classes, from the texts of their first documents."""
+    wanted = stage(wanted, "wanted")
     ids = wanted.select(F.col("rep").alias("doc_id"))
     if wanted.count() <= BROADCAST_IDS:
         ids, wanted = F.broadcast(ids), F.broadcast(wanted)
@@ -194,9 +217,8 @@ def _estimated_pairs(classes: DataFrame, pairs: DataFrame, percent: int) -> Data
     return stage(small_batches(both).mapInArrow(_estimated(percent), NEAR_SCHEMA), "near-pairs")
 
 
-def _links(texts: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that full sets confirm."""
-    sets = _full_sets(texts, near)
     full = (
         near.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("set_a")), "a")
         .join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("set_b")), "b")
@@ -216,19 +238,20 @@ def _first_pairs(members: DataFrame, leaders: DataFrame, percent: int) -> DataFr
 
 def _block_tester(percent: int):
     """Compare two blocks of a bucket; the pairs that must be confirmed."""
-    least = _least_estimate(percent)
+    least, least_wide = _least_estimate(percent), _least_estimate(percent, WIDE)
 
-    def table(block: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    def table(block: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sketches = np.frombuffer(b"".join(m["sketch"] for m in block), np.uint16)
+        wide = np.frombuffer(b"".join(m["wide"] for m in block), np.uint8).reshape(-1, WIDE)
         columns = ("cid", "root", *FACTS)
         return sketches.reshape(-1, REGISTERS), np.array(
-            [[m[c] for c in columns] for m in block], np.int64)
+            [[m[c] for c in columns] for m in block], np.int64), wide
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for row in batch.to_pylist():
-                (left, x), (right, y) = table(row["left"]), table(row["right"])
+                (left, x, wide_x), (right, y, wide_y) = table(row["left"]), table(row["right"])
                 n, m = x[:, 3][:, None], y[:, 3][None, :]
                 open_ = (x[:, 1][:, None] != y[:, 1][None, :]) & (
                     np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
@@ -243,6 +266,7 @@ def _block_tester(percent: int):
                     a, b = a[kept], b[kept]
                     near = joint_similarity(
                         left[a], right[b], x[a, 3].astype(float), y[b, 3].astype(float)) >= least
+                    near[near] = wide_similarity(wide_x[a[near]], wide_y[b[near]]) >= least_wide
                     found.append(np.hstack([
                         x[a[near]][:, :1], y[b[near]][:, :1], x[a[near]][:, 2:], y[b[near]][:, 2:]]))
             rows = np.concatenate(found) if found else np.zeros((0, len(NEAR)), np.int64)
@@ -252,11 +276,14 @@ def _block_tester(percent: int):
 
 
 def _open_pairs(
-    members: DataFrame, leaders: DataFrame, roots: DataFrame, classes: DataFrame, percent: int
-) -> DataFrame | None:
+    texts: DataFrame, members: DataFrame, leaders: DataFrame, roots: DataFrame,
+    classes: DataFrame, percent: int,
+) -> tuple[DataFrame, DataFrame] | None:
     """Near pairs of classes of a bucket that the first round left in different components.
 
-    None if all classes of every bucket are connected.
+    With them the full sets of all classes concerned, from which each gets a wide sketch:
+    its estimate has half the error, so fewer pairs leave the tasks. None if all classes
+    of every bucket are connected.
     """
     known = roots.select(F.col("node").alias("cid"), "root")
     lead = leaders.select("band", "lead").join(
@@ -274,10 +301,15 @@ def _open_pairs(
     if open_.isEmpty():
         return None
     blocks = F.ceil(F.col("size") / BLOCK)
-    placed = rest.join(open_, "band").join(classes.select("cid", *FACTS, "sketch"), "cid").select(
+    rest = rest.join(open_, "band")
+    concerned = classes.join(rest.select("cid").distinct(), "cid")
+    sets = _full_sets(texts, concerned.select("cid", *FACTS))
+    wide = small_batches(sets).mapInArrow(_wide_rows, "cid long, wide binary")
+    facts = stage(concerned.select("cid", *FACTS, "sketch").join(wide, "cid"), "open-classes")
+    placed = rest.join(facts, "cid").select(
         "band", "slot", F.pmod(F.xxhash64("cid"), blocks).alias("block"),
         (F.col("root") != F.col("root_lead")).alias("is_left"),
-        F.struct("cid", "root", *FACTS, "sketch").alias("member"),
+        F.struct("cid", "root", *FACTS, "sketch", "wide").alias("member"),
     )
     # about BLOCK members of a bucket each, whatever the bucket's size
     gathered = stage(
@@ -292,8 +324,8 @@ def _open_pairs(
     once = ~F.col("is_left") | (F.col("at") <= F.col("to"))
     both = left.join(right, "band").filter(once).select(
         "slot", "left", "right", (F.col("is_left") & (F.col("at") == F.col("to"))).alias("same"))
-    return stage(
-        small_batches(both, 64).mapInArrow(_block_tester(percent), NEAR_SCHEMA), "open-pairs")
+    near = small_batches(both, 64).mapInArrow(_block_tester(percent), NEAR_SCHEMA)
+    return stage(near, "open-pairs"), sets
 
 
 # --- public operators ------------------------------------------------------------------------
@@ -337,11 +369,11 @@ def near_duplicates(
         "leaders",
     )
     near = _estimated_pairs(classes, _first_pairs(members, leaders, percent), percent)
-    links = _links(named, near, percent)
+    links = _links(near, _full_sets(named, _of_pairs(near)), percent)
     roots = stage(components(links), "roots")
-    near = _open_pairs(members, leaders, roots, classes, percent)
-    if near is not None and not near.isEmpty():
-        links = _links(named, near, percent)
+    left_open = _open_pairs(named, members, leaders, roots, classes, percent)
+    if left_open is not None:
+        links = _links(*left_open, percent)
         if not links.isEmpty():
             # the components so far are stars, which keeps the contraction short
             known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
