@@ -3,8 +3,9 @@
 1. Every text becomes the set of its distinct five-word shingles (as 64-bit hashes) and
    252 SetSketch registers. Documents with equal sets (equal size and equal 128-bit sum
    of the hashes) form a class; the rest works on classes, so copies cost nothing.
-2. Classes that agree in the six registers of one of 42 bands share a bucket. Two sets
-   with similarity 0.85 miss all buckets of each other with probability 2e-9.
+2. Classes that agree in all registers of a band share a bucket. The bands follow from the
+   threshold (42 of six registers for 0.85, 50 of five for 0.8), so that two sets at the
+   threshold miss all buckets of each other with a probability of at most 3e-9.
 3. Buckets are resolved in two rounds. In the first, every class of a bucket is paired with
    the bucket's most central class, the one whose buckets are the largest: the original
    of a group of copies shares more buckets with them than they do with each other.
@@ -38,10 +39,10 @@ from pyspark.sql import functions as F
 from fanweave.llm.components import components
 from fanweave.llm.rows import fresh, numbered, small_batches
 from fanweave.llm.setsketch import (
-    BANDS,
     REGISTERS,
     WIDE,
     band_keys,
+    banding,
     joint_similarity,
     registers,
     wide_bytes,
@@ -88,18 +89,24 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sketches = np.frombuffer(
-            b"".join(batch.column("sketch").to_pylist()), np.uint16
-        ).reshape(-1, REGISTERS)
-        keys = band_keys(sketches)
-        cid, n = (np.repeat(np.asarray(batch.column(c)), BANDS) for c in ("cid", "n"))
-        slot = np.tile(np.arange(BANDS), len(keys))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.reshape(-1).view(np.int64)), pa.array(slot), pa.array(cid), pa.array(n)],
-            ["band", "slot", "cid", "n"],
-        )
+def _bands(percent: int):
+    bands, rows = banding(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = np.frombuffer(
+                b"".join(batch.column("sketch").to_pylist()), np.uint16
+            ).reshape(-1, REGISTERS)
+            keys = band_keys(sketches, bands, rows)
+            cid, n = (np.repeat(np.asarray(batch.column(c)), bands) for c in ("cid", "n"))
+            slot = np.tile(np.arange(bands), len(keys))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.reshape(-1).view(np.int64)), pa.array(slot), pa.array(cid),
+                 pa.array(n)],
+                ["band", "slot", "cid", "n"],
+            )
+
+    return run
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +246,7 @@ def _first_pairs(members: DataFrame, leaders: DataFrame, percent: int) -> DataFr
 def _block_tester(percent: int):
     """Compare two blocks of a bucket; the pairs that must be confirmed."""
     least, least_wide = _least_estimate(percent), _least_estimate(percent, WIDE)
+    n_bands, n_rows = banding(percent)
 
     def table(block: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sketches = np.frombuffer(b"".join(m["sketch"] for m in block), np.uint16)
@@ -261,7 +269,7 @@ def _block_tester(percent: int):
                 for begin in range(0, len(i), 4096):
                     a, b = i[begin: begin + 4096], k[begin: begin + 4096]
                     same = left[a] == right[b]
-                    bands = same.reshape(len(a), BANDS, -1).all(2)
+                    bands = same[:, : n_bands * n_rows].reshape(len(a), n_bands, n_rows).all(2)
                     kept = (same.mean(1) >= least - 0.05) & (bands.argmax(1) == row["slot"])
                     a, b = a[kept], b[kept]
                     near = joint_similarity(
@@ -357,7 +365,7 @@ def near_duplicates(
     # sets so small that one other element is too much can only be equal
     banded = classes.filter(F.col("n") * 100 >= (F.col("n") + 1) * percent)
     bands = banded.select("cid", "n", "sketch").mapInArrow(
-        _bands, "band long, slot long, cid long, n long")
+        _bands(percent), "band long, slot long, cid long, n long")
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = stage(bands.join(sizes, "band"), "buckets")
     central = shared.groupBy("cid").agg(F.sum("size").alias("central"))
@@ -395,10 +403,12 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT
+) -> DataFrame:
     """One document of each component, with the columns it had."""
     placed, row = numbered(docs, "near-dedup")
-    found = near_duplicates(placed, id, text, row)
+    found = near_duplicates(placed, id, text, row, percent)
     first = F.min(F.struct(~F.col("kept"), F.col("row_no"))).alias("first")
     # a row without words or id is alone; of rows with the kept id the first one stays
     single = (F.col("n_shingles") == 0) | F.col("component_id").isNull()

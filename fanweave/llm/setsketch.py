@@ -15,9 +15,23 @@ from fanweave.llm.words import mix
 BASE = 1.001
 RATE = 20.0
 TOP = 2**16 - 1
-BANDS = 42
-ROWS = 6
-REGISTERS = BANDS * ROWS
+REGISTERS = 252
+#: chance with which two sets at the threshold may agree in no band
+MISS = 3e-9
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and registers of a band, that miss a pair of that similarity once in 1 / ``MISS``.
+
+    Of these the bands with most registers, because they have the fewest chance pairs.
+    """
+    for rows in range(REGISTERS, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (REGISTERS // rows) <= MISS:
+            return REGISTERS // rows, rows
+    raise ValueError(f"{REGISTERS} registers do not find pairs of {percent} % similarity")
+
+
+BANDS, ROWS = banding(85)
 
 #: registers of the wide sketch, of which only the low byte is kept
 WIDE = 1024
@@ -87,11 +101,11 @@ def merge(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.maximum(left, right)
 
 
-def band_keys(sketches: np.ndarray) -> np.ndarray:
+def band_keys(sketches: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key per set and band, of the band's number and register values."""
-    parts = sketches.reshape(len(sketches), BANDS, ROWS).astype(np.uint64)
-    keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), parts.shape[:2]).copy()
-    for row in range(ROWS):
+    parts = sketches[:, : bands * rows].reshape(len(sketches), bands, rows).astype(np.uint64)
+    keys = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), parts.shape[:2]).copy()
+    for row in range(rows):
         keys = mix(keys * np.uint64(31) + parts[:, :, row])
     return keys
 

@@ -144,3 +144,31 @@ def test_components_of_paths_and_stars(spark):
     want = {n: 0 for n in range(61)} | {n: 500 for n in range(500, 540)} | {1000: 500, 90: 90, 91: 90}
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("percent", [8, 50, 70, 80, 85, 95, 100])
+def test_bands_follow_the_threshold(percent):
+    bands, rows = sk.banding(percent)
+    assert bands * rows <= sk.REGISTERS and (1 - (percent / 100) ** rows) ** bands <= sk.MISS
+    with pytest.raises(ValueError):
+        sk.banding(5)
+
+
+def test_stage_links_from_eighty_percent_on(spark):
+    """Copies that are 0.8 to 0.849 similar do not both leave the pipeline's stage."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for n in range(120):
+        words = [f"v{rng.randrange(5000)}" for _ in range(204)]
+        near = list(words)
+        for k in range(4):  # each change in the middle takes five of 200 shingles
+            near[20 + 40 * k] = "changed"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(near))]
+    rows += [(1000 + i, t) for i, t in make_rows(4)[:200] if i is not None]
+    want = sorted(i for i, _, _, stays in brute(rows, 80) if stays)
+    assert len(want) < sum(stays for _, _, _, stays in brute(rows))
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA)
+    got = corpus_pipeline.near_stage(spark, df, "")
+    assert sorted(r.doc_id for r in got.collect()) == want
