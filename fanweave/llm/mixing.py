@@ -3,17 +3,20 @@
 A classifier, learned from the label table, gives every document posterior
 probabilities of its domains. Documents get nonnegative rates w such that the expected
 tokens of each domain, the sum of w * tokens * posterior, meet the targets as well as
-they can: projected-gradient least squares of
+they can: the least value of
 
     1/2 * sum_d (sum_i w_i t_i p_id - T_d)^2 / (S E_d) + ridge/2 * sum_i (t_i / S) (w_i - 1)^2
 
 with the tokens t_i, posteriors p_i, targets T_d, S the sum of all tokens and E_d the
 expected tokens of a domain at rate 1, so that domains count by their relative error.
 Measured in the weights t_i / S the gradient for a document is
-``p_i . r + ridge * (w_i - 1)`` with the relative residuals r of all domains, and its
-slope is at most 1 + ridge, which sets the step. A round is one narrow pass that replays the residuals so far (a few
-numbers a round) for every document and sums the expected tokens anew; no rate is stored
-between rounds and nothing is shuffled but one row of sums a task.
+``p_i . r + ridge * (w_i - 1)`` with the relative residuals r of all domains, so the best
+rate is ``max(0, 1 - p_i . r / ridge)`` and only the four numbers r are unknown. They
+maximise the concave dual, by Newton steps: a round is one narrow pass that sums, for a few
+lengths of the step at once, the expected tokens, the dual and its curvature. It ends when
+the residuals that the rates leave are r up to ``TOLERANCE``, which proves that no other
+rates are better; there is no limit of rounds. No rate is stored between rounds and nothing
+is shuffled but the sums of a task.
 
 The whole number of copies of a document is its rate, rounded up or down by a hash of its
 id so that the expectation is the rate.
@@ -53,6 +56,10 @@ TARGETS = {"low": 0.02, "low_toxic": 0.0, "good": 1.1, "good_toxic": 0.02}
 MAX_LABELLED = 12_000
 ROUNDS = 60
 RIDGE = 1e-3
+#: of the residuals at the end
+TOLERANCE = 1e-8
+#: lengths of a Newton step that one pass tries
+LENGTHS = 0.5 ** np.arange(10)
 
 
 # --- posteriors ------------------------------------------------------------------------------
@@ -204,7 +211,8 @@ def solve_rates(
 
     ``facts`` has ``tokens`` and ``posteriors``. Targets are multiples of the expected
     tokens of all documents in good domains. The search ends when no domain's relative
-    residual changes by more than 1e-5.
+    residual changes by more than a millionth, or after ``rounds``, so it need not have
+    met the targets: the queries take ``optimal_residuals``, which this is to check.
     """
     present = _expected(facts, [], ridge)
     share = np.array([targets.get(d, 0.0) for d in DOMAINS])
@@ -216,13 +224,95 @@ def solve_rates(
         return residuals, wanted, present
     for _ in range(rounds):
         residual = np.where(exists, (reached - wanted) / np.where(exists, present, 1.0), 0.0)
-        if residuals and np.abs(residual - residuals[-1]).max() < 1e-5:
+        if residuals and np.abs(residual - residuals[-1]).max() < 1e-6:
             break
         residuals.append(residual)
         reached = _expected(facts, residuals, ridge)
     return residuals, wanted, reached
 
 
+def best_rates(p: np.ndarray, residual: np.ndarray, ridge: float) -> np.ndarray:
+    """The rates that are best where the domains' relative residuals are these."""
+    return np.maximum(0.0, 1.0 - p @ residual / ridge)
+
+
+def _dual_sums(facts: DataFrame, trials: np.ndarray, ridge: float) -> np.ndarray:
+    """For each trial of the residuals: expected tokens, the documents' part of the dual,
+    and the sum of ``t p p^T`` over the documents whose rates move with the residuals."""
+    size = len(DOMAINS)
+    width = size + 1 + size * size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(trials), width))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p, t = _matrix(batch.column("posteriors")), np.asarray(batch.column("tokens"))
+            for out, r in zip(total, trials):
+                w, pull = best_rates(p, r, ridge), p @ r
+                free = p[1.0 - pull / ridge >= 0.0]
+                weight = t[1.0 - pull / ridge >= 0.0]
+                out[:size] += (w * t) @ p
+                out[size] += t @ (w * pull + ridge / 2 * (w - 1.0) ** 2)
+                out[size + 1:] += ((free * weight[:, None]).T @ free).reshape(-1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))],
+            ["place", "value"])
+
+    rows = facts.mapInArrow(run, "place int, value double").groupBy("place").sum("value")
+    sums = np.zeros(len(trials) * width)
+    for row in rows.collect():
+        sums[row[0]] = row[1]
+    return sums.reshape(len(trials), width)
+
+
+def optimal_residuals(
+    facts: DataFrame, targets: dict[str, float], ridge: float = RIDGE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Relative residuals at the optimum, the targets in tokens, and the expected tokens reached.
+
+    ``facts`` and ``targets`` as for ``solve_rates``; ``best_rates`` makes the rates. If the
+    tolerance cannot be met, which only rounding could cause, an error tells so.
+    """
+    size = len(DOMAINS)
+    r = np.zeros(size)
+    at = _dual_sums(facts, r[None, :], ridge)[0]
+    present = at[:size]
+    share = np.array([targets.get(d, 0.0) for d in DOMAINS])
+    exists = present > 1e-9 * max(present.sum(), 1.0)
+    wanted = np.where(exists, share * (present[2] + present[3]), 0.0)
+    if not exists.any():
+        return r, wanted, present
+    scale = np.where(exists, present, 1.0)
+
+    def slope(r: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        return np.where(exists, sums[:size] - wanted - scale * r, 0.0)
+
+    def value(r: np.ndarray, sums: np.ndarray) -> float:
+        return float(sums[size] - r @ wanted - (scale * r * r).sum() / 2) / present.sum()
+
+    def error(r: np.ndarray, sums: np.ndarray) -> float:
+        return float(np.abs(slope(r, sums) / scale).max())
+
+    while error(r, at) > TOLERANCE:
+        # measured in the roots of the domains' tokens, so that rare domains count
+        root = np.sqrt(scale)
+        curve = at[size + 1:].reshape(size, size) / np.outer(root, root) / ridge + np.eye(size)
+        step = np.where(exists, np.linalg.solve(curve, slope(r, at) / root) / root, 0.0)
+        trials = r + LENGTHS[:, None] * step
+        sums = _dual_sums(facts, trials, ridge)
+        values = [value(x, s) for x, s in zip(trials, sums)]
+        errors = [error(x, s) for x, s in zip(trials, sums)]
+        best = int(np.argmax(values))
+        if values[best] <= value(r, at) + 1e-12 * (1 + abs(value(r, at))):
+            # the dual is flat up to rounding here; its slope still tells
+            best = int(np.argmin(errors))
+            if errors[best] >= error(r, at):
+                raise RuntimeError(f"rates are off by {error(r, at):.1e} and do not improve")
+        r, at = trials[best], sums[best]
+    return r, wanted, at[:size]
+
+
 def copies(rate: Column, key: Column) -> Column:
     """The rate rounded up or down by a hash of the key, so that its mean is the rate."""
     chance = F.pmod(F.xxhash64(F.lit("mixing"), key), F.lit(1 << 30)) / float(1 << 30)
@@ -246,12 +336,13 @@ def _rated(
     facts = placed.select(
         F.col(names["tokens"]).alias("tokens"), F.col(names["posteriors"]).alias("posteriors")
     )
-    residuals, _, _ = solve_rates(facts, TARGETS if targets is None else targets)
+    residual, _, _ = optimal_residuals(facts, TARGETS if targets is None else targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                rate = pa.array(replay(_matrix(batch.column(names["posteriors"])), residuals, RIDGE))
+                p = _matrix(batch.column(names["posteriors"]))
+                rate = pa.array(best_rates(p, residual, RIDGE))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, rate], [*batch.schema.names, names["rate"]])
 

@@ -104,3 +104,51 @@ def test_empty_and_unlabelled(spark):
 def test_rounding(spark, rate, low, high):
     got = [r[0] for r in spark.range(4000).select(m.copies(F.lit(rate), F.col("id"))).collect()]
     assert set(got) <= {low, high} and abs(np.mean(got) - rate) < 0.03
+
+
+def soft_docs(spark, monkeypatch, p, t):
+    """Documents whose texts are their posteriors, which stand in for the classifier's."""
+    monkeypatch.setattr(m, "domain_posteriors", lambda docs, model, text, name: docs.withColumn(
+        name, F.split(F.col(text), " ").cast("array<double>")))
+    rows = [(i, " ".join(map(repr, map(float, v))), "x", int(n), 0, 0)
+            for i, (v, n) in enumerate(zip(p, t))]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def test_rates_are_the_best_for_diffuse_domains(spark, monkeypatch):
+    """Low documents hide among the good ones, so plain gradient rounds hardly move them."""
+    rng = np.random.default_rng(12)
+    p = rng.dirichlet([1.2, 0.4, 16, 0.8], 900)
+    p[::9] = rng.dirichlet([6, 3, 9, 2], 100)
+    t = rng.integers(1, 900, 900).astype(float)
+    df = soft_docs(spark, monkeypatch, p, t)
+    rows = sorted(m.mix(df, None, tokens=F.col("tokens")).collect())
+    w, present = np.array([r.rate for r in rows]), t @ p
+    wanted = np.array(list(m.TARGETS.values())) * (present[2] + present[3])
+    residual = ((w * t) @ p - wanted) / present
+    # the condition of the optimum, which is the only one
+    assert np.abs(w - np.maximum(0, 1 - p @ residual / m.RIDGE)).max() < 1e-3
+    slow, _ = brute_rates(p, t, np.array(list(m.TARGETS.values())), 20_000)
+
+    def loss(w):
+        return (((w * t) @ p - wanted) ** 2 / present).sum() + m.RIDGE * t @ (w - 1) ** 2
+
+    assert loss(w) <= loss(slow) * (1 + 1e-9)
+    best, same, reached = m.optimal_residuals(facts_of(spark, p, t), m.TARGETS)
+    assert np.allclose(same, wanted) and np.allclose(best, residual, atol=1e-6)
+    assert np.allclose(reached, (w * t) @ p)
+
+
+def test_query_meets_its_targets(spark, sf_dir):
+    from fanweave.llm.queries import op3_mixing
+
+    rows = op3_mixing(spark, sf_dir).collect()
+    p = np.array([[r[f"p_{d}"] for d in m.DOMAINS] for r in rows])
+    w, t = (np.array([r[c] for r in rows], float) for c in ("rate", "tokens"))
+    present = t @ p
+    wanted = np.array(list(m.TARGETS.values())) * (present[2] + present[3])
+    reached = (w * t) @ p
+    assert np.abs(reached - wanted).max() < 0.01 * wanted.sum()
+    real = present > 1e-9 * present.sum()
+    residual = np.where(real, (reached - wanted) / np.where(real, present, 1), 0)
+    assert np.abs(w - np.maximum(0, 1 - p @ residual / m.RIDGE)).max() < 1e-3
