@@ -58,8 +58,9 @@ ROUNDS = 60
 RIDGE = 1e-3
 #: of the residuals at the end
 TOLERANCE = 1e-8
-#: lengths of a Newton step that one pass tries
-LENGTHS = 0.5 ** np.arange(10)
+#: lengths of a Newton step that one pass tries; the dual's curvature changes by a factor of
+#: 1 + 1 / RIDGE at most, so one of them makes progress
+LENGTHS = 0.5 ** np.arange(12)
 
 
 # --- posteriors ------------------------------------------------------------------------------
@@ -145,6 +146,14 @@ def fit_domains(
     return model
 
 
+def clean_ids(
+    labels: DataFrame, id: str = "doc_id", quality: str = "quality", toxic: str = "toxic"
+) -> DataFrame:
+    """The ids (``id``) that the label table calls good and not toxic."""
+    good, bad = clear_labels(labels, id, quality), clear_labels(labels, id, toxic)
+    return good.filter("y = 1").join(bad.filter("y = 0"), "id", "left_semi").select("id")
+
+
 def domain_posteriors(
     docs: DataFrame, model: DomainModel, text: str = "text", name: str = "posteriors"
 ) -> DataFrame:
@@ -231,9 +240,15 @@ def solve_rates(
     return residuals, wanted, reached
 
 
-def best_rates(p: np.ndarray, residual: np.ndarray, ridge: float) -> np.ndarray:
-    """The rates that are best where the domains' relative residuals are these."""
-    return np.maximum(0.0, 1.0 - p @ residual / ridge)
+def best_rates(
+    p: np.ndarray, residual: np.ndarray, ridge: float, least: np.ndarray | float = 0.0
+) -> np.ndarray:
+    """The rates, ``least`` or more, that are best where the relative residuals are these."""
+    return np.maximum(least, 1.0 - p @ residual / ridge)
+
+
+def _least(batch: pa.RecordBatch, name: str = "least") -> np.ndarray | float:
+    return np.asarray(batch.column(name)) if name in batch.schema.names else 0.0
 
 
 def _dual_sums(facts: DataFrame, trials: np.ndarray, ridge: float) -> np.ndarray:
@@ -249,9 +264,10 @@ def _dual_sums(facts: DataFrame, trials: np.ndarray, ridge: float) -> np.ndarray
                 continue
             p, t = _matrix(batch.column("posteriors")), np.asarray(batch.column("tokens"))
             for out, r in zip(total, trials):
-                w, pull = best_rates(p, r, ridge), p @ r
-                free = p[1.0 - pull / ridge >= 0.0]
-                weight = t[1.0 - pull / ridge >= 0.0]
+                least, pull = _least(batch), p @ r
+                w = best_rates(p, r, ridge, least)
+                moves = 1.0 - pull / ridge >= least
+                free, weight = p[moves], t[moves]
                 out[:size] += (w * t) @ p
                 out[size] += t @ (w * pull + ridge / 2 * (w - 1.0) ** 2)
                 out[size + 1:] += ((free * weight[:, None]).T @ free).reshape(-1)
@@ -271,8 +287,8 @@ def optimal_residuals(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Relative residuals at the optimum, the targets in tokens, and the expected tokens reached.
 
-    ``facts`` and ``targets`` as for ``solve_rates``; ``best_rates`` makes the rates. If the
-    tolerance cannot be met, which only rounding could cause, an error tells so.
+    ``facts`` and ``targets`` as for ``solve_rates``; a column ``least`` bounds the rates, by 1
+    at most, else 0 does. ``best_rates`` makes the rates. If the tolerance cannot be met, which only rounding could cause, an error tells so.
     """
     size = len(DOMAINS)
     r = np.zeros(size)
@@ -319,30 +335,49 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")
 
 
+def _with_least(
+    placed: DataFrame, clean: DataFrame, id: str, posteriors: str, least: str
+) -> DataFrame:
+    """``placed`` and the least rate: 1 for clean documents, 0 for others.
+
+    Clean are ids in ``clean`` and documents for which good is the likeliest domain. Only
+    the few ids that the classifier gets wrong are joined with all rows.
+    """
+    good = F.col(posteriors)[DOMAINS.index("good")] >= F.array_max(posteriors)
+    wrong = placed.filter(~good).select(F.col(id).alias("id")).distinct()
+    known = stage(wrong.join(clean.select("id"), "id", "left_semi"), "clean-ids")
+    of_known = fresh("clean_id", placed.columns)
+    known = known.select(F.col("id").alias(of_known))
+    joined = placed.join(known, F.col(id) == F.col(of_known), "left")
+    bound = (good | F.col(of_known).isNotNull()).cast("double")
+    return joined.withColumn(least, bound).drop(of_known)
+
+
 def _rated(
     docs: DataFrame, model: DomainModel, targets: dict[str, float] | None, id: str, text: str,
-    tokens: Column | None, keep_text: bool,
+    tokens: Column | None, keep_text: bool, clean: DataFrame | None = None,
 ) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with tokens, posteriors, rate and copies under names that are free in it.
 
     The posteriors are written once, beside the columns that are kept.
     """
-    names = {n: fresh(n, docs.columns) for n in ("tokens", "posteriors", "rate", "copies", "no")}
+    names = {n: fresh(n, docs.columns) for n in ("tokens", "posteriors", "rate", "copies", "no", "least")}
     length = word_count(text) if tokens is None else tokens
     sized = docs.withColumn(names["tokens"], F.coalesce(length, F.lit(0)).cast("long"))
     scored = domain_posteriors(sized, model, text, names["posteriors"])
     scored = scored if keep_text else scored.drop(text)
     placed = stage(scored.withColumn(names["no"], F.monotonically_increasing_id()), "domain-facts")
-    facts = placed.select(
-        F.col(names["tokens"]).alias("tokens"), F.col(names["posteriors"]).alias("posteriors")
-    )
+    if clean is not None:
+        placed = _with_least(placed, clean, id, names["posteriors"], names["least"])
+    wanted = ("tokens", "posteriors", *(["least"] if clean is not None else []))
+    facts = placed.select(*(F.col(names[n]).alias(n) for n in wanted))
     residual, _, _ = optimal_residuals(facts, TARGETS if targets is None else targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 p = _matrix(batch.column(names["posteriors"]))
-                rate = pa.array(best_rates(p, residual, RIDGE))
+                rate = pa.array(best_rates(p, residual, RIDGE, _least(batch, names["least"])))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, rate], [*batch.schema.names, names["rate"]])
 
@@ -372,8 +407,14 @@ def mix(
 def resample(
     docs: DataFrame, model: DomainModel, targets: dict[str, float] | None = None,
     id: str = "doc_id", text: str = "text", tokens: Column | None = None,
+    clean: DataFrame | None = None,
 ) -> DataFrame:
-    """The rows of ``docs``, each as often as its number of copies says, with their columns."""
-    rated, names = _rated(docs, model, targets, id, text, tokens, keep_text=True)
+    """The rows of ``docs``, each as often as its number of copies says, with their columns.
+
+    With ``clean``, a table of ids (``id``) known to be good and not toxic, their rows and
+    those whose likeliest domain is good have rates of 1 at least, so none of them goes.
+    The targets are then met as well as that allows.
+    """
+    rated, names = _rated(docs, model, targets, id, text, tokens, keep_text=True, clean=clean)
     times = F.explode(F.array_repeat(F.lit(1), F.col(names["copies"]).cast("int")))
     return rated.withColumn(names["no"], times).select(*docs.columns)

@@ -152,3 +152,52 @@ def test_query_meets_its_targets(spark, sf_dir):
     real = present > 1e-9 * present.sum()
     residual = np.where(real, (reached - wanted) / np.where(real, present, 1), 0)
     assert np.abs(w - np.maximum(0, 1 - p @ residual / m.RIDGE)).max() < 1e-3
+
+
+def test_clean_documents_stay(spark, monkeypatch):
+    """Clean documents that share mass with a domain that must shrink have no rate below 1."""
+    rng = np.random.default_rng(21)
+    p = rng.dirichlet([2.5, 0.4, 6, 0.8], 900)
+    t = rng.integers(1, 900, 900).astype(float)
+    df = soft_docs(spark, monkeypatch, p, t)
+    plain = {r.doc_id for r in m.resample(df, None, tokens=F.col("tokens")).collect()}
+    good = set(np.flatnonzero(p.argmax(1) == 2).tolist())
+    assert good - plain  # without the bound some of them go
+    labels = spark.createDataFrame(
+        [(i, 1, 0) for i in range(0, 900, 7)] + [(1, 1, 0), (1, 0, 0), (2, 0, 0), (3, 1, 1)],
+        "doc_id long, quality int, toxic int")
+    known = m.clean_ids(labels)
+    clean = good | set(range(0, 900, 7))
+    assert {r.id for r in known.collect()} == set(range(0, 900, 7))
+    got = m.resample(df, None, tokens=F.col("tokens"), clean=known)
+    assert got.columns == df.columns
+    times = {}
+    for r in got.collect():
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert clean <= times.keys() < set(range(900))
+    # the other rates are still the best ones
+    least = np.isin(np.arange(900), list(clean)).astype(float)
+    facts = spark.createDataFrame(
+        [(int(n), [float(v) for v in row], float(x)) for n, row, x in zip(t, p, least)],
+        "tokens long, posteriors array<double>, least double").repartition(3)
+    best, wanted, reached = m.optimal_residuals(facts, m.TARGETS)
+    w = m.best_rates(p, best, m.RIDGE, least)
+    assert (w >= least).all() and np.allclose(reached, (w * t) @ p)
+    assert np.allclose(((w * t) @ p - wanted) / (t @ p), best, atol=1e-7)
+
+
+def test_no_clean_document_goes_on_a_large_table(spark):
+    """Every labelled clean document of the check tool's small table passes the stage."""
+    import os
+
+    import corpus_pipeline
+
+    folder = "/root/testdata/check_s"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    clean = {r.id for r in m.clean_ids(labels).join(
+        documents.select(F.col("doc_id").alias("id")), "id", "left_semi").collect()}
+    mixed = corpus_pipeline.mixing_stage(spark, documents, folder)
+    assert clean and clean <= {r.doc_id for r in mixed.select("doc_id").distinct().collect()}
