@@ -34,6 +34,16 @@ def hash_sample(ids: DataFrame, most: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
+def sampled_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(y, text)`` of the sampled ids, one row each however many rows an id has.
+
+    ``texts`` has ``(id, text)`` and ``wanted`` ``(id, y)``, each id once. Of different texts
+    of an id, that with the least hash is taken, already in the tasks that read them.
+    """
+    one = F.min_by("text", F.xxhash64("text")).alias("text")
+    return texts.join(F.broadcast(wanted), "id").groupBy("id", "y").agg(one).select("y", "text")
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanweave.llm.labels import clear_labels, hash_sample
+from fanweave.llm.labels import clear_labels, hash_sample, sampled_texts
 from fanweave.llm.packing import word_count
 from fanweave.llm.rows import fresh
 from fanweave.llm.text_stats import N_FEATURES, features
@@ -131,7 +131,7 @@ def fit_domains(
     model = DomainModel(fit_toxicity(docs, labels, F.lit(True), id, text, toxic))
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     # the sample's size is bounded by the parameter
-    chosen = texts.join(F.broadcast(wanted), "id").select("y", "text")
+    chosen = sampled_texts(texts, wanted)
     scored = score_toxicity(chosen, model.toxicity, "text", "toxicity")
     rows = scored.mapInArrow(_input_rows, "y int, x binary").toPandas()
     if not len(rows):

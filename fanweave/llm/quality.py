@@ -12,7 +12,7 @@ fold. At last a logistic curve, fitted to the same labelled rows, turns the marg
 a probability.
 
 Fitting uses at most ``MAX_LABELLED`` labelled and ``MAX_UNLABELLED`` unlabelled
-documents, chosen by a hash of their id. Scoring is one narrow pass over all documents.
+documents, chosen by a hash of their id; an id counts once, however many rows have it. Scoring is one narrow pass over all documents.
 
 Defined results: a null text counts as empty and is scored. Rows with a null id are
 scored and in no fold. Ids with contradictory labels are not learned from. Without
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanweave.llm.labels import clear_labels, hash_sample, platt, sigmoid
+from fanweave.llm.labels import clear_labels, hash_sample, platt, sampled_texts, sigmoid
 from fanweave.llm.rows import small_batches
 from fanweave.llm.text_stats import N_FEATURES, features
 
@@ -109,11 +109,11 @@ def fit_quality(
     known = hash_sample(clear_labels(labels.filter(training), id, label), max_labelled)
     named = docs.select(F.col(id).alias("id")).filter("id is not null")
     marked = labels.select(F.col(id).alias("id"))
-    free = hash_sample(named.join(marked, "id", "left_anti"), max_unlabelled)
+    free = hash_sample(named.join(marked, "id", "left_anti").distinct(), max_unlabelled)
     wanted = known.unionByName(free.select("id", F.lit(-1).alias("y")))
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     # the sample's size is bounded by the two parameters
-    chosen = texts.join(F.broadcast(wanted), "id").select("y", "text")
+    chosen = sampled_texts(texts, wanted)
     rows = small_batches(chosen).mapInArrow(_feature_rows, "y int, x binary").toPandas()
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
     y = rows["y"].to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)

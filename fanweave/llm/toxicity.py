@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanweave.llm.labels import clear_labels, hash_sample, platt, sigmoid
+from fanweave.llm.labels import clear_labels, hash_sample, platt, sampled_texts, sigmoid
 from fanweave.llm.rows import small_batches
 from fanweave.session import stage
 
@@ -236,7 +236,7 @@ def fit_toxicity(
     )
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     # the sample's size is bounded by the two parameters
-    sample = stage(texts.join(F.broadcast(wanted), "id").select("y", "text"), "toxicity-sample")
+    sample = stage(sampled_texts(texts, wanted), "toxicity-sample")
     used = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not used.get(1):
         return ToxicityModel()

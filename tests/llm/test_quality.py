@@ -72,3 +72,24 @@ def test_odd_rows(spark):
     assert q.score_quality(empty, model).collect() == []
     only = df.filter("doc_id < 100")  # every document is labelled
     q.fit_quality(only, labels, ~in_fold("doc_id", 5, 0))
+
+
+def test_repeated_ids_count_once_in_a_sample(spark):
+    """An id with a third of all rows is one text of the sample, not thousands."""
+    from fanweave.llm.labels import sampled_texts
+
+    rows = docs(600)
+    hot = [(5000, f"copy {n % 7} of the hot text", "x", 1) for n in range(300)]
+    df = spark.createDataFrame(rows + hot + [(7, "another text of seven", "x", 1)], SCHEMA)
+    texts = df.select(F.col("doc_id").alias("id"), "text")
+    wanted = spark.createDataFrame([(5000, -1), (7, 1), (8, 0), (9999, 1)], "id long, y int")
+    got = sorted(tuple(r) for r in sampled_texts(texts, wanted).collect())
+    assert [y for y, _ in got] == [-1, 0, 1] and "hot" in got[0][1]
+    assert got == sorted(tuple(r) for r in sampled_texts(texts.repartition(7), wanted).collect())
+    # all unlabelled ids fit into the sample, so the hot one changes nothing but its own share
+    labels = df.filter("doc_id < 300").select("doc_id", F.col("y").alias("quality")).distinct()
+    once = df.dropDuplicates(["doc_id"]).filter("doc_id <> 5000")
+    extra = spark.createDataFrame([(5000, "copy 1 of the hot text", "x", 1)] * 200, SCHEMA)
+    many = q.fit_quality(once.unionByName(extra), labels, F.lit(True), max_unlabelled=100_000)
+    one = q.fit_quality(once.unionByName(extra.limit(1)), labels, F.lit(True), max_unlabelled=100_000)
+    assert np.allclose(many.weights, one.weights) and many.offset == pytest.approx(one.offset)
