@@ -199,7 +199,7 @@ def _fitting_rows(model: ToxicityModel):
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
                 line = folded(text or "")
                 found = matches(auto, line)
-                near = sorted({c for s in found for c in _contexts(line, s)})[:64]
+                near = sorted({c for s in found for c in _contexts(line, s)})
                 rows.append((y, sum(found.values()), line.count(" ") - 1, near))
             y, total, words, near = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -212,12 +212,13 @@ def _fitting_rows(model: ToxicityModel):
 
 
 def _learn_exceptions(rows: DataFrame) -> tuple[str, ...]:
+    """All phrases with the evidence; the labelled sample bounds their number."""
     near = rows.filter("size(near) > 0").select("y", F.explode("near").alias("phrase"))
     counts = near.groupBy("phrase").agg(
         F.sum(F.col("y").cast("long")).alias("toxic"), F.sum(1 - F.col("y")).alias("clean")
     )
     found = counts.filter((F.col("toxic") == 0) & (F.col("clean") >= EXCEPTION_DOCS))
-    return tuple(r["phrase"] for r in found.orderBy(F.desc("clean"), "phrase").limit(1000).collect())
+    return tuple(sorted(r["phrase"] for r in found.select("phrase").collect()))
 
 
 def fit_toxicity(

@@ -88,3 +88,21 @@ def test_odd_rows(spark):
     assert len(x.score_toxicity(df, only_bad).collect()) == len(rows)
     assert x.score_toxicity(df.limit(0), model).collect() == []
     x.fit_toxicity(df.limit(0), labels, ~in_fold("doc_id", 4, 2))
+
+
+def letters(n):
+    return "".join(chr(ord("a") + int(c)) for c in f"{n:04d}") + "zz"
+
+
+def test_all_contexts_and_exceptions_are_learned(spark):
+    """A long toxic text speaks for all its contexts, and more than 1000 exceptions count."""
+    model = x.ToxicityModel({" scum ": 3.0})
+    spared = [f"{letters(n)} scum" for n in range(1100)]
+    rows = [(0, " . ".join(spared), ) for _ in range(x.EXCEPTION_DOCS)]
+    long_toxic = " . ".join(f"{letters(2000 + n)} scum" for n in range(200))
+    rows += [(1, long_toxic), *[(0, f"zzzz scum {letters(2199)} scum") for _ in range(x.EXCEPTION_DOCS)]]
+    df = spark.createDataFrame(rows, "y int, text string").repartition(2)
+    schema = "y int, total double, words long, near array<string>"
+    got = set(x._learn_exceptions(df.mapInArrow(x._fitting_rows(model), schema)))
+    assert {x.folded(s) for s in spared} <= got
+    assert x.folded(f"{letters(2199)} scum") not in got
