@@ -45,17 +45,18 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: line ends and slashes may be escaped, as in JSON and environment files
 ARMOUR = re.compile(
-    r"-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END "
+    r"-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY-----((?:[A-Za-z0-9+/=\s]++|\\++[nrt/])++)-----END "
 )
+ESCAPED_SPACE = re.compile(r"\\+[nrt]|\s+")
 TOKEN = re.compile(
     r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.(?:[A-Za-z0-9_-]+)?"
 )
 #: superset of the texts in which any of the above can match
 POSSIBLE = (
     r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-    r"|[A-Za-z0-9+/_-]{40}|PRIVATE KEY-----|[A-Za-z0-9_-]{8}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]"
-    r"|[A-Za-z0-9_-]{8}\.[A-Za-z0-9_-]{8,}\."
+    r"|[A-Za-z0-9+/_-]{40}|PRIVATE KEY-----|[A-Za-z0-9_-]{8}\.[A-Za-z0-9_-]{2,}\."
 )
 SPAN_TYPE = "array<struct<kind: string, start: int, end: int, detail: string>>"
 
@@ -182,23 +183,31 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return found
 
 
+def _encoded_key(part: str) -> str | None:
+    kind = key_kind(decode_base64(part))
+    if kind is None and len(part) % 2 == 0 and re.fullmatch(r"[0-9A-Fa-f]+", part):
+        kind = key_kind(bytes.fromhex(part))
+    return kind
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int, str]]:
     """Candidates whose decoded structure is that of a key or signed token."""
     found, covered = [], []
     for m in ARMOUR.finditer(text):
-        kind = key_kind(decode_base64("".join(m[1].split())))
+        kind = key_kind(decode_base64(ESCAPED_SPACE.sub("", m[1]).replace("\\", "")))
         if kind:
             found.append(("private_key", *m.span(1), f"armoured {kind}"))
             covered.append(m.span(1))
     for m in ENCODED.finditer(text):
         if any(a <= m.start() < b for a, b in covered):
             continue
-        data = decode_base64(m[0])
-        kind = key_kind(data)
-        if kind is None and len(m[0]) % 2 == 0 and re.fullmatch(r"[0-9A-Fa-f]+", m[0]):
-            kind = key_kind(bytes.fromhex(m[0]))
+        begin, end = m.span()
+        kind = _encoded_key(m[0])
+        if kind is None and m[0][0] in "nrt" and text[begin - 1: begin] == "\\":
+            begin += 1  # the letter ends an escaped line end
+            kind = _encoded_key(text[begin: end])
         if kind:
-            found.append(("private_key", *m.span(), kind))
+            found.append(("private_key", begin, end, kind))
     for m in TOKEN.finditer(text):
         name = token_algorithm(m[0])
         if name:

@@ -104,3 +104,39 @@ def test_json_header_depth():
     deep = base64.urlsafe_b64encode(("[" * 100_000).encode()).decode().rstrip("=")
     assert s.token_algorithm(f"{deep}.{deep}.x") is None
     assert json.loads("{}") == {}
+
+
+@pytest.mark.parametrize("line_end", ["\\n", "\\r\\n", "\\\\n", "\n", "\\n\n"])
+def test_armour_with_escaped_line_ends(spark, line_end):
+    body = base64.encodebytes(RSA).decode().strip()
+    inner = "\n".join(["", *body.split("\n"), ""]).replace("\n", line_end)
+    slashed = inner.replace("/", "\\/")
+    for inside in (inner, slashed):
+        text = f'{{"key": "-----BEGIN RSA PRIVATE KEY-----{inside}-----END RSA PRIVATE KEY-----"}}'
+        at = text.index("KEY-----") + len("KEY-----")
+        keys = [f for f in s.confirmed_spans(text) if f[0] == "private_key"]
+        assert keys == [("private_key", at, at + len(inside), "armoured pkcs1")]
+        spark_rows = s.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+        assert "private_key" in [x["kind"] for x in spark_rows.collect()[0]["spans"]]
+
+
+def test_key_behind_an_escaped_line_end():
+    plain = base64.b64encode(RSA).decode()
+    text = "key:\\n" + plain
+    assert ("private_key", 6, len(text), "pkcs1") in s.confirmed_spans(text)
+
+
+def test_unsigned_token_with_a_short_body_passes_the_prefilter(spark):
+    text = "see " + token('{"alg":"none"}', "{}", "")
+    assert text.endswith(".e30.")
+    rows = s.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [x["kind"] for x in rows[0]["spans"]] == ["signed_token"]
+
+
+def test_armour_takes_linear_time():
+    import time
+
+    begin = time.time()
+    for bad in ("A" * 400_000, "\\" * 400_000, "\\n" * 200_000, "A\\n" * 100_000 + "\\"):
+        assert not s.confirmed_spans("-----BEGIN PRIVATE KEY-----" + bad + "!")
+    assert time.time() - begin < 20
