@@ -7,9 +7,10 @@ unbiased risk
     prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)])
 
 with the sigmoid loss; where the second part turns negative, its gradient is reversed.
-The prior is estimated as the share of positives among labelled rows of the training
-fold. At last a logistic curve, fitted to the same labelled rows, turns the margin into
-a probability.
+The prior is not estimated from unlabelled text: it is the share of positives among the
+labelled rows of the training fold, negatives included, which is right if unlabelled text
+has the same share. At last a logistic curve, fitted to the same labelled rows, turns the
+margin into a probability.
 
 Fitting uses at most ``MAX_LABELLED`` labelled and ``MAX_UNLABELLED`` unlabelled
 documents, chosen by a hash of their id; an id counts once, however many rows have it. Scoring is one narrow pass over all documents.
