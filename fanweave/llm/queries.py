@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fanweave.llm.divergence import divergence
 from fanweave.llm.exact_dedup import exact_duplicates, normalised
+from fanweave.llm.infill import infill
 from fanweave.llm.labels import in_fold
 from fanweave.llm.mixing import DOMAINS, fit_domains, mix
 from fanweave.llm.near_dedup import near_duplicates
 from fanweave.llm.packing import best_fit, word_count
 from fanweave.llm.quality import ACCEPT, fit_quality, score_quality
 from fanweave.llm.registry import query, table
+from fanweave.llm.repeats import remove_repeats
 from fanweave.llm.secrets import BASE_KINDS, find_secrets
 from fanweave.llm.token_records import read_index, write_token_records
 from fanweave.llm.topk import top_k
@@ -170,3 +173,137 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins of 2048 words; documents of one source or with equal texts are kept apart."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return best_fit(docs, word_count("text"), F.col("source"), F.xxhash64(normalised("text")))
+
+
+INFILL_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+k AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS tokens,
+         CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3,
+         CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM d),
+c AS (
+  SELECT *, CAST(len(tokens) AS BIGINT) AS n FROM k),
+p AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM c),
+x AS (
+  SELECT *, coalesce(array_to_string(list_slice(tokens, 1, low), ''), '') AS prefix,
+         coalesce(array_to_string(list_slice(tokens, low + 1, high), ''), '') AS middle,
+         coalesce(array_to_string(list_slice(tokens, high + 1, n), ''), '') AS suffix
+  FROM p)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+              WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM x
+"""
+
+
+@query("op11_infill", INFILL_SQL)
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-the-middle order of every document, and the digest of the way back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return infill(docs).drop("output")
+
+
+REPEATS_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+w AS (SELECT r, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM d),
+e AS (
+  SELECT r, unnest(range(1, len(words) - 33)) AS i,
+         unnest(list_transform(range(1, len(words) - 33),
+                lambda k: array_to_string(list_slice(words, k, k + 34), ' '))) AS edge
+  FROM d WHERE len(words) >= 35),
+m AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY edge) AS times FROM e) WHERE times > 1),
+c AS (
+  SELECT w.r, w.i, w.word, max(CASE WHEN m.i IS NULL THEN 0 ELSE 1 END) OVER (
+           PARTITION BY w.r ORDER BY w.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM w LEFT JOIN m ON w.r = m.r AND w.i = m.i),
+k AS (
+  SELECT r, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept
+  FROM c GROUP BY r)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words,
+       CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r
+"""
+
+
+@query("op12_repeats", REPEATS_SQL)
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 35 words or more that start elsewhere too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         coalesce(text, '') AS t FROM documents),
+x AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM d),
+o AS (
+  SELECT r, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz') AS term FROM x),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+c AS (
+  SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term)
+  GROUP BY lang, source, term),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+total AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+g AS (
+  SELECT a.lang, a.source, coalesce(v, 0) AS v, coalesce(total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) a LEFT JOIN size USING (lang)
+  LEFT JOIN total USING (lang, source)),
+s AS (
+  SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n,
+         CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 2)) // (g.total + 2 * g.v)
+              AS BIGINT) AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item,
+         CAST(coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN s y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  WHERE x.term IS NULL OR y.term IS NOT NULL
+  GROUP BY a.lang, a.source, b.source),
+l AS (
+  SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (sum(n) + 2))
+         // (any_value(t.total) + 2 * any_value(size.v)) AS BIGINT) AS q
+  FROM c JOIN (SELECT lang, sum(total) AS total FROM total GROUP BY lang) t USING (lang)
+  JOIN size USING (lang) GROUP BY lang, term),
+term AS (
+  SELECT s.lang, s.source, s.term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM s JOIN l USING (lang, term) WHERE s.n > 0 AND p > q),
+r AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL SELECT lang, source, 'term', item, value FROM term),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)
+                 AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op13_divergence", DIVERGENCE_SQL)
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of a language differ in their terms, and by which terms."""
+    docs = table(spark, sf_dir, "documents").select("text", "lang", "source")
+    return divergence(docs)
