@@ -10,13 +10,18 @@ they can: the least value of
 with the tokens t_i, posteriors p_i, targets T_d, S the sum of all tokens and E_d the
 expected tokens of a domain at rate 1, so that domains count by their relative error.
 Measured in the weights t_i / S the gradient for a document is
-``p_i . r + ridge * (w_i - 1)`` with the relative residuals r of all domains, so the best
-rate is ``max(0, 1 - p_i . r / ridge)`` and only the four numbers r are unknown. They
-maximise the concave dual, by Newton steps: a round is one narrow pass that sums, for a few
-lengths of the step at once, the expected tokens, the dual and its curvature. It ends when
-the residuals that the rates leave are r up to ``TOLERANCE``, which proves that no other
-rates are better; there is no limit of rounds. No rate is stored between rounds and nothing
-is shuffled but the sums of a task.
+``p_i . r + ridge * (w_i - 1)`` with the relative residuals r of all domains. The rates are found
+by projected gradient steps, ``w_i <- max(0, w_i - length * step_i)``. Plain steps would need
+thousands of rounds where posteriors are diffuse, so the gradient is preconditioned with the Hessian
+over the rates that are free to move. It is ``ridge`` times the identity plus a matrix of the rank
+of the domains, so a few numbers describe the step of every document:
+``step_i = p_i . pull / ridge + (w_i - 1)``. A rate at its bound whose gradient pushes on stays there.
+
+A round is two narrow passes: one sums the Hessian and finds the norm of the projected gradient, one
+tries a few lengths at once and sums expected tokens and loss. No rate is stored between rounds: a
+task replays the rounds, each of two vectors and a length. Nothing is shuffled but the sums of a
+task. The search ends when the projected gradient is below ``TOLERANCE`` for every
+document, which proves that no other rates are better; there is no limit of rounds.
 
 The whole number of copies of a document is its rate, rounded up or down by a hash of its
 id so that the expectation is the rate.
@@ -44,9 +49,10 @@ from pyspark.sql import types as T
 
 from fanweave.llm.labels import clear_labels, hash_sample, sampled_texts
 from fanweave.llm.packing import word_count
-from fanweave.llm.rows import fresh
+from fanweave.llm.rows import fresh, small_batches
 from fanweave.llm.text_stats import N_FEATURES, features
-from fanweave.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity
+from fanweave.llm.toxicity import ToxicityModel, fit_toxicity
+from fanweave.llm.words import text_slices
 from fanweave.session import stage
 
 #: in the order of 2 * quality + toxic
@@ -54,11 +60,10 @@ DOMAINS = ("low", "low_toxic", "good", "good_toxic")
 #: wanted tokens of each domain, as multiples of the tokens of all good documents
 TARGETS = {"low": 0.02, "low_toxic": 0.0, "good": 1.1, "good_toxic": 0.02}
 MAX_LABELLED = 12_000
-ROUNDS = 60
 RIDGE = 1e-3
-#: of the residuals at the end
+#: of the projected gradient of every document at the end
 TOLERANCE = 1e-8
-#: lengths of a Newton step that one pass tries; the dual's curvature changes by a factor of
+#: lengths of a step that one pass tries; the curvature changes by a factor of
 #: 1 + 1 / RIDGE at most, so one of them makes progress
 LENGTHS = 0.5 ** np.arange(12)
 
@@ -106,16 +111,20 @@ def fit_softmax(
     return w
 
 
-def _inputs(texts: pa.Array, toxic: pa.Array) -> np.ndarray:
-    score = np.clip(np.asarray(toxic, np.float64), 1e-6, 1 - 1e-6)
+def _inputs(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
+    score = np.clip(toxic, 1e-6, 1 - 1e-6)
     return np.hstack([features(texts).astype(np.float64), np.log(score / (1 - score))[:, None]])
 
 
-def _input_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = _inputs(batch.column("text"), batch.column("toxicity"))
-        rows = pa.array([row.tobytes() for row in x], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("y"), rows], ["y", "x"])
+def _input_rows(toxicity: ToxicityModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = toxicity.scorer()
+        for batch in batches:
+            texts = batch.column("text")
+            rows = pa.array([row.tobytes() for row in _inputs(texts, score(texts))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("y"), rows], ["y", "x"])
+
+    return run
 
 
 def fit_domains(
@@ -132,8 +141,7 @@ def fit_domains(
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     # the sample's size is bounded by the parameter
     chosen = sampled_texts(texts, wanted)
-    scored = score_toxicity(chosen, model.toxicity, "text", "toxicity")
-    rows = scored.mapInArrow(_input_rows, "y int, x binary").toPandas()
+    rows = chosen.mapInArrow(_input_rows(model.toxicity), "y int, x binary").toPandas()
     if not len(rows):
         return model
     x = np.frombuffer(b"".join(rows["x"]), np.float64).reshape(-1, N_FEATURES + 1)
@@ -155,35 +163,64 @@ def clean_ids(
 
 
 def domain_posteriors(
-    docs: DataFrame, model: DomainModel, text: str = "text", name: str = "posteriors"
+    docs: DataFrame, model: DomainModel, text: str = "text", name: str = "posteriors",
+    left_out: tuple[str, ...] = (),
 ) -> DataFrame:
-    """All columns of ``docs`` and the posteriors of ``DOMAINS``, in one narrow pass."""
-    toxicity = fresh("toxicity", docs.columns)
-    scored = score_toxicity(docs, model.toxicity, text, toxicity)
+    """The columns of ``docs`` but those ``left_out``, and the posteriors of ``DOMAINS``.
+
+    One narrow pass scores toxicity, counts features and applies the model.
+    """
     kept = [c for c in docs.columns if c.lower() != name.lower()]
     schema = T.StructType([
         *(docs.schema[c] for c in kept), T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.toxicity.scorer()
         for batch in batches:
-            p = model.posteriors(_inputs(batch.column(text), batch.column(toxicity)))
-            offsets = pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32))
-            out = pa.ListArray.from_arrays(offsets, pa.array(p.reshape(-1)))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), out], [*kept, name])
+            # parts of bounded bytes, whatever the number of rows
+            for begin, end in text_slices(batch.column(text)):
+                part = batch.slice(begin, end - begin)
+                texts = part.column(text)
+                p = model.posteriors(_inputs(texts, score(texts)))
+                offsets = pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32))
+                out = pa.ListArray.from_arrays(offsets, pa.array(p.reshape(-1)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in kept if c not in left_out), out],
+                    [*(c for c in kept if c not in left_out), name])
 
-    return scored.mapInArrow(run, schema)
+    left = [f for f in schema.fields if f.name not in left_out]
+    return small_batches(docs).mapInArrow(run, T.StructType(left))
 
 
 # --- rates -----------------------------------------------------------------------------------
 
 
-def replay(p: np.ndarray, residuals: list[np.ndarray], ridge: float) -> np.ndarray:
-    """The rates after the rounds whose residuals are given."""
-    step = 1.0 / (1.0 + ridge)
+@dataclass
+class Step:
+    """A round: the residuals before it, the preconditioned pull of each domain, the length."""
+
+    residual: np.ndarray
+    pull: np.ndarray
+    length: float
+
+
+def _moved(
+    p: np.ndarray, w: np.ndarray, step: Step, lengths: np.ndarray, ridge: float,
+    least: np.ndarray | float,
+) -> np.ndarray:
+    """The rates after a step of each length, one row a length."""
+    held = (w <= least) & (p @ step.residual + ridge * (w - 1.0) > 0)
+    move = np.where(held, 0.0, p @ step.pull / ridge + (w - 1.0))
+    return np.maximum(least, w - lengths[:, None] * move)
+
+
+def rates(
+    p: np.ndarray, steps: list[Step], ridge: float = RIDGE, least: np.ndarray | float = 0.0
+) -> np.ndarray:
+    """The rates after these rounds, from 1 on; ``least`` is 1 at most."""
     w = np.ones(len(p))
-    for r in residuals:
-        w = np.maximum(0.0, w - step * (p @ r + ridge * (w - 1.0)))
+    for step in steps:
+        w = _moved(p, w, step, np.array([step.length]), ridge, least)[0]
     return w
 
 
@@ -191,142 +228,114 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def _expected(facts: DataFrame, residuals: list[np.ndarray], ridge: float) -> np.ndarray:
-    """Expected tokens of each domain with the rates after these rounds."""
+def _least(batch: pa.RecordBatch, name: str = "least") -> np.ndarray | float:
+    return np.asarray(batch.column(name)) if name in batch.schema.names else 0.0
+
+
+def _summed(facts: DataFrame, width: int, of_batch) -> tuple[np.ndarray, float]:
+    """Sums of ``width`` numbers over all documents, and the greatest of one number.
+
+    ``of_batch(p, t, least)`` gives both for a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(DOMAINS))
+        total, most = np.zeros(width), 0.0
         for batch in batches:
             if batch.num_rows:
                 p, t = _matrix(batch.column("posteriors")), np.asarray(batch.column("tokens"))
-                total += (replay(p, residuals, ridge) * t) @ p
-        columns = [pa.array([n], pa.int32()) for n in range(len(total))]
-        yield from (
-            pa.RecordBatch.from_arrays([c, pa.array([v])], ["domain", "tokens"])
-            for c, v in zip(columns, total)
-        )
-
-    rows = facts.mapInArrow(run, "domain int, tokens double").groupBy("domain").sum("tokens")
-    out = np.zeros(len(DOMAINS))
+                sums, top = of_batch(p, t.astype(np.float64), _least(batch))
+                total, most = total + sums, max(most, top)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(width, dtype=np.int32)), pa.array(total),
+             pa.array(np.full(width, most))], ["place", "value", "most"])
+
+    rows = facts.mapInArrow(run, "place int, value double, most double").groupBy("place").agg(
+        F.sum("value").alias("value"), F.max("most").alias("most"))
+    sums, most = np.zeros(width), 0.0
     for row in rows.collect():
-        out[row[0]] = row[1]
-    return out
+        sums[row["place"]], most = row["value"], max(most, row["most"])
+    return sums, most
 
 
-def solve_rates(
-    facts: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, ridge: float = RIDGE
-) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Residuals of all rounds, the targets in tokens, and the expected tokens reached.
-
-    ``facts`` has ``tokens`` and ``posteriors``. Targets are multiples of the expected
-    tokens of all documents in good domains. The search ends when no domain's relative
-    residual changes by more than a millionth, or after ``rounds``, so it need not have
-    met the targets: the queries take ``optimal_residuals``, which this is to check.
-    """
-    present = _expected(facts, [], ridge)
-    share = np.array([targets.get(d, 0.0) for d in DOMAINS])
-    exists = present > 1e-9 * max(present.sum(), 1.0)
-    wanted = np.where(exists, share * (present[2] + present[3]), 0.0)
-    residuals: list[np.ndarray] = []
-    reached = present
-    if not exists.any():
-        return residuals, wanted, present
-    for _ in range(rounds):
-        residual = np.where(exists, (reached - wanted) / np.where(exists, present, 1.0), 0.0)
-        if residuals and np.abs(residual - residuals[-1]).max() < 1e-6:
-            break
-        residuals.append(residual)
-        reached = _expected(facts, residuals, ridge)
-    return residuals, wanted, reached
-
-
-def best_rates(
-    p: np.ndarray, residual: np.ndarray, ridge: float, least: np.ndarray | float = 0.0
+def _trial_sums(
+    facts: DataFrame, steps: list[Step], step: Step | None, lengths: np.ndarray, ridge: float
 ) -> np.ndarray:
-    """The rates, ``least`` or more, that are best where the relative residuals are these."""
-    return np.maximum(least, 1.0 - p @ residual / ridge)
+    """For each length of ``step``: the expected tokens, and the sum of ``t (w - 1)^2``."""
+    size = len(DOMAINS)
 
+    def of_batch(p: np.ndarray, t: np.ndarray, least) -> tuple[np.ndarray, float]:
+        w = rates(p, steps, ridge, least)
+        tried = w[None, :] if step is None else _moved(p, w, step, lengths, ridge, least)
+        return np.hstack([(tried * t) @ p, ((tried - 1.0) ** 2 @ t)[:, None]]).reshape(-1), 0.0
 
-def _least(batch: pa.RecordBatch, name: str = "least") -> np.ndarray | float:
-    return np.asarray(batch.column(name)) if name in batch.schema.names else 0.0
+    sums, _ = _summed(facts, len(lengths) * (size + 1), of_batch)
+    return sums.reshape(len(lengths), size + 1)
 
 
-def _dual_sums(facts: DataFrame, trials: np.ndarray, ridge: float) -> np.ndarray:
-    """For each trial of the residuals: expected tokens, the documents' part of the dual,
-    and the sum of ``t p p^T`` over the documents whose rates move with the residuals."""
+def _free_sums(
+    facts: DataFrame, steps: list[Step], residual: np.ndarray, ridge: float
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Over the rates that are free: the sums of ``t p p^T`` and of ``t p`` times the gradient;
+    and the norm of the projected gradient of all rates."""
     size = len(DOMAINS)
-    width = size + 1 + size * size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(trials), width))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            p, t = _matrix(batch.column("posteriors")), np.asarray(batch.column("tokens"))
-            for out, r in zip(total, trials):
-                least, pull = _least(batch), p @ r
-                w = best_rates(p, r, ridge, least)
-                moves = 1.0 - pull / ridge >= least
-                free, weight = p[moves], t[moves]
-                out[:size] += (w * t) @ p
-                out[size] += t @ (w * pull + ridge / 2 * (w - 1.0) ** 2)
-                out[size + 1:] += ((free * weight[:, None]).T @ free).reshape(-1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))],
-            ["place", "value"])
+    def of_batch(p: np.ndarray, t: np.ndarray, least) -> tuple[np.ndarray, float]:
+        w = rates(p, steps, ridge, least)
+        slope = p @ residual + ridge * (w - 1.0)
+        free = ~((w <= least) & (slope > 0))
+        weighted = p[free] * t[free, None]
+        norm = float(np.abs(w - np.maximum(least, w - slope)).max())
+        return np.concatenate([(weighted.T @ p[free]).reshape(-1), weighted.T @ slope[free]]), norm
 
-    rows = facts.mapInArrow(run, "place int, value double").groupBy("place").sum("value")
-    sums = np.zeros(len(trials) * width)
-    for row in rows.collect():
-        sums[row[0]] = row[1]
-    return sums.reshape(len(trials), width)
+    sums, norm = _summed(facts, size * (size + 1), of_batch)
+    return sums[: size * size].reshape(size, size), sums[size * size:], norm
 
 
-def optimal_residuals(
+def solve_rates(
     facts: DataFrame, targets: dict[str, float], ridge: float = RIDGE
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Relative residuals at the optimum, the targets in tokens, and the expected tokens reached.
+) -> tuple[list[Step], np.ndarray, np.ndarray]:
+    """The rounds of the search, the targets in tokens, and the expected tokens reached.
 
-    ``facts`` and ``targets`` as for ``solve_rates``; a column ``least`` bounds the rates, by 1
-    at most, else 0 does. ``best_rates`` makes the rates. If the tolerance cannot be met, which only rounding could cause, an error tells so.
+    ``facts`` has ``tokens`` and ``posteriors``; a column ``least`` bounds the rates, by 1 at most,
+    else 0 does. Targets are multiples of the expected tokens of all documents in good
+    domains. If the tolerance cannot be met, which only rounding could cause, an error tells so.
     """
     size = len(DOMAINS)
-    r = np.zeros(size)
-    at = _dual_sums(facts, r[None, :], ridge)[0]
+    steps: list[Step] = []
+    at = _trial_sums(facts, steps, None, np.ones(1), ridge)[0]
     present = at[:size]
     share = np.array([targets.get(d, 0.0) for d in DOMAINS])
     exists = present > 1e-9 * max(present.sum(), 1.0)
     wanted = np.where(exists, share * (present[2] + present[3]), 0.0)
     if not exists.any():
-        return r, wanted, present
+        return steps, wanted, present
     scale = np.where(exists, present, 1.0)
-
-    def slope(r: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        return np.where(exists, sums[:size] - wanted - scale * r, 0.0)
-
-    def value(r: np.ndarray, sums: np.ndarray) -> float:
-        return float(sums[size] - r @ wanted - (scale * r * r).sum() / 2) / present.sum()
-
-    def error(r: np.ndarray, sums: np.ndarray) -> float:
-        return float(np.abs(slope(r, sums) / scale).max())
-
-    while error(r, at) > TOLERANCE:
-        # measured in the roots of the domains' tokens, so that rare domains count
-        root = np.sqrt(scale)
-        curve = at[size + 1:].reshape(size, size) / np.outer(root, root) / ridge + np.eye(size)
-        step = np.where(exists, np.linalg.solve(curve, slope(r, at) / root) / root, 0.0)
-        trials = r + LENGTHS[:, None] * step
-        sums = _dual_sums(facts, trials, ridge)
-        values = [value(x, s) for x, s in zip(trials, sums)]
-        errors = [error(x, s) for x, s in zip(trials, sums)]
-        best = int(np.argmax(values))
-        if values[best] <= value(r, at) + 1e-12 * (1 + abs(value(r, at))):
-            # the dual is flat up to rounding here; its slope still tells
-            best = int(np.argmin(errors))
-            if errors[best] >= error(r, at):
-                raise RuntimeError(f"rates are off by {error(r, at):.1e} and do not improve")
-        r, at = trials[best], sums[best]
-    return r, wanted, at[:size]
+    # measured in the roots of the domains' tokens, so that rare domains count
+    root = np.sqrt(scale)
+
+    def relative(sums: np.ndarray) -> np.ndarray:
+        return np.where(exists, (sums[:size] - wanted) / scale, 0.0)
+
+    def loss(sums: np.ndarray) -> float:
+        r = relative(sums)
+        return float((scale * r * r).sum() + ridge * sums[size]) / 2 / present.sum()
+
+    while True:
+        r = relative(at)
+        free, slope, norm = _free_sums(facts, steps, r, ridge)
+        if norm <= TOLERANCE:
+            return steps, wanted, at[:size]
+        # the Hessian over the free rates is inverted through this small matrix
+        inner = np.eye(size) * ridge + free / np.outer(root, root)
+        inverse = np.where(exists, np.linalg.solve(inner, slope / root) / root, 0.0)
+        step = Step(r, r - inverse, 1.0)
+        sums = _trial_sums(facts, steps, step, LENGTHS, ridge)
+        best = int(np.argmin([loss(x) for x in sums]))
+        if loss(sums[best]) >= loss(at):
+            raise RuntimeError(f"rates are off by {norm:.1e} and do not improve")
+        step.length = float(LENGTHS[best])
+        steps.append(step)
+        at = sums[best]
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -364,20 +373,21 @@ def _rated(
     names = {n: fresh(n, docs.columns) for n in ("tokens", "posteriors", "rate", "copies", "no", "least")}
     length = word_count(text) if tokens is None else tokens
     sized = docs.withColumn(names["tokens"], F.coalesce(length, F.lit(0)).cast("long"))
-    scored = domain_posteriors(sized, model, text, names["posteriors"])
-    scored = scored if keep_text else scored.drop(text)
+    left_out = () if keep_text else (text,)
+    scored = domain_posteriors(sized, model, text, names["posteriors"], left_out)
     placed = stage(scored.withColumn(names["no"], F.monotonically_increasing_id()), "domain-facts")
     if clean is not None:
         placed = _with_least(placed, clean, id, names["posteriors"], names["least"])
     wanted = ("tokens", "posteriors", *(["least"] if clean is not None else []))
-    facts = placed.select(*(F.col(names[n]).alias(n) for n in wanted))
-    residual, _, _ = optimal_residuals(facts, TARGETS if targets is None else targets)
+    # a small table of its own: the rounds read nothing else
+    facts = stage(placed.select(*(F.col(names[n]).alias(n) for n in wanted)), "rate-facts")
+    steps, _, _ = solve_rates(facts, TARGETS if targets is None else targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 p = _matrix(batch.column(names["posteriors"]))
-                rate = pa.array(best_rates(p, residual, RIDGE, _least(batch, names["least"])))
+                rate = pa.array(rates(p, steps, RIDGE, _least(batch, names["least"])))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, rate], [*batch.schema.names, names["rate"]])
 

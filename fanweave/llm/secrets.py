@@ -94,17 +94,26 @@ def _item(data: bytes, at: int) -> tuple[int, int, int] | None:
 
 
 def der_items(data: bytes, begin: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The items that fill ``data[begin:end]`` exactly, nested lengths checked; else None."""
-    items, at = [], begin
-    while at < end:
+    """The items that fill ``data[begin:end]`` exactly, nested lengths checked; else None.
+
+    The ends of the open items are a stack, so nesting may be as deep as the data.
+    """
+    items, at, open_ends = [], begin, [end]
+    while True:
+        while at == open_ends[-1]:
+            open_ends.pop()
+            if not open_ends:
+                return items
         item = _item(data, at)
-        if item is None or item[2] > end:
+        if item is None or item[2] > open_ends[-1]:
             return None
-        if item[0] & 0x20 and der_items(data, item[1], item[2]) is None:
-            return None
-        items.append(item)
-        at = item[2]
-    return items
+        if len(open_ends) == 1:
+            items.append(item)
+        if item[0] & 0x20:
+            at = item[1]
+            open_ends.append(item[2])
+        else:
+            at = item[2]
 
 
 def _der_key(data: bytes) -> str | None:
@@ -198,8 +207,12 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int, str]]:
         if kind:
             found.append(("private_key", *m.span(1), f"armoured {kind}"))
             covered.append(m.span(1))
+    block = 0
     for m in ENCODED.finditer(text):
-        if any(a <= m.start() < b for a, b in covered):
+        # blocks and candidates both come in order
+        while block < len(covered) and covered[block][1] <= m.start():
+            block += 1
+        if block < len(covered) and covered[block][0] <= m.start():
             continue
         begin, end = m.span()
         kind = _encoded_key(m[0])

@@ -9,8 +9,8 @@ by a power of its number of words; a logistic curve makes a probability of that.
 
 Entries, exceptions, the power and the curve are learned from at most ``MAX_TOXIC``
 toxic and ``MAX_CLEAN`` other labelled documents of the training fold, chosen by a hash
-of their id. Pattern counts are aggregated by Spark; at most ``MAX_CANDIDATES`` of them
-reach the driver. Scoring is one narrow pass over all documents.
+of their id. Pattern counts are aggregated by Spark; those with the evidence of an entry reach
+the driver, and the sample bounds their number. Scoring is one narrow pass over all documents.
 
 Defined results: a null text counts as empty and gets the score of a text without a
 match. Rows with a null id are scored and in no fold. Ids with contradictory labels are
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -38,17 +38,15 @@ from fanweave.session import stage
 
 MAX_TOXIC = 6_000
 MAX_CLEAN = 10_000
-MAX_CANDIDATES = 20_000
 #: distinct patterns that a task counts before it hands them on
 KEPT_PATTERNS = 200_000
-MAX_ENTRIES = 4_000
 #: an entry's least log-odds, and the least number of toxic documents it is seen in
 LEAST_WEIGHT = 3.0
 LEAST_DOCS = 4
 STEM_LETTERS = (4, 5, 6, 7, 8)
 #: contexts seen in so many clean documents and in no toxic one are exceptions
 EXCEPTION_DOCS = 3
-POWERS = (0.0, 0.125, 0.25, 0.5, 1.0)
+POWERS = (0.125, 0.25, 0.5, 1.0)
 FLAG = 0.3
 
 # fixed values: letters that look like Latin ones
@@ -102,7 +100,7 @@ class ToxicityModel:
 
     entries: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = ()
-    power: float = 0.0
+    power: float = 1.0
     slope: float = 0.0
     shift: float = 0.0
 
@@ -120,6 +118,20 @@ class ToxicityModel:
     def score(self, totals: np.ndarray, words: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * totals / np.maximum(words, 1) ** self.power + self.shift)
 
+    def scorer(self) -> Callable[[pa.Array], np.ndarray]:
+        """A function from texts to scores, which holds the automaton."""
+        auto = self.matcher()
+
+        def run(texts: pa.Array) -> np.ndarray:
+            totals, words = np.zeros(len(texts)), np.zeros(len(texts))
+            for i, value in enumerate(texts):
+                line = folded(value.as_py() or "")
+                words[i] = line.count(" ") - 1
+                totals[i] = sum(matches(auto, line).values())
+            return self.score(totals, words)
+
+        return run
+
 
 def matches(auto: ahocorasick.Automaton | None, text: str) -> dict[int, float]:
     """Weight by the start of each matched word of a folded text; exceptions left out."""
@@ -131,8 +143,16 @@ def matches(auto: ahocorasick.Automaton | None, text: str) -> dict[int, float]:
             spared.append((start, end))
         elif weight > best.get(start, 0.0):
             best[start] = weight
-    if spared:
-        best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
+    if spared and best:
+        # both lists by start: how far the exceptions that began so far reach
+        spared.sort()
+        reach, at = -1, 0
+        for start in sorted(best):
+            while at < len(spared) and spared[at][0] <= start:
+                reach = max(reach, spared[at][1])
+                at += 1
+            if start < reach:
+                del best[start]
     return best
 
 
@@ -165,17 +185,14 @@ def _pattern_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield summed(seen)
 
 
-def choose_entries(
-    rows: Iterable[tuple[str, float]], most: int = MAX_ENTRIES
-) -> dict[str, float]:
-    """Keep the strongest patterns; one that a shorter, as strong one covers is left out."""
+def choose_entries(rows: Iterable[tuple[str, float]]) -> dict[str, float]:
+    """The patterns, strongest first; one that a shorter, as strong one covers is left out."""
     chosen: dict[str, float] = {}
     for pattern, weight in sorted(rows, key=lambda r: (len(r[0].rstrip()), r[0])):
         stems = (pattern[:n + 1] for n in STEM_LETTERS if n + 1 < len(pattern.rstrip()) + 1)
         if not any(chosen.get(s, 0.0) >= weight - 0.5 for s in stems if s != pattern):
             chosen[pattern] = weight
-    strongest = sorted(chosen.items(), key=lambda e: (-e[1], e[0]))[:most]
-    return dict(strongest)
+    return dict(sorted(chosen.items(), key=lambda e: (-e[1], e[0])))
 
 
 def _contexts(text: str, start: int) -> list[str]:
@@ -253,7 +270,7 @@ def fit_toxicity(
     )
     least = min(LEAST_WEIGHT, np.log((n_clean + 1) / 2)) if n_clean else 0.0
     strong = candidates.filter(F.col("weight") >= float(least))
-    rows = strong.orderBy(F.desc("weight"), "pattern").limit(MAX_CANDIDATES).collect()
+    rows = strong.select("pattern", "weight").collect()
     model = ToxicityModel(choose_entries((r["pattern"], r["weight"]) for r in rows))
     schema = "y int, total double, words long, near array<string>"
     learned = _learn_exceptions(sample.mapInArrow(_fitting_rows(model), schema))
@@ -281,15 +298,10 @@ def score_toxicity(
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = model.matcher()
+        scores = model.scorer()
         for batch in batches:
-            totals, words = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for i, value in enumerate(batch.column(text)):
-                line = folded(value.as_py() or "")
-                words[i] = line.count(" ") - 1
-                totals[i] = sum(matches(auto, line).values())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(model.score(totals, words))],
+                [*(batch.column(c) for c in kept), pa.array(scores(batch.column(text)))],
                 [*kept, score],
             )
 

@@ -140,3 +140,42 @@ def test_armour_takes_linear_time():
     for bad in ("A" * 400_000, "\\" * 400_000, "\\n" * 200_000, "A\\n" * 100_000 + "\\"):
         assert not s.confirmed_spans("-----BEGIN PRIVATE KEY-----" + bad + "!")
     assert time.time() - begin < 20
+
+
+def nested(depth):
+    """``depth`` sequences inside each other, around an empty octet string."""
+    parts, size = [b"\x04\x00"], 2
+    for _ in range(depth):
+        head = der(0x30, bytes(size))[:-size] if size < 128 else (
+            lambda n: bytes([0x30, 0x80 | len(n)]) + n)(size.to_bytes((size.bit_length() + 7) // 8, "big"))
+        parts.append(head)
+        size += len(head)
+    return b"".join(reversed(parts))
+
+
+def test_deep_nesting(spark):
+    data = nested(100_000)
+    outer = s._item(data, 0)
+    assert len(s.der_items(data, outer[1], outer[2])) == 1
+    assert s.der_items(data[:-1], outer[1], outer[2]) is None
+    assert s.key_kind(data) is None
+    text = "key " + base64.b64encode(data).decode() + " password=hunter22"
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [x["kind"] for x in find_secrets(rows).first().spans] == ["assign"]
+
+
+def test_items_fill_their_range():
+    inner = der(0x30, der(2, b"1"), der(0x30), der(4, b"ab"))
+    data = inner + der(0x31, der(0x30, der(5)))
+    tags = [data[a - 2] for _, a, _ in s.der_items(data, 0, len(data))]
+    assert tags == [0x30, 0x31] and s.der_items(b"", 0, 0) == []
+    assert s.der_items(b"\x30\x03\x30\x02\x05", 0, 5) is None
+
+
+def test_many_armoured_blocks_take_linear_time():
+    import time
+
+    block = "-----BEGIN PRIVATE KEY-----\n" + base64.b64encode(PKCS8).decode() + "\n-----END PRIVATE KEY-----\n"
+    start = time.perf_counter()
+    spans = s.confirmed_spans(block * 3000)
+    assert len(spans) == 3000 and time.perf_counter() - start < 10

@@ -106,3 +106,23 @@ def test_all_contexts_and_exceptions_are_learned(spark):
     got = set(x._learn_exceptions(df.mapInArrow(x._fitting_rows(model), schema)))
     assert {x.folded(s) for s in spared} <= got
     assert x.folded(f"{letters(2199)} scum") not in got
+
+
+def test_many_exceptions_take_linear_time():
+    import time
+
+    model = x.ToxicityModel({" scum ": 3.0, " idiot ": 2.0}, exceptions=(" pond scum ",))
+    line = x.folded("pond scum idiot scum " * 100_000)
+    start = time.perf_counter()
+    found = x.matches(model.matcher(), line)
+    assert len(found) == 200_000 and time.perf_counter() - start < 2
+
+
+def test_no_limit_of_entries(spark):
+    """Every pattern with the evidence becomes an entry, however many there are."""
+    rows = [(i, " ".join(letters(n) for n in range(i % 8, 6000, 8)), int(i < 40)) for i in range(40)]
+    rows += [(i, "re th on", 0) for i in range(40, 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = x.fit_toxicity(df, df.select("doc_id", "toxic"), F.lit(True))
+    assert all(x.matches(model.matcher(), x.folded(letters(n))) for n in range(6000))
+    assert model.power > 0
