@@ -9,10 +9,11 @@ from the two counts. Written as corrections of the value of zero counts,
 
 the first sums run over the terms of one source, by distinct count, and the last one over the
 terms that both sources have. For the last, the nonzero counts of a term, in the order of the
-sources, are a path of a prefix tree. Equal paths are aggregated with their multiplicity first, all
-paths are range-partitioned in order, and each task inserts its own into a tree: rows that begin
-alike share nodes. A node adds its multiplicity times the correction of it and each of its
-ancestors, once, however many terms go through it. The sums of the tasks are added up.
+sources, are a path of a prefix tree. Equal paths are aggregated with their multiplicity first. Each
+task sorts its paths and inserts them into a tree batch by batch: rows that begin alike share
+nodes. A node adds its multiplicity times the correction of it and each of its ancestors, once,
+however many terms go through it. Corrections of trees add up, so it does not matter
+which paths meet in a task. A tree is held as arrays: a node is the row and depth where it is new.
 
 Nothing is collected per language or source: the widest row is one term's counts, at most one
 per source, as is each row of the result. Sizes of groups are joined, not broadcast by hand.
@@ -38,52 +39,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fanweave.llm.words import slices
 from fanweave.session import stage
 
 #: fixed values: a term is a run of A-Z, a-z and characters from U+0080 on
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LEAST_DOCUMENTS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
-#: entries of a task's tables before they are sent on
-FLUSH = 200_000
+#: terms in a task's tables before they are sent on
+FLUSH = 250_000
+#: pairs of a node and an ancestor that are computed at once
+PAIRS = 1 << 18
 
 
-def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(lang, source, term, times, docs)``, partial counts of bounded tables."""
-    table: dict[tuple[str, str], dict[str, list[int]]] = {}
-    held = 0
+class _Counters:
+    """Occurrences and documents of the terms of one group, of a bounded number of rows."""
 
-    def flush() -> pa.RecordBatch:
-        rows = [(lang, source, term, n, docs) for (lang, source), terms in table.items()
-                for term, (n, docs) in terms.items()]
-        lang, source, term, n, docs = zip(*rows)
+    def __init__(self) -> None:
+        self.times: Counter[bytes] = Counter()
+        self.docs: Counter[bytes] = Counter()
+
+    def batch(self, lang: str, source: str) -> pa.RecordBatch:
+        terms = list(self.times)
+        size = len(terms)
         return pa.record_batch(
-            [pa.array(lang), pa.array(source), pa.array(term), pa.array(n, pa.int64()),
-             pa.array(docs, pa.int64())], names=["lang", "source", "term", "times", "docs"])
+            [pa.repeat(lang, size), pa.repeat(source, size), pa.array(terms, pa.binary()).cast("string"),
+             pa.array(np.fromiter(self.times.values(), np.int64, size)),
+             pa.array(np.fromiter(map(self.docs.__getitem__, terms), np.int64, size))],
+            names=["lang", "source", "term", "times", "docs"])
+
 
+def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(lang, source, term, times, docs)``, partial counts of bounded tables."""
+    table: dict[tuple[str, str], _Counters] = {}
+    held = 0
     for batch in batches:
         columns = (batch.column(c).to_pylist() for c in ("lang", "source", "text"))
         for lang, source, text in zip(*columns):
-            terms = table.setdefault((lang, source), {})
-            folded: dict[str, int] = {}
-            for term, n in Counter(TERM.findall(text)).items():
-                term = term.lower() if term.isascii() else term.translate(_FOLD)
-                folded[term] = folded.get(term, 0) + n
-            for term, n in folded.items():
-                entry = terms.get(term)
-                if entry is None:
-                    terms[term] = [n, 1]
-                    held += 1
-                else:
-                    entry[0] += n
-                    entry[1] += 1
+            # of bytes, only A-Z have a lower case
+            terms = TERM.findall(text.encode().lower())
+            group = table.setdefault((lang, source), _Counters())
+            held -= len(group.times)
+            group.times.update(terms)
+            group.docs.update(set(terms))
+            held += len(group.times)
             if held >= FLUSH:
-                yield flush()
+                for key, group in table.items():
+                    yield group.batch(*key)
                 table, held = {}, 0
-    if held:
-        yield flush()
+    for key, group in table.items():
+        yield group.batch(*key)
 
 
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -110,70 +116,84 @@ def value(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-class _Tree:
-    """A prefix tree of sorted rows, held as the path that is open."""
+def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) ** 2 // (p + q)
 
-    def __init__(self) -> None:
-        self.lang: str | None = None
-        self.path: list[tuple[str, int, int]] = []
-        self.times: list[int] = []
-        self.sums: dict[tuple[str, str, str], int] = {}
-
-    def insert(self, lang: str, row: list[tuple[str, int, int]], times: int) -> None:
-        shared = 0
-        if lang == self.lang:
-            for old, new in zip(self.path, row):
-                if old != new:
-                    break
-                shared += 1
-        self.close(shared)
-        self.lang = lang
-        self.path += row[shared:]
-        self.times += [0] * (len(row) - shared)
-        if row:
-            self.times[-1] += times
-
-    def close(self, depth: int = 0) -> None:
-        """Finish all nodes below ``depth``: each meets its ancestors once."""
-        while len(self.path) > depth:
-            source, q, q0 = self.path.pop()
-            times = self.times.pop()
-            if self.times:
-                self.times[-1] += times
-            if not self.path:
-                continue
-            p = np.array([x[1] for x in self.path], np.int64)
-            p0 = np.array([x[2] for x in self.path], np.int64)
-            more = times * (_f(p, q) - _f(p, q0) - _f(p0, q) + _f(p0, q0))
-            for (other, _, _), n in zip(self.path, more.tolist()):
-                key = (self.lang, other, source)
-                self.sums[key] = self.sums.get(key, 0) + n
-
-    def drain(self) -> pa.RecordBatch:
-        rows = [(*key, n) for key, n in self.sums.items()]
-        self.sums = {}
-        columns = zip(*rows) if rows else ((), (), (), ())
-        lang, a, b, n = (list(c) for c in columns)
-        return pa.record_batch(
-            [pa.array(lang, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()),
-             pa.array(n, pa.int64())], names=["lang", "a", "b", "more"])
 
+def tree_nodes(
+    elements: np.ndarray, starts: np.ndarray, times: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of the prefix tree of sorted rows: their element, depth and multiplicity.
 
-def _f(p: np.ndarray, q: np.ndarray | int) -> np.ndarray:
-    return (p - q) ** 2 // (p + q)
+    Row r is ``elements[starts[r]: starts[r + 1]]``, a number per element, equal rows begin alike.
+    A node belongs to the first of the rows that share it; its ancestors are the elements
+    before it in that row.
+    """
+    size = np.diff(starts)
+    depth = np.arange(len(elements)) - np.repeat(starts[:-1], size)
+    row = np.repeat(np.arange(len(size)), size)
+    # how much of each row the row before has as well
+    above = starts[np.maximum(row - 1, 0)] + depth
+    same = (row > 0) & (depth < size[np.maximum(row - 1, 0)])
+    same[same] = elements[above[same]] == elements[np.flatnonzero(same)]
+    broken = np.where(same, len(elements), depth)
+    shared = np.minimum.reduceat(broken, starts[:-1]) if len(elements) else np.zeros(0, int)
+    shared = np.minimum(shared, size)
+    node = np.flatnonzero(depth >= shared[row])
+    # a node goes on until the next row that does not have it
+    end = np.full(len(node), len(size))
+    by_depth = np.argsort(depth[node], kind="stable")
+    for at in np.split(by_depth, np.flatnonzero(np.diff(depth[node][by_depth])) + 1):
+        if len(at):
+            stops = np.flatnonzero(shared <= depth[node[at[0]]])
+            place = np.searchsorted(stops, row[node[at]], side="right")
+            end[at] = np.append(stops, len(size))[place]
+    total = np.concatenate(([0], np.cumsum(times)))
+    return node, depth[node], total[end] - total[row[node]]
 
 
 def _corrections(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(lang, a, b, more)`` of the sorted rows ``(lang, path, terms)`` of a task; a before b."""
-    tree = _Tree()
+    """``(lang, a, b, more)`` of the sorted rows ``(lang, path, terms)`` of a batch; a before b."""
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("lang", "path", "terms"))
-        for lang, path, times in zip(*columns):
-            tree.insert(lang, [(x["source"], x["p"], x["p0"]) for x in path], times)
-            if len(tree.sums) >= FLUSH:
-                yield tree.drain()
-    tree.close()
-    yield tree.drain()
+        if not batch.num_rows:
+            continue
+        path = batch.column("path")
+        cells = path.flatten()
+        starts = np.concatenate(([0], np.cumsum(path.value_lengths().to_numpy())))
+        lang = batch.column("lang").dictionary_encode()
+        source = cells.field("source").dictionary_encode()
+        of_lang = lang.indices.to_numpy().astype(np.int64)
+        of_source = source.indices.to_numpy().astype(np.int64)
+        p, p0 = (cells.field(c).to_numpy() for c in ("p", "p0"))
+        # a first element per row stands for the language, so that languages share nothing
+        number = np.unique(np.stack([np.repeat(of_lang, np.diff(starts)), of_source, p]), axis=1,
+                           return_inverse=True)[1].reshape(-1)
+        node, depth, times = tree_nodes(number, starts, batch.column("terms").to_numpy())
+        row_lang = np.repeat(of_lang, np.diff(starts))
+        sums: dict[tuple[int, int, int], int] = {}
+        for lo, hi in slices(depth, PAIRS):
+            below = np.repeat(node[lo:hi], depth[lo:hi])
+            first = np.cumsum(depth[lo:hi]) - depth[lo:hi]
+            up = np.arange(len(below)) - np.repeat(first, depth[lo:hi])
+            above = below - np.repeat(depth[lo:hi], depth[lo:hi]) + up
+            more = np.repeat(times[lo:hi], depth[lo:hi]) * (
+                _f(p[above], p[below]) - _f(p[above], p0[below]) - _f(p0[above], p[below])
+                + _f(p0[above], p0[below]))
+            pair = (row_lang[below] * len(source.dictionary) + of_source[above]) * len(
+                source.dictionary) + of_source[below]
+            keys, place = np.unique(pair, return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, place, more)
+            for key, n in zip(keys.tolist(), total.tolist()):
+                sums[key] = sums.get(key, 0) + n
+        keys = np.fromiter(sums, np.int64, len(sums))
+        n = len(source.dictionary)
+        yield pa.record_batch(
+            [lang.dictionary.take(pa.array(keys // (n * n))),
+             source.dictionary.take(pa.array(keys // n % n)),
+             source.dictionary.take(pa.array(keys % n)),
+             pa.array(np.fromiter(sums.values(), np.int64, len(sums)))],
+            names=["lang", "a", "b", "more"])
 
 
 def pair_corrections(rows: DataFrame) -> DataFrame:
@@ -187,10 +207,8 @@ def pair_corrections(rows: DataFrame) -> DataFrame:
         .filter(F.size("path") > 1)
         .groupBy("lang", "path").agg(F.count(F.lit(1)).alias("terms"))
     )
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = stage(paths, "term-rows").repartitionByRange(parts, "lang", "path")
     return (
-        ordered.sortWithinPartitions("lang", "path")
+        paths.sortWithinPartitions("lang", "path")
         .mapInArrow(_corrections, "lang string, a string, b string, more bigint")
         .groupBy("lang", "a", "b").agg(F.sum("more").alias("more"))
     )

@@ -2,11 +2,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fanweave.llm.divergence import _Tree, divergence
+from fanweave.llm.divergence import _corrections, divergence, tree_nodes
 
 SCHEMA = "doc_id bigint, text string, lang string, source string"
 
@@ -90,11 +92,21 @@ ROWS = st.lists(
 @given(ROWS)
 def test_tree_corrections_equal_the_plain_sum(rows):
     paths = Counter(tuple(sorted((s, 10 * p, 10) for s, p in row.items())) for row in rows)
-    tree, plain = _Tree(), Counter()
-    for path, times in sorted(paths.items()):
-        tree.insert("x", list(path), times)
+    plain, nodes = Counter(), Counter()
+    for path, times in paths.items():
         for i, (a, p, p0) in enumerate(path):
+            nodes[path[:i + 1]] += times
             for b, q, q0 in path[i + 1:]:
                 plain["x", a, b] += times * (f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0))
-    tree.close()
-    assert tree.sums == {k: plain[k] for k in tree.sums} and plain.keys() == tree.sums.keys()
+    rows = [{"lang": "x", "path": [dict(zip(("source", "p", "p0"), e)) for e in path], "terms": n}
+            for path, n in sorted(paths.items())]
+    got = [r for b in _corrections([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+    assert {(r["lang"], r["a"], r["b"]): r["more"] for r in got} == plain
+    # every node once, with the number of terms that go through it
+    flat = [e for path in sorted(paths) for e in path]
+    starts = np.cumsum([0, *map(len, sorted(paths))])
+    number = np.unique(np.array([(ord(s), p) for s, p, _ in flat]), axis=0, return_inverse=True)[1]
+    node, depth, times = tree_nodes(
+        number.reshape(-1), starts, np.array([n for _, n in sorted(paths.items())]))
+    assert len(node) == len(nodes)
+    assert {tuple(flat[k - d: k + 1]): n for k, d, n in zip(*map(list, (node, depth, times)))} == nodes
