@@ -8,12 +8,16 @@ they are in sorts, and packed into one number for aggregates. Options:
 * ``complete``: a vector is complete when its ``distinct`` slots reach ``n``, or
   when the ``arrivals`` reach ``n``, repeated slots included. With arrivals, every
   further ``n`` messages complete another cycle and older values stay in place.
+  ``batch_arrivals`` counts once per ``group`` of messages, as a stream does per micro-batch, so
+  a cycle can take more than ``n``; groups follow each other in ascending order.
 * ``cycles``: with distinct slots, only the ``first`` completion of an id or ``all``;
   after a completion the id starts again without values.
 * ``fill``: value of a slot that is missing on completion (arrivals only).
-* ``ttl``: only messages less than ``ttl`` after the id's first one count.
+* ``ttl``: only messages less than ``ttl`` after the id's first one count. With ``renew``
+  every message starts the time anew, as it renews a kept state: after ``ttl`` or more without
+  a message the state is dropped, and the next message opens another round of the id.
 
-Output rows are ``(id, cycle, completed_seq, vector)``.
+Output rows are ``(id, cycle, completed_seq, vector)``, with ``renew`` also ``round``.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fanweave.operators.cycles import distinct_cycles
+from fanweave.operators.rounds import grouped_cycles, with_rounds
 from fanweave.operators.skew import HOT_ROWS, attach_per_key, hot_keys, split_hot
 from fanweave.session import stage
 
@@ -54,11 +59,16 @@ def fan_in(
     df: DataFrame, id: str, slot: str, value: str, seq: str | tuple[str, str], n: int,
     dup: str = "first", complete: str = "distinct", fill: float | None = None,
     cycles: str = "first", ttl: float | None = None, ttl_col: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, group: str | None = None, renew: bool = False,
 ) -> DataFrame:
     """Completed vectors of every id; see the module text for the options."""
-    if dup not in ("first", "last") or complete not in ("distinct", "arrivals"):
-        raise ValueError("dup is 'first' or 'last', complete is 'distinct' or 'arrivals'")
+    if dup not in ("first", "last") or complete not in ("distinct", "arrivals", "batch_arrivals"):
+        raise ValueError(
+            "dup is 'first' or 'last', complete is 'distinct', 'arrivals' or 'batch_arrivals'")
+    if (complete == "batch_arrivals") != (group is not None):
+        raise ValueError("batch_arrivals needs a group, other rules have none")
+    if renew and ttl is None:
+        raise ValueError("renew needs a ttl")
     if cycles not in ("first", "all"):
         raise ValueError("cycles is 'first' or 'all'")
     by = [seq] if isinstance(seq, str) else list(seq)
@@ -69,16 +79,33 @@ def fan_in(
     ]
     if ttl is not None:
         columns.append(F.col(ttl_col or by[0]).alias("_at"))
+    if group is not None:
+        columns.append(F.col(group).alias("_group"))
     if complete == "distinct":
         df = df.filter(F.col(slot).between(0, n - 1))
     messages = df.select(*columns).filter(F.col("_id").isNotNull())
+    if renew:
+        rounds = with_rounds(messages, "_id", "_at", order, ttl).drop("_at")
+        # one text key: rounds of an id are ids of their own
+        key = F.concat_ws(":", "_round", F.col("_id").cast("string"))
+        done = fan_in(
+            rounds.withColumn("_key", key), "_key", "_slot", "_value",
+            tuple(order) if len(order) > 1 else order[0], n, dup, complete, fill, cycles,
+            hot_rows=hot_rows, group=group and "_group")
+        number = F.substring_index("_key", ":", 1)
+        text = F.expr("substring(_key, instr(_key, ':') + 1)")
+        return done.select(
+            text.cast(df.schema[id].dataType).alias(id), number.cast("bigint").alias("round"),
+            "cycle", "completed_seq", "vector")
     repeated = complete == "distinct" and cycles == "all"
     needs_hot = ttl is not None or complete == "arrivals" or (dup == "last" and not repeated)
     hot = hot_keys(messages, "_id", hot_rows) if needs_hot else None
     if ttl is not None:
         messages = _live(messages, "_id", "_at", ttl, hot).drop("_at")
 
-    if complete == "arrivals":
+    if complete == "batch_arrivals":
+        result = _grouped_arrivals(messages, order, n, dup, fill)
+    elif complete == "arrivals":
         result = _arrivals(messages, order, n, dup, fill, hot)
     elif repeated:
         result = distinct_cycles(messages, order, n, dup)
@@ -286,6 +313,20 @@ def _arrivals(
     return result
 
 
+def _grouped_arrivals(
+    messages: DataFrame, order: list[str], n: int, dup: str, fill: float | None
+) -> DataFrame:
+    """Cycles of whole groups. Only sizes of groups are scanned in order; the messages are
+    joined with their group's cycle, so a hot id is spread by group and by cycle."""
+    if dup != "last":
+        raise ValueError("counting arrivals overwrites slots: use dup='last'")
+    groups = stage(grouped_cycles(messages, n), "grouped-cycles")
+    rows = messages.join(groups.drop("full"), ["_id", "_group"]).withColumn("_rank", _packed(order))
+    full = groups.filter("full").select("_id", "cycle")
+    return _filled_cycles(rows.drop("_group"), order, n, fill, True).join(
+        full, ["_id", "cycle"], "left_semi").drop("_rows")
+
+
 def _rank_spread(messages: DataFrame, order: list[str]) -> DataFrame:
     """``_rank`` of every message within its id, for ids too large for one task.
 
@@ -322,13 +363,18 @@ def _cycles(
     """
     cycle = F.expr(f"`_rank` div {int(n)}").alias("cycle")
     rows = ranked.select("_id", cycle, "_slot", "_value", "_rank", *order)
+    return _filled_cycles(rows, order, n, fill, spans).filter(F.col("_rows") == n).drop("_rows")
+
+
+def _filled_cycles(
+    rows: DataFrame, order: list[str], n: int, fill: float | None, spans: bool
+) -> DataFrame:
+    """Vectors of all cycles, full or not, with their number of messages ``_rows``."""
     per_cycle = _latest_in_cycle(rows, order, n)
     slots = [f"_v{k}" for k in range(n)]
     filled = _fill_spans(per_cycle, slots) if spans else _fill_forward(per_cycle, slots, "_id")
     cells = [F.col(c) if fill is None else F.coalesce(F.col(c), F.lit(float(fill))) for c in slots]
-    return filled.filter(F.col("_rows") == n).select(
-        "_id", "cycle", *order, F.array(*cells).alias("vector")
-    )
+    return filled.select("_id", "cycle", *order, "_rows", F.array(*cells).alias("vector"))
 
 
 def _latest_in_cycle(rows: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -8,10 +8,11 @@ a null element counts as NaN.
   variable. No shuffle. The default.
 * ``hof``: higher-order functions on arrays, JVM only, each layer a constant from a
   scalar subquery. No join and no shuffle.
-* ``blocks``: the neurons in blocks below the size limit. One narrow pass multiplies all
-  rows with one block and keeps the outputs beside the row; the outputs of all blocks
-  together are the layer's. Each pass is written before the next one, so a worker
-  holds one block at a time. No row moves and nothing is exploded.
+* ``blocks``: a tiled product. The neurons of every layer come in blocks below the size limit,
+  each a broadcast variable of its own. One narrow pass takes a batch of rows through all
+  layers: it loops over the blocks of a layer and joins their outputs in memory. A worker loads
+  a block from its executor's disk for a batch and lets it go again, so it holds one block at
+  a time. No row moves, nothing is exploded or written.
 
 The model is written once and measured before anything is broadcast; above the limit the
 form is ``blocks``, whatever was asked for.
@@ -24,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,45 +195,42 @@ def _hof_forward(images: DataFrame, neurons: DataFrame, unknown: str) -> DataFra
 # --- block form ------------------------------------------------------------------------------
 
 
-def _with_column(
-    images: DataFrame, name: str, kind: T.DataType, compute: Callable[[pa.RecordBatch], pa.Array]
-) -> DataFrame:
-    """``images`` and one more column, computed batch by batch."""
-    schema = T.StructType([*images.schema.fields, T.StructField(name, kind)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, compute(batch)], [*batch.schema.names, name])
-
-    return images.mapInArrow(run, schema)
-
-
-def _block_outputs(images: DataFrame, block: list[tuple], unknown: str, name: str) -> DataFrame:
-    """One more column: the outputs of one block's neurons."""
-    shared = images.sparkSession.sparkContext.broadcast(block)
-    functions = array_functions()
+def _loaded(shared: Broadcast) -> tuple:
+    """The value of a broadcast block, which this worker does not keep."""
+    value = shared.value
+    # a worker reads the value again from the executor's disk; the driver keeps its own
+    if TaskContext.get() is not None:
+        vars(shared).pop("_value", None)
+    return value
 
-    def outputs(batch: pa.RecordBatch) -> pa.Array:
-        layer = shared.value[0]
-        x = _matrix(batch.column("features"), layer[1].shape[0])
-        return _lists(_apply_layer(x, layer, functions, unknown, whole=False))
 
-    return _with_column(images, name, T.ArrayType(T.DoubleType()), outputs)
-
-
-def _block_forward(images: DataFrame, neurons: DataFrame, unknown: str, limit: int) -> DataFrame:
-    columns = images.columns
-    for plan in _layer_plan(neurons):
-        parts = []
-        for n, block in enumerate(_blocks(route(neurons, plan["layer"]), limit)):
-            parts.append(f"_block_{n}")
-            images = stage(
-                _block_outputs(images, _local_model(block), unknown, parts[-1]), "block-outputs")
-        outputs = F.concat(*parts)
-        images = images.withColumn("features", softmax(outputs) if plan["soft"] else outputs)
-        images = images.select(*columns)
-    return images
+def _tiled_forward(
+    images: DataFrame, neurons: DataFrame, unknown: str, limit: int, predict: bool
+) -> DataFrame:
+    """Run all layers on Arrow batches, block by block, keeping the other columns."""
+    context = images.sparkSession.sparkContext
+    plan = []
+    for row in _layer_plan(neurons):
+        # the driver holds one block at a time as well
+        blocks = [
+            context.broadcast(_local_model(block)[0])
+            for block in _blocks(route(neurons, row["layer"]), limit)
+        ]
+        plan.append((row["width"], row["soft"] > 0, blocks))
+
+    def outputs(x: np.ndarray, functions: dict) -> np.ndarray:
+        for width, soft, blocks in plan:
+            if x.shape[1] != width:
+                raise ValueError(f"vector lengths differ: {[x.shape[1]]} and {width}")
+            x = np.hstack([
+                _apply_layer(x, _loaded(block), functions, unknown, whole=False)
+                for block in blocks
+            ])
+            if soft:
+                x = _softmax_rows(x)
+        return x
+
+    return _on_batches(images, plan[0][0], outputs, predict)
 
 
 # --- Arrow form ------------------------------------------------------------------------------
@@ -284,8 +283,7 @@ def _apply_layer(
     if hidden and set(hidden) == {"softmax"} and len(hidden) == len(names):
         if not whole:
             return z
-        powers = np.exp(z - z.max(axis=1, keepdims=True))
-        return powers / powers.sum(axis=1, keepdims=True)
+        return _softmax_rows(z)
     for name in set(hidden):
         units = [i for i, (n, f) in enumerate(zip(names, finals)) if n == name and not f]
         if name in functions:
@@ -297,11 +295,15 @@ def _apply_layer(
     return z
 
 
-def _arrow_forward(
-    images: DataFrame, model: list[tuple], unknown: str, predict: bool
+def _softmax_rows(z: np.ndarray) -> np.ndarray:
+    powers = np.exp(z - z.max(axis=1, keepdims=True))
+    return powers / powers.sum(axis=1, keepdims=True)
+
+
+def _on_batches(
+    images: DataFrame, width: int, outputs: Callable[[np.ndarray, dict], np.ndarray], predict: bool
 ) -> DataFrame:
-    """Run all layers of ``model`` on Arrow batches, keeping the other columns."""
-    shared = images.sparkSession.sparkContext.broadcast(model)
+    """``features`` becomes ``outputs`` of it, or the place of the largest of them."""
     functions = array_functions()
     kept = [c for c in images.columns if c != "features"]
     kept_fields = [images.schema[c] for c in kept]
@@ -312,21 +314,29 @@ def _arrow_forward(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layers = shared.value
         for batch in batches:
-            x = _matrix(batch.column("features"), layers[0][1].shape[0])
-            for layer in layers:
-                x = _apply_layer(x, layer, functions, unknown)
-            if predict:
-                out = pa.array(np.argmax(x, axis=1).astype(np.int32))
-            else:
-                out = _lists(x)
+            x = outputs(_matrix(batch.column("features"), width), functions)
+            out = pa.array(np.argmax(x, axis=1).astype(np.int32)) if predict else _lists(x)
             columns = [batch.column(c) for c in kept] + [out]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, result.name])
 
     return images.select(*kept, "features").mapInArrow(run, T.StructType([*kept_fields, result]))
 
 
+def _arrow_forward(
+    images: DataFrame, model: list[tuple], unknown: str, predict: bool
+) -> DataFrame:
+    """Run all layers of ``model`` on Arrow batches, keeping the other columns."""
+    shared = images.sparkSession.sparkContext.broadcast(model)
+
+    def outputs(x: np.ndarray, functions: dict) -> np.ndarray:
+        for layer in shared.value:
+            x = _apply_layer(x, layer, functions, unknown)
+        return x
+
+    return _on_batches(images, model[0][1].shape[0], outputs, predict)
+
+
 # --- public operators ------------------------------------------------------------------------
 
 
@@ -357,10 +367,9 @@ def _forward(
     if form == "arrow":
         _layer_plan(model)
         return _arrow_forward(images, _local_model(model), unknown, scored)
-    if form == "hof":
-        out = _hof_forward(images, model, unknown)
-    else:
-        out = _block_forward(images, model, unknown, limit)
+    if form == "blocks":
+        return _tiled_forward(images, model, unknown, limit, scored)
+    out = _hof_forward(images, model, unknown)
     if scored:
         out = out.withColumn("prediction", argmax(F.col("features"))).drop("features")
     return out

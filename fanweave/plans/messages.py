@@ -367,6 +367,67 @@ def q_fan_in_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slots(done).drop("cycle")
 
 
+# a day without a message ends a round
+ROUND_MICROS = 24 * 3600 * 1_000_000
+ROUNDS_SQL = f"""WITH {MESSAGES_SQL},
+gaps AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY id ORDER BY seq) >= INTERVAL 1 DAY
+                 THEN 1 ELSE 0 END AS opens FROM m),
+r AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY id ORDER BY seq) AS BIGINT) AS round FROM gaps),
+firsts AS (
+  SELECT id, round, slot, min(seq) AS seq, arg_min(value, seq) AS value FROM r
+  GROUP BY id, round, slot),
+done AS (
+  SELECT id, round, max(seq) AS done FROM firsts GROUP BY id, round HAVING count(*) = {N})
+SELECT f.id, f.round, f.slot, f.value, e.event_id AS completed_event
+FROM firsts f JOIN done d ON f.id = d.id AND f.round = d.round
+JOIN m e ON e.id = d.id AND e.seq = d.done"""
+
+
+@query("fan_in_ttl_rounds", ROUNDS_SQL)
+def q_fan_in_ttl_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message renews the state of its id; after a day without one it starts anew."""
+    done = fan_in(
+        messages(spark, sf_dir), "id", "slot", "value", ARRIVAL, N, ttl=ROUND_MICROS,
+        ttl_col="at", renew=True,
+    )
+    return done.select(
+        "id", "round", F.posexplode("vector").alias("slot", "value"),
+        event_of("completed_seq").alias("completed_event"),
+    )
+
+
+# messages of one day are one group
+GROUPED_SQL = f"""WITH RECURSIVE {MESSAGES_SQL},
+days AS (SELECT *, CAST(ts AS DATE) AS day FROM m),
+g AS (
+  SELECT id, day, count(*) AS c, row_number() OVER (PARTITION BY id ORDER BY day) AS k
+  FROM days GROUP BY id, day),
+walk AS (
+  SELECT id, day, k, CAST(0 AS BIGINT) AS cycle, c >= {N} AS full,
+         CASE WHEN c >= {N} THEN 0 ELSE c END AS held FROM g WHERE k = 1
+  UNION ALL
+  SELECT g.id, g.day, g.k, w.cycle + w.full::BIGINT, w.held + g.c >= {N},
+         CASE WHEN w.held + g.c >= {N} THEN 0 ELSE w.held + g.c END
+  FROM walk w JOIN g ON g.id = w.id AND g.k = w.k + 1),
+ends AS (
+  SELECT w.id, w.cycle, w.day, arg_max(d.event_id, d.seq) AS completed_event
+  FROM walk w JOIN days d ON d.id = w.id AND d.day = w.day WHERE w.full
+  GROUP BY w.id, w.cycle, w.day)
+SELECT e.id, e.cycle, e.completed_event, CAST(s.slot AS INTEGER) AS slot,
+       (SELECT arg_max(d.value, d.seq) FROM days d
+        WHERE d.id = e.id AND d.slot = s.slot AND d.day <= e.day) AS value
+FROM ends e, range({N}) AS s(slot)"""
+
+
+@query("fan_in_batch_arrivals", GROUPED_SQL)
+def q_fan_in_batch_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals counted once a day, so a cycle can take more messages than it needs."""
+    df = messages(spark, sf_dir).withColumn("day", F.expr("at div 86400000000"))
+    return _slots(fan_in(
+        df, "id", "slot", "value", ARRIVAL, N, "last", "batch_arrivals", group="day"))
+
+
 @query(
     "fan_in_strict",
     f"""WITH {MESSAGES_SQL}, {TTL_SQL},

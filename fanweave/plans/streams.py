@@ -10,6 +10,7 @@ from fanweave.plans import query
 from fanweave.plans.inference import PREDICT_SQL
 from fanweave.plans.messages import DEAD_LETTERS_SQL, FIRST_SQL, N, broken_messages
 from fanweave.plans.tables import (
+    FORWARD_SQL,
     MESSAGES_SQL,
     as_images,
     as_partial_outputs,
@@ -27,7 +28,7 @@ from fanweave.streaming.io import (
     route_dead_letters,
     start,
 )
-from fanweave.streaming.predict import predict_stream
+from fanweave.streaming.predict import predict_stream, predictions_by_messages
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +105,21 @@ def q_stream_predict_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed_predictions(spark, sf_dir, by_messages=True)
 
 
+@query(
+    "stream_predict_repeated",
+    f"""WITH {FORWARD_SQL}
+    SELECT image_id % 25 AS image_id, image_id AS arrival, prediction FROM formula""",
+)
+def q_stream_predict_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many vectors of one id in a micro-batch; each has a prediction of its own."""
+    src = as_images(_stream(spark, sf_dir, "embeddings")).select(
+        F.pmod("image_id", F.lit(25)).alias("image_id"), F.col("image_id").alias("arrival"),
+        "features",
+    )
+    out = predictions_by_messages(src, formula_neurons(spark), version="arrival")
+    return _written(spark, out, "predict-repeated")
+
+
 def _streamed_predictions(spark: SparkSession, sf_dir: str, by_messages: bool) -> DataFrame:
     src = as_images(_stream(spark, sf_dir, "embeddings")).select("image_id", "features")
     path = new_path(spark, "predict")

@@ -7,6 +7,8 @@ the cycle. It is read and written once per id and micro-batch, not per message.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -26,8 +28,8 @@ COMPLETE = ("distinct", "arrivals", "batch_arrivals")
 class Gather(StatefulProcessor):
     """Fan-in of one id; see :func:`fan_in_stream` for the options."""
 
-    def __init__(self, id, n, dup, complete, fill, ttl_ms, once, forget):
-        self.id, self.n, self.dup, self.complete = id, n, dup, complete
+    def __init__(self, ids, n, dup, complete, fill, ttl_ms, once, forget):
+        self.ids, self.n, self.dup, self.complete = ids, n, dup, complete
         self.fill, self.ttl_ms, self.once, self.forget = fill, ttl_ms, once, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -85,7 +87,8 @@ class Gather(StatefulProcessor):
             self._save()
             if fired:
                 out = pd.DataFrame(fired, columns=["cycle", "completed_seq", "vector"])
-                out.insert(0, self.id, [key[0]] * len(fired))
+                for place, (name, value) in enumerate(zip(self.ids, key)):
+                    out.insert(place, name, [value] * len(fired))
                 yield out
 
     def _merge_first(self, rows: Iterator[pd.DataFrame]) -> list[tuple]:
@@ -162,16 +165,18 @@ class Gather(StatefulProcessor):
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
-        yield frame.sort_values("msg_seq", kind="stable").drop_duplicates(["msg_id", "msg_slot"])
+        keys = [c for c in frame.columns if c not in ("msg_value", "msg_seq")]
+        yield frame.sort_values("msg_seq", kind="stable").drop_duplicates(keys)
 
 
 def fan_in_stream(
-    df: DataFrame, id: str, slot: str, value: str, seq: str, n: int,
+    df: DataFrame, id: str | list[str], slot: str, value: str, seq: str, n: int,
     dup: str = "first", complete: str = "distinct", fill: float | None = None,
     ttl_ms: int | None = None, once: bool = False, forget: bool = False,
 ) -> DataFrame:
     """Completed vectors of a message stream: ``(id, cycle, completed_seq, vector)``.
 
+    ``id`` may be several columns; each combination has a state of its own.
     ``seq`` is a BIGINT arrival number. ``once`` keeps only the first completion of
     an id; otherwise the next message opens a new cycle. ``complete`` may also be
     ``batch_arrivals``: arrivals are counted once per micro-batch, so a cycle can
@@ -192,11 +197,13 @@ def fan_in_stream(
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     if forget and once:
         raise ValueError("an id that completes only once must be remembered")
-    id_type = df.schema[id].dataType
+    ids = [id] if isinstance(id, str) else list(id)
+    keys = [f"msg_id_{k}" for k in range(len(ids))]
+    named = reduce(and_, (F.col(c).isNotNull() for c in ids))
     inside = F.coalesce(F.col(slot).between(0, n - 1), F.lit(False))
-    known = df.filter(F.col(id).isNotNull() & (inside if complete == "distinct" else F.lit(True)))
+    known = df.filter(named & (inside if complete == "distinct" else F.lit(True)))
     messages = known.select(
-        F.col(id).alias("msg_id"),
+        *(F.col(c).alias(k) for c, k in zip(ids, keys)),
         F.when(inside, F.col(slot)).otherwise(-1).cast("int").alias("msg_slot"),
         F.col(value).cast("double").alias("msg_value"), F.col(seq).cast("bigint").alias("msg_seq"),
     )
@@ -204,14 +211,14 @@ def fan_in_stream(
         messages = messages.mapInPandas(_combine, messages.schema)
     output = StructType(
         [
-            StructField(id, id_type),
+            *(StructField(c, df.schema[c].dataType) for c in ids),
             StructField("cycle", LongType()),
             StructField("completed_seq", LongType()),
             StructField("vector", VECTOR),
         ]
     )
-    return messages.groupBy("msg_id").transformWithStateInPandas(
-        Gather(id, n, dup, complete, fill, ttl_ms, once, forget),
+    return messages.groupBy(*keys).transformWithStateInPandas(
+        Gather(ids, n, dup, complete, fill, ttl_ms, once, forget),
         outputStructType=output,
         outputMode="Append",
         timeMode="None" if ttl_ms is None else "ProcessingTime",

@@ -14,59 +14,84 @@ from fanweave.streaming.fanin import fan_in_stream
 from fanweave.streaming.io import start
 
 
-def predictions_of(src: DataFrame, neurons: DataFrame, id: str = "image_id") -> DataFrame:
-    """Whole vectors arrive, so a row needs no state: the batch operator on a stream."""
+def predictions_of(src: DataFrame, neurons: DataFrame, *kept: str) -> DataFrame:
+    """Whole vectors arrive, so a row needs no state: the batch operator on a stream.
+
+    ``kept`` are the columns beside the prediction, else ``image_id``.
+    """
     if not fits_broadcast(neurons):
         raise ValueError("streaming inference needs a model that can be broadcast")
-    return predict(src.select(id, "features"), neurons)
+    return predict(src.select(*(kept or ("image_id",)), "features"), neurons)
 
 
 def neuron_messages(
-    vectors: DataFrame, neurons: DataFrame, layer: int, id: str = "image_id",
+    vectors: DataFrame, neurons: DataFrame, layer: int, id: str | list[str] = "image_id",
     unknown: str = "relu", limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Partial outputs of one layer: ``(id, slot, value)``, one message per neuron."""
-    sums = neuron_sums(vectors.select(id, "features"), neurons, layer, limit)
+    ids = [id] if isinstance(id, str) else list(id)
+    sums = neuron_sums(vectors.select(*ids, "features"), neurons, layer, limit)
     return sums.select(
-        id,
+        *ids,
         F.col("neuron").alias("slot"),
         activate(F.col("z"), F.col("activation"), F.col("is_final"), unknown).alias("value"),
     )
 
 
 def predictions_by_messages(
-    src: DataFrame, neurons: DataFrame, id: str = "image_id", ttl_ms: int | None = None
+    src: DataFrame, neurons: DataFrame, id: str = "image_id", ttl_ms: int | None = None,
+    version: str | None = None,
 ) -> DataFrame:
-    """The message form: every layer is a fan-out and a stateful fan-in by id.
+    """The message form: every layer is a fan-out and a stateful fan-in by id and version.
 
-    An id may be sent again in a later micro-batch and is then predicted again; a finished id
-    leaves no state behind.
+    ``version`` names a column that tells the vectors of an id apart, such as their arrival
+    number or offset in the source; it stays in the result. Every message carries both, so
+    vectors of one id never mix, in one micro-batch or across several, and each has its
+    prediction. The state is one row per (id, version): it goes when the version's vector is
+    complete, or after ``ttl_ms`` without a message for it.
+
+    Without ``version`` the content of the vector is its version: different vectors of an id
+    stay apart, and equal ones, whose messages are the same, may count as one if they come in one
+    micro-batch.
     """
     widths = {
         r["layer"]: r["n"]
         for r in neurons.groupBy("layer").agg(F.count(F.lit(1)).alias("n")).collect()
     }
-    vectors = src.select(id, "features")
+    name = version or "_version"
+    if version is None:
+        src = src.withColumn(name, F.xxhash64("features"))
+    keys = [id, name]
+    vectors = src.select(*keys, "features")
     for layer in sorted(widths):
-        messages = neuron_messages(vectors, neurons, layer, id).withColumn("seq", F.lit(0))
+        messages = neuron_messages(vectors, neurons, layer, keys).withColumn("seq", F.lit(0))
         vectors = fan_in_stream(
-            messages, id, "slot", "value", "seq", widths[layer], ttl_ms=ttl_ms,
+            messages, keys, "slot", "value", "seq", widths[layer], ttl_ms=ttl_ms,
             forget=True,
-        ).select(id, F.col("vector").alias("features"))
-    return vectors.select(id, argmax(F.col("features")).alias("prediction"))
+        ).select(*keys, F.col("vector").alias("features"))
+    kept = keys if version else [id]
+    return vectors.select(*kept, argmax(F.col("features")).alias("prediction"))
 
 
 def predict_stream(
     src: DataFrame, neurons: DataFrame, folder: str, checkpoint: str, id: str = "image_id",
     trigger: str | None = None, by_messages: bool = False, rows_per_file: int = ROWS_PER_FILE,
+    version: str | None = None,
 ) -> StreamingQuery:
     """Write ``id,prediction`` CSV files with a header as vectors arrive.
 
+    With ``version`` the files have ``id,version,prediction``; see
+    :func:`predictions_by_messages`.
+
     A file has at most ``rows_per_file`` rows and is closed with its micro-batch, so
     ``trigger`` bounds how long rows wait.
     """
-    form = predictions_by_messages if by_messages else predictions_of
-    out = form(src, neurons, id).select(id, "prediction")
+    kept = [id] if version is None else [id, version]
+    if by_messages:
+        out = predictions_by_messages(src, neurons, id, version=version)
+    else:
+        out = predictions_of(src, neurons, *kept)
+    out = out.select(*kept, "prediction")
     return start(
         out, checkpoint, path=folder, format="csv", trigger=trigger,
         options={"header": "true", "maxRecordsPerFile": str(rows_per_file)},

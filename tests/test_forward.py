@@ -181,3 +181,31 @@ def test_argmax_rows_ties_and_nan(spark):
 def test_empty_input(spark):
     none = images(spark).filter("image_id < 0")
     assert predict(none, network(spark)).count() == 0
+
+
+def test_blocks_take_one_pass_and_write_nothing(spark, monkeypatch):
+    """Eight blocks, one Python stage, no table but the model."""
+    from fanweave.operators import forward
+
+    written = []
+    monkeypatch.setattr(forward, "stage", lambda df, label: written.append(label) or df.cache())
+    df = logits(images(spark), network(spark), limit=130)
+    assert len(forward._blocks(route(network(spark), 0), 130)) == 3
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and written == ["model"]
+    np.testing.assert_allclose(outputs(df), expected(), rtol=1e-12, atol=1e-12)
+
+
+def test_workers_let_blocks_go(spark):
+    from fanweave.operators.forward import _loaded
+
+    shared = spark.sparkContext.broadcast((1, 2))
+
+    def run(batches):
+        for batch in batches:
+            first, second = _loaded(shared), _loaded(shared)
+            assert first == second == (1, 2) and "_value" not in vars(shared)
+            yield batch
+
+    assert spark.range(10).mapInArrow(run, "id bigint").count() == 10
+    assert _loaded(shared) == (1, 2) and shared.value == (1, 2)

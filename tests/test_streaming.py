@@ -24,7 +24,7 @@ from fanweave.streaming.io import (
     start,
     write_messages,
 )
-from fanweave.streaming.predict import predict_stream
+from fanweave.streaming.predict import predict_stream, predictions_by_messages
 
 SCHEMA = "id BIGINT, slot INT, value DOUBLE, seq BIGINT"
 
@@ -245,3 +245,28 @@ def test_the_topic_reader_asks_for_its_connector(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
         read_messages(spark, topic="layer-0", servers="broker:9092", start="latest", rate=50,
                       fail_on_data_loss=False).select(F.col("key"))
+
+
+@pytest.mark.parametrize("rate", [1, 5])
+@pytest.mark.parametrize("version", ["arrival", None])
+def test_vectors_of_one_id_do_not_mix(spark, tmp_path, rate, version):
+    """Different vectors of an id in one micro-batch, and again in later ones."""
+    neurons = network(spark)
+    rng = random.Random(4)
+    rows = [(i % 3, [rng.uniform(-1, 1) for _ in range(4)], n * 100 + i)
+            for n in range(3) for i in range(20)]
+    for n in range(3):
+        put(tmp_path, f"v{n}", [r for r in rows if r[2] // 100 == n],
+            ("image_id", "features", "arrival"))
+    src = read_messages(
+        spark, path=str(tmp_path), rate=rate,
+        schema="image_id BIGINT, features ARRAY<DOUBLE>, arrival BIGINT")
+    out = predictions_by_messages(src, neurons, version=version)
+    path = new_path(spark, "versions")
+    drain(start(out, f"{path}-checkpoint", path=f"{path}-out"))
+    got = spark.read.schema(out.schema).parquet(f"{path}-out").collect()
+    df = spark.createDataFrame(rows, "image_id BIGINT, features ARRAY<DOUBLE>, arrival BIGINT")
+    want = predict(df, neurons).collect()
+    names = ["image_id", "arrival", "prediction"] if version else ["image_id", "prediction"]
+    assert sorted(tuple(r[c] for c in names) for r in got) == sorted(
+        tuple(r[c] for c in names) for r in want)
