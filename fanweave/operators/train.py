@@ -1,29 +1,64 @@
 """Mini-batch training of a Linear-ReLU-Linear classifier as Spark jobs.
 
-A hash of the id decides the mini-batch of a row, and the rows are written once, by
-mini-batch. A step is a job over one mini-batch: every task sums the gradients of its
-rows into one packed array, the arrays are summed in a tree, and the driver makes one
-Adam update. So the result does not depend on how the rows are partitioned or ordered,
-but for rounding. Each epoch takes the mini-batches in another random order.
+The rows are numbered and written once. Every epoch deals them in a new order, a keyed permutation
+of the row numbers, so each mini-batch but the last has exactly the wanted size and any epoch can
+be computed again on its own. Two forms run an epoch and give the same result, which does
+not depend on how the rows are partitioned, but for rounding:
+
+* ``jobs``: the epoch's rows are written in blocks of mini-batches, about ``BLOCK_ROWS`` rows each,
+  so their number follows the rows and not the mini-batches. A step is a job over one
+  mini-batch: tasks sum packed gradients, the sums are added in a tree, the driver updates.
+* ``barrier``: the epoch is one job. A shuffle gives every task its share of the rows in the order
+  of the epoch, and a barrier stage runs all tasks side by side. In a step they exchange their
+  sums and each makes the same update. Spark looks for the end of an exchange once a second, so
+  a step takes a second at least: for steps that are long, or clusters where starting the
+  tasks of a job takes longer. A lost task runs the epoch again from its beginning.
+
+A task holds one Arrow batch of rows and the network, whatever the table's size.
 """
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import BarrierTaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fanweave import schemas
+from fanweave.functions.permutation import permuted
 from fanweave.operators.forward import BROADCAST_LIMIT, _matrix
-from fanweave.session import new_path
+from fanweave.operators.rows import with_row_id
+from fanweave.session import new_path, stage
 
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 #: at most so many packed gradients reach the driver in a step
 FAN_IN = 32
 PACKED = "gradient binary, loss double, rows long"
+#: rows of a written block of mini-batches; a larger mini-batch is a block of several files
+BLOCK_ROWS = 65_536
+FORMS = ("jobs", "barrier")
+STATE = "weights binary, first binary, second binary, losses array<double>"
+
+
+def epoch_batches(
+    df: DataFrame, n: int, batch: int, epoch: int, seed: int = 0, row_id: str = "row_id"
+) -> DataFrame:
+    """``df`` with the ``batch`` of each row in an epoch and its place ``pos`` in it.
+
+    ``row_id`` numbers the ``n`` rows from 0 on. All mini-batches but the last have ``batch``
+    rows. No row moves: a row's place follows from its number, the seed and the epoch.
+    """
+    place = permuted(F.col(row_id), n, "epoch", seed, epoch)
+    return (
+        df.withColumn("_place", place)
+        .withColumn("batch", F.call_function("div", F.col("_place"), F.lit(batch)))
+        .withColumn("pos", F.pmod("_place", F.lit(batch)))
+        .drop("_place")
+    )
 
 
 class Network:
@@ -78,6 +113,24 @@ class Network:
         return np.concatenate(parts)
 
 
+class _State:
+    """Weights and the two moments of Adam, alike in all tasks."""
+
+    def __init__(self, flat: np.ndarray):
+        self.flat, self.t = flat, 0
+        self.first, self.second = np.zeros(len(flat)), np.zeros(len(flat))
+
+    def update(self, g: np.ndarray, lr: float) -> None:
+        self.t += 1
+        self.first = BETA1 * self.first + (1 - BETA1) * g
+        self.second = BETA2 * self.second + (1 - BETA2) * g * g
+        step = self.first / (1 - BETA1**self.t)
+        self.flat = self.flat - lr * step / (np.sqrt(self.second / (1 - BETA2**self.t)) + EPSILON)
+
+
+# --- a job a step ---------------------------------------------------------------------------
+
+
 def _packed(gradient: np.ndarray, loss: float, rows: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([gradient.tobytes()], pa.binary()), pa.array([loss]), pa.array([rows])],
@@ -124,34 +177,123 @@ def _gradient(batch: DataFrame, net: Network, flat: np.ndarray) -> tuple[np.ndar
     return gradient / rows, sum(r["loss"] for r in found) / rows
 
 
-def _by_batch(images: DataFrame, id: str, batches: int, seed: int) -> tuple[str, list[int]]:
-    """Write the rows by mini-batch; the folder and the mini-batches that have rows."""
-    path = new_path(images.sparkSession, "mini-batches")
-    tasks = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = max(1, tasks // batches)  # few mini-batches are written by many tasks
-    key = F.xxhash64(F.lit(seed), id)
-    placed = images.select(
-        F.col("features").cast("array<double>").alias("features"),
-        F.col("label").cast("int").alias("label"),
-        F.pmod(key, F.lit(batches)).alias("batch"),
-        F.pmod(F.xxhash64(key), F.lit(spread)).alias("_spread"),
-    )
-    placed.repartition("batch", "_spread").drop("_spread").write.partitionBy("batch").parquet(path)
-    found = images.sparkSession.read.parquet(path).select("batch").distinct().collect()
-    return path, sorted(int(r["batch"]) for r in found)
+def _in_blocks(dealt: DataFrame, size: int) -> tuple[str, int]:
+    """Write an epoch's rows by block; the folder, and the mini-batches of a block."""
+    per_block = max(1, BLOCK_ROWS // size)
+    files = max(1, size // BLOCK_ROWS)
+    path = new_path(dealt.sparkSession, "mini-batches")
+    blocks = dealt.select(
+        "features", "label", "batch", F.call_function("div", F.col("batch"), F.lit(per_block)).alias(
+            "block"), F.pmod("pos", F.lit(files)).alias("_file"))
+    blocks.repartition("block", "_file").drop("_file").write.partitionBy("block").parquet(path)
+    return path, per_block
+
+
+def _epoch_in_jobs(
+    dealt: DataFrame, net: Network, state: _State, size: int, steps: int, lr: float
+) -> tuple[_State, list[float]]:
+    path, per_block = _in_blocks(dealt, size)
+    read = dealt.sparkSession.read.schema("features ARRAY<DOUBLE>, label INT, batch BIGINT")
+    losses = []
+    for step in range(steps):
+        rows = read.parquet(f"{path}/block={step // per_block}").filter(F.col("batch") == step)
+        g, loss = _gradient(rows.drop("batch"), net, state.flat)
+        state.update(g, lr)
+        losses.append(loss)
+    return state, losses
+
+
+# --- a job an epoch --------------------------------------------------------------------------
+
+
+class _Rows:
+    """The rows of a task in the order of the epoch, read as they are needed."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], width: int):
+        self.batches, self.width = batches, width
+        self.batch = np.zeros(0, np.int64)
+        self.x, self.y = np.zeros((0, width)), np.zeros(0, np.int64)
+        self.at = 0
+
+    def parts(self, number: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The rows of one mini-batch, in parts; mini-batches are asked for in order."""
+        while True:
+            end = int(np.searchsorted(self.batch, number, side="right"))
+            if end > self.at:
+                yield self.x[self.at: end], self.y[self.at: end]
+                self.at = end
+            if end < len(self.batch):
+                return
+            part = next(self.batches, None)
+            if part is None:
+                return
+            self.batch = part.column("batch").to_numpy(zero_copy_only=False)
+            self.x = _matrix(part.column("features"), self.width)
+            self.y = part.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+            self.at = 0
+
+
+def _exchange(context: BarrierTaskContext, sums: np.ndarray | None) -> np.ndarray:
+    """The element-wise total of the sums of all tasks; tasks without rows send nothing."""
+    message = "" if sums is None else base64.b64encode(sums.tobytes()).decode()
+    total: np.ndarray | None = None
+    for other in context.allGather(message):
+        if other:
+            part = np.frombuffer(base64.b64decode(other))
+            total = part.copy() if total is None else total + part
+    return total
+
+
+def _epoch_in_one_job(
+    rows: DataFrame, net: Network, state: _State, steps: int, lr: float, tasks: int
+) -> tuple[_State, list[float]]:
+    """One epoch over ``(batch, pos, features, label)``: the state after it, and all losses."""
+    shared = rows.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        held, own, losses = shared.value, _Rows(batches, net.width), []
+        for step in range(steps):
+            # gradient, loss and number of rows in one array
+            sums = np.zeros(net.size + 2)
+            for x, y in own.parts(step):
+                loss, mean = net.loss_and_gradient(held.flat, x, y)
+                sums[:-2] += mean * len(y)
+                sums[-2:] += loss * len(y), len(y)
+            total = _exchange(context, sums if sums[-1] else None)
+            held.update(total[:-2] / total[-1], lr)
+            losses.append(float(total[-2] / total[-1]))
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x.tobytes()], pa.binary())
+                 for x in (held.flat, held.first, held.second)]
+                + [pa.array([losses], pa.list_(pa.float64()))],
+                names=["weights", "first", "second", "losses"])
+
+    dealt = rows.repartition(tasks, "batch", "pos").sortWithinPartitions("batch", "pos")
+    (found,) = dealt.select("batch", "features", "label").mapInArrow(run, STATE, barrier=True).collect()
+    shared.unpersist()
+    after = _State(np.frombuffer(found["weights"]).copy())
+    after.first, after.second = (np.frombuffer(found[c]).copy() for c in ("first", "second"))
+    after.t = state.t + steps
+    return after, list(found["losses"])
 
 
 def train(
     images: DataFrame, hidden: int = 128, epochs: int = 5, batch: int = 64, lr: float = 0.001,
     seed: int = 0, report_every: int = 100, id: str = "image_id",
-    initial: DataFrame | None = None,
+    initial: DataFrame | None = None, form: str = "jobs", tasks: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Train on ``(id, features, label)``; returns the neurons table and ``(epoch, step, loss)``.
 
-    ``batch`` is the mean number of rows of a mini-batch. ``loss`` is the mean over the
-    mini-batch before its update. ``initial``: a neurons table of two layers to start from;
-    without it the start is random.
+    A mini-batch has ``batch`` rows, the last of an epoch what is left. ``loss`` is the mean over
+    the mini-batch before its update. ``initial``: a neurons table of two layers to start from;
+    without it the start is random. ``form``: see the module text. A barrier stage runs ``tasks`` at
+    the same time, as many as the cluster has cores unless given; it needs that many free, and
+    no dynamic allocation.
     """
+    if form not in FORMS:
+        raise ValueError(f"form must be one of {FORMS}")
     spark = images.sparkSession
     shape = images.agg(
         F.max(F.size("features")).alias("w"), F.max("label").alias("c"),
@@ -165,20 +307,23 @@ def train(
     if 3 * 8 * net.size > BROADCAST_LIMIT:
         raise ValueError("the network is too large to broadcast")
     flat = net.initial(seed) if start is None else net.flat(start)
-    m, v, t, losses = np.zeros(net.size), np.zeros(net.size), 0, []
-    path, batches = _by_batch(images, id, max(1, -(-shape["n"] // batch)), seed)
+    n = shape["n"]
+    size = max(1, min(batch, n))
+    steps = -(-n // size)
+    rows = stage(with_row_id(images.select(
+        id, F.col("features").cast("array<double>").alias("features"),
+        F.col("label").cast("int").alias("label")), [id]), "training-rows")
+    tasks = max(1, min(tasks or spark.sparkContext.defaultParallelism, n))
+    state, losses = _State(flat), []
     for epoch in range(epochs):
-        order = np.random.default_rng(seed + epoch).permutation(batches)
-        for step, number in enumerate(order.tolist(), 1):
-            rows = spark.read.schema("features ARRAY<DOUBLE>, label INT").parquet(
-                f"{path}/batch={number}")
-            g, loss = _gradient(rows, net, flat)
-            t += 1
-            m, v = BETA1 * m + (1 - BETA1) * g, BETA2 * v + (1 - BETA2) * g * g
-            flat = flat - lr * (m / (1 - BETA1**t)) / (np.sqrt(v / (1 - BETA2**t)) + EPSILON)
-            if step == 1 or step % report_every == 0:
-                losses.append((epoch + 1, step, loss))
-    return _neurons(spark, net, flat), spark.createDataFrame(
+        dealt = epoch_batches(rows, n, size, epoch, seed)
+        if form == "jobs":
+            state, found = _epoch_in_jobs(dealt, net, state, size, steps, lr)
+        else:
+            state, found = _epoch_in_one_job(dealt, net, state, steps, lr, tasks)
+        losses += [(epoch + 1, k, loss) for k, loss in enumerate(found, 1)
+                   if k == 1 or k % report_every == 0]
+    return _neurons(spark, net, state.flat), spark.createDataFrame(
         losses, "epoch INT, step INT, loss DOUBLE")
 
 

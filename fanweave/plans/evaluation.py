@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanweave.functions import argmax
+from fanweave.functions.permutation import PRIME, round_keys
 from fanweave.operators.evaluate import (
     accuracy,
     cross_entropy,
@@ -15,7 +16,8 @@ from fanweave.operators.evaluate import (
     verdicts,
 )
 from fanweave.operators.forward import logits, predict
-from fanweave.operators.train import train
+from fanweave.operators.rows import with_row_id
+from fanweave.operators.train import epoch_batches, train
 from fanweave.plans import query
 from fanweave.plans.tables import (
     CENTROID_SQL,
@@ -238,6 +240,47 @@ def q_train_epoch_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return losses.withColumn("loss", F.round("loss", 6))
 
 
+def _permutation_sql(number: str, *key: object) -> str:
+    """One pass of the network over ``number``; ``a`` and ``b`` are columns."""
+    left, right = f"({number} // b)", f"({number} % b)"
+    for k, (factor, offset) in enumerate(round_keys(*key)):
+        if k % 2 == 0:
+            left = f"(({left} + ({right} * {factor} + {offset}) % {PRIME}) % a)"
+        else:
+            right = f"(({right} + ({left} * {factor} + {offset}) % {PRIME}) % b)"
+    return f"{left} * b + {right}"
+
+
+EPOCH_SQL = f"""WITH RECURSIVE grid AS (
+  SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (
+    SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM embeddings)),
+numbered AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, n, a, b FROM embeddings, grid),
+walk AS (
+  SELECT e AS epoch, vec_id, n, a, b,
+         CASE e WHEN 0 THEN {_permutation_sql("i", "epoch", 7, 0)}
+                ELSE {_permutation_sql("i", "epoch", 7, 1)} END AS place
+  FROM numbered, range(2) AS r(e)
+  UNION ALL
+  SELECT epoch, vec_id, n, a, b,
+         CASE epoch WHEN 0 THEN {_permutation_sql("place", "epoch", 7, 0)}
+                    ELSE {_permutation_sql("place", "epoch", 7, 1)} END
+  FROM walk WHERE place >= n)
+SELECT CAST(epoch AS INTEGER) AS epoch, vec_id AS image_id, place // 64 AS batch, place % 64 AS pos
+FROM walk WHERE place < n"""
+
+
+@query("epoch_batches", EPOCH_SQL)
+def q_epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mini-batches of 64 rows in the orders of two epochs."""
+    rows = with_row_id(images(spark, sf_dir).select("image_id"), ["image_id"])
+    n = rows.count()
+    first, second = (
+        epoch_batches(rows, n, 64, epoch, seed=7).withColumn("epoch", F.lit(epoch))
+        for epoch in (0, 1))
+    return first.unionByName(second).select("epoch", "image_id", "batch", "pos")
+
+
 @query("train_mini_batches")
 def q_train_mini_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses of mini-batches of 200 rows; tested against a loop over the same rows."""

@@ -12,7 +12,8 @@ from fanweave.operators.evaluate import (
     split,
     verdicts,
 )
-from fanweave.operators.train import EPSILON, Network, train
+from fanweave.functions.permutation import permuted, permuted_numbers
+from fanweave.operators.train import EPSILON, Network, epoch_batches, train
 
 LABELS = [(0, 5), (1, 6), (2, 7), (3, 8)]
 PREDICTIONS = [(0, 5, 1), (1, 0, 1), (0, 5, 2), (9, 1, 1)]
@@ -105,20 +106,22 @@ def test_gradient_matches_differences():
         assert gradient[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
 
 
-@pytest.mark.parametrize("parts", [1, 8])
-def test_training_is_plain_adam_however_rows_are_partitioned(spark, parts):
+@pytest.mark.parametrize("parts,form", [(1, "jobs"), (8, "jobs"), (8, "barrier")])
+def test_training_is_plain_adam_however_rows_are_partitioned(spark, parts, form):
     """Against a direct loop over the same mini-batches, for sorted and for spread rows."""
     images = clusters(spark, rows=100, parts=parts).sortWithinPartitions("label")
-    key = F.xxhash64(F.lit(4), "image_id")
-    rows = images.withColumn("batch", F.pmod(key, F.lit(4))).collect()
-    neurons, losses = train(images, hidden=5, epochs=2, batch=32, lr=0.01, seed=4, report_every=1)
+    rows = sorted(images.collect(), key=lambda r: r.image_id)
+    neurons, losses = train(
+        images, hidden=5, epochs=2, batch=32, lr=0.01, seed=4, report_every=1, form=form,
+        tasks=3)
     net = Network(6, 5, 4)
     flat, m, v, t = net.initial(4), np.zeros(net.size), np.zeros(net.size), 0
     expected = []
     for epoch in range(2):
-        numbers = sorted({r.batch for r in rows})
-        for step, number in enumerate(np.random.default_rng(4 + epoch).permutation(numbers), 1):
-            here = [r for r in rows if r.batch == number]
+        places = permuted_numbers(np.arange(100), 100, "epoch", 4, epoch)
+        order = np.argsort(places)
+        for step in range(1, 5):
+            here = [rows[i] for i in order[(step - 1) * 32: step * 32]]
             x, y = np.array([r.features for r in here]), np.array([r.label for r in here])
             loss, g = net.loss_and_gradient(flat, x, y)
             expected.append((epoch + 1, step, round(loss, 9)))
@@ -139,6 +142,60 @@ def test_many_tasks_are_summed_in_a_tree(spark, monkeypatch):
     images = clusters(spark, rows=200, parts=6)
     plain, _ = train(images, hidden=3, epochs=1, batch=200)
     monkeypatch.setattr(module, "FAN_IN", 1)
+    monkeypatch.setattr(module, "BLOCK_ROWS", 60)  # a mini-batch of several files
     tree, _ = train(images, hidden=3, epochs=1, batch=200)
     for a, b in zip(plain.orderBy("layer", "neuron").collect(), tree.orderBy("layer", "neuron").collect()):
         np.testing.assert_allclose(a.weights, b.weights, rtol=1e-9)
+
+
+def test_tasks_without_rows_take_part(spark):
+    """An exchange among more tasks than a mini-batch has rows."""
+    images = clusters(spark, rows=9, parts=2)
+    jobs, _ = train(images, hidden=3, epochs=1, batch=3)
+    one, losses = train(images, hidden=3, epochs=1, batch=3, form="barrier", tasks=4, report_every=1)
+    for a, b in zip(*(m.orderBy("layer", "neuron").collect() for m in (jobs, one))):
+        np.testing.assert_allclose(a.weights, b.weights, rtol=1e-9)
+    assert losses.count() == 3
+    with pytest.raises(ValueError):
+        train(images, form="local")
+
+
+def test_an_epoch_is_one_job_between_barriers(spark):
+    """The number of jobs does not depend on the number of steps."""
+    images = clusters(spark, rows=12, parts=2)
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(batch):
+        spark.sparkContext.setJobGroup(f"batch {batch}", "")
+        train(images, hidden=3, epochs=1, batch=batch, form="barrier", tasks=2)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(f"batch {batch}"))
+
+    assert jobs(12) == jobs(3)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 64, 97, 1000, 4097])
+def test_permutation(spark, n):
+    numbers = np.arange(n)
+    for key in (("a", 1), ("a", 2), (3,)):
+        places = permuted_numbers(numbers, n, *key)
+        assert sorted(places.tolist()) == numbers.tolist()
+        got = spark.range(n).select("id", permuted(F.col("id"), n, *key).alias("at")).collect()
+        assert {r.id: r["at"] for r in got} == dict(enumerate(places.tolist()))
+    if n > 50:
+        one, two = (permuted_numbers(numbers, n, k) for k in (1, 2))
+        assert abs(np.corrcoef(one, numbers)[0, 1]) < 0.3 > abs(np.corrcoef(one, two)[0, 1])
+        assert (np.diff(one) == np.diff(one)[0]).mean() < 0.2
+
+
+def test_epochs_have_exact_batches_in_new_orders(spark):
+    rows = spark.range(130).withColumnRenamed("id", "row_id")
+    seen = []
+    for epoch in range(3):
+        got = epoch_batches(rows, 130, 64, epoch, seed=2).collect()
+        sizes = [sum(r.batch == k for r in got) for k in range(3)]
+        assert sizes == [64, 64, 2] and sorted(r.batch * 64 + r.pos for r in got) == list(range(130))
+        seen.append([r.row_id for r in sorted(got, key=lambda r: (r.batch, r.pos))])
+    assert seen[0] != seen[1] != seen[2]
+    again = epoch_batches(rows, 130, 64, 1, seed=2).collect()
+    assert [r.row_id for r in sorted(again, key=lambda r: (r.batch, r.pos))] == seen[1]
