@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fanweave.operators.parsing import parse_messages, tag_messages
 from fanweave.plans import query
 from fanweave.plans.inference import PREDICT_SQL
-from fanweave.plans.messages import DEAD_LETTERS_SQL, FIRST_SQL, N, broken_messages
+from fanweave.plans.messages import ARRIVALS_SQL, DEAD_LETTERS_SQL, FIRST_SQL, N, broken_messages
 from fanweave.plans.tables import (
     FORWARD_SQL,
     MESSAGES_SQL,
@@ -19,6 +19,7 @@ from fanweave.plans.tables import (
 )
 from fanweave.session import new_path
 from fanweave.sources import scan_predictions
+from fanweave.streaming.batches import fan_in_batches, read_fan_in
 from fanweave.streaming.fanin import fan_in_stream
 from fanweave.streaming.io import (
     as_messages,
@@ -94,6 +95,32 @@ def q_stream_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# four fifths of all messages belong to one id; arrivals in the order of the events
+SKEWED_SQL = MESSAGES_SQL.replace(
+    "user_id AS id", "CASE WHEN event_id % 5 < 4 THEN -1 ELSE user_id END AS id").replace(
+    "PARTITION BY user_id ORDER BY ts, event_id",
+    "PARTITION BY CASE WHEN event_id % 5 < 4 THEN -1 ELSE user_id END ORDER BY event_id")
+
+
+@query(
+    "stream_fan_in_arrivals",
+    f"WITH {SKEWED_SQL}, {ARRIVALS_SQL} "
+    "SELECT id, cycle, completed_event, slot, value FROM cycles",
+)
+def q_stream_fan_in_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every n arrivals of an id, on a stream with a hot id."""
+    src = as_partial_outputs(_stream(spark, sf_dir, "events"))
+    hot = F.when(F.col("event_id") % 5 < 4, F.lit(-1).cast("bigint")).otherwise(F.col("id"))
+    df = src.select(hot.alias("id"), "slot", "value", "event_id")
+    path = new_path(spark, "fan-in-batches")
+    run = fan_in_batches(
+        f"{path}-out", f"{path}-state", "id", "slot", "value", "event_id", N, "last", "arrivals")
+    drain(start(df, f"{path}-checkpoint", each_batch=run))
+    return read_fan_in(spark, f"{path}-out", "id", "BIGINT").select(
+        "id", "cycle", F.col("completed_seq").alias("completed_event"),
+        F.posexplode("vector").alias("slot", "value"))
+
+
 @query("stream_predict", PREDICT_SQL)
 def q_stream_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed_predictions(spark, sf_dir, by_messages=False)
