@@ -93,3 +93,42 @@ def test_repeated_ids_count_once_in_a_sample(spark):
     many = q.fit_quality(once.unionByName(extra), labels, F.lit(True), max_unlabelled=100_000)
     one = q.fit_quality(once.unionByName(extra.limit(1)), labels, F.lit(True), max_unlabelled=100_000)
     assert np.allclose(many.weights, one.weights) and many.offset == pytest.approx(one.offset)
+
+
+def test_best_bin_and_calibration_of_known_mixtures():
+    """Two normal clouds in known shares; the negatives' part is known to the test only."""
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.85):
+        p = rng.normal(2.0, 1.0, 6000)
+        is_p = rng.random(9000) < share
+        u = np.where(is_p, rng.normal(2.0, 1.0, 9000), rng.normal(-2.0, 1.0, 9000))
+        assert q.best_bin(p, u) == pytest.approx(share, abs=0.06)
+        slope, shift = q.calibrated(p, u, share)
+        chance = sigmoid(slope * u + shift)
+        for low, high in ((0.05, 0.5), (0.5, 0.95)):
+            here = (chance >= low) & (chance < high)
+            if here.sum() > 100:
+                assert chance[here].mean() == pytest.approx(is_p[here].mean(), abs=0.12)
+
+
+@pytest.mark.parametrize("keep", [0.25, 1.0])
+def test_prior_is_that_of_the_unlabelled_text(spark, keep):
+    """Nine of ten labels are positive; the share in the unlabelled text is another one."""
+    rng = random.Random(8)
+    rows = [r for r in docs(4000, 7) if r[0] < 1000 or r[3] == 0 or rng.random() < keep]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labelled = [r for r in rows if r[0] < 1000 and (r[3] == 1 or rng.random() < 0.25)]
+    labels = spark.createDataFrame([(r[0], r[3]) for r in labelled], "doc_id long, quality int")
+    known = [r[3] for r in labelled]
+    rest = [r[3] for r in rows if r[0] not in {x[0] for x in labelled}]
+    share, biased = sum(rest) / len(rest), sum(known) / len(known)
+    model = q.fit_quality(df, labels, F.lit(True))
+    assert abs(model.prior - share) < 0.1 and (keep == 1.0 or abs(biased - share) > 0.3)
+    hits = [(r.score >= 0.3) == (r.y == 1) for r in q.score_quality(df, model).collect()]
+    assert sum(hits) / len(hits) > 0.97
+    # labelled negatives say nothing
+    positives = q.fit_quality(df, labels, F.lit(True), max_unlabelled=500)
+    turned = labels.filter("quality = 1").unionByName(
+        labels.filter("quality = 0").withColumn("quality", F.lit(None).cast("int")))
+    assert np.allclose(
+        positives.weights, q.fit_quality(df, turned, F.lit(True), max_unlabelled=500).weights)
