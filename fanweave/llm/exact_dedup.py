@@ -128,12 +128,13 @@ def exact_duplicates(
         F.struct("code_points", F.col("doc_id").isNotNull().alias("named"),
                  (-F.col("doc_id")).alias("minus_id"), (-F.col("row_no")).alias("minus_row"))
     ).alias("best")
-    groups = (
+    # written, so that a join with it is of two plain shuffles, which adaptive execution
+    # splits where one recipe has very many copies, or of none if the table is small
+    groups = stage(
         recipes.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best)
         .filter("group_size > 1")
         .select("recipe", "group_size", (-F.col("best.minus_id")).alias("keep_id"),
-                (-F.col("best.minus_row")).alias("keep_row"))
-    )
+                (-F.col("best.minus_row")).alias("keep_row")), "copy-groups")
     alone = F.col("group_size").isNull()
     return recipes.join(groups, "recipe", "left").select(
         "row_no", "doc_id",
