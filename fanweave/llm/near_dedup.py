@@ -56,6 +56,8 @@ PERCENT = 85
 MARGIN = 6.0
 #: classes of a bucket that are compared as one block
 BLOCK = 64
+#: pairs of one central class that one task compares with its set
+PAIRS_PER_PART = 256
 #: sets are fetched through a broadcast of at most so many ids, beyond it by a join
 BROADCAST_IDS = 1_000_000
 
@@ -224,14 +226,34 @@ def _estimated_pairs(classes: DataFrame, pairs: DataFrame, percent: int) -> Data
     return stage(small_batches(both).mapInArrow(_estimated(percent), NEAR_SCHEMA), "near-pairs")
 
 
+def _with_sets(near: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:
+    """``near`` and the full set of the class ``end`` as ``set_<end>``.
+
+    A class with many pairs is cut into parts of about ``PAIRS_PER_PART`` of them; its set goes
+    to each part, so no task meets all pairs of a central class.
+    """
+    loads = near.groupBy(end).agg(F.count(F.lit(1)).alias("pairs"))
+    parts = F.ceil(F.col("pairs") / PAIRS_PER_PART)
+    # a written table: by its size Spark broadcasts it or shuffles
+    many = stage(loads.filter(F.col("pairs") > PAIRS_PER_PART).select(
+        F.col(end).alias("of"), parts.alias("parts")), "central-classes")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(
+        F.pmod(F.xxhash64(other), F.col("parts"))).cast("long")
+    dealt = near.join(many, F.col(end) == F.col("of"), "left").select(
+        *near.columns, part.alias("part"))
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)
+    placed = sets.join(many, F.col("cid") == F.col("of"), "left").select(
+        F.col("cid").alias(end), F.explode(copies).alias("part"),
+        F.col("elements").alias(f"set_{end}"))
+    return dealt.join(placed, [end, "part"]).drop("part")
+
+
 def _links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that full sets confirm."""
-    full = (
-        near.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("set_a")), "a")
-        .join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("set_b")), "b")
-        .select("a", "b", "set_a", "set_b")
-    )
-    return stage(small_batches(full).mapInArrow(_confirmed(percent), "a long, b long"), "links")
+    pairs = _with_sets(near.select("a", "b"), sets, "a", "b")
+    full = _with_sets(pairs, sets, "b", "a")
+    return stage(small_batches(full.select("a", "b", "set_a", "set_b")).mapInArrow(
+        _confirmed(percent), "a long, b long"), "links")
 
 
 def _first_pairs(members: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
