@@ -9,6 +9,8 @@ payload that name it.
 The reader takes the dictionary from the first frame, finds each frame's end from its
 block headers, decodes one record at a time, and checks version, mandatory headers,
 lengths, the closing line ends and the payload digest. Anything wrong is an error.
+``read_archives`` reads what ``write_archives`` wrote, ``read_records`` archives of any writer:
+frames without a content size, header names in any case, repeated headers, and no closing frame.
 
 Payloads are equal when SHA-1 and length are. The response of a group is found by a
 partial aggregate; a group of any size is joined back by an ordinary join that Spark can
@@ -42,6 +44,9 @@ FRAME_MAGIC = 0xFD2FB528
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 CLOSING = struct.pack("<II", 0x184D2A50, 0)
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0", VERSION)
+#: record types that hold something fetched; others are passed over
+FETCHED = ("response", "revisit", "resource")
 MANDATORY = ("WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type")
 
 #: an archive is closed when it has this many compressed bytes
@@ -56,6 +61,10 @@ PAGE_SCHEMA = (
     "page_id long, url string, payload binary, payload_bytes long, payload_digest string, "
     "record_type string, refers_to long"
 )
+RECORD_SCHEMA = (
+    "record_id string, record_type string, url string, date string, refers_to string, "
+    "status int, payload binary, headers map<string, array<string>>"
+)
 
 
 # --- records ---------------------------------------------------------------------------------
@@ -112,51 +121,102 @@ def page_record(page: dict, date: str) -> bytes:
     return record_bytes(headers, http)
 
 
-def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
+class Headers(dict[str, list[str]]):
+    """Values by lower-case name, in order; names count in any case and may repeat."""
+
+    def one(self, name: str) -> str | None:
+        """The first value of a header, None if it is not there."""
+        return (self.get(name.lower()) or [None])[0]
+
+    def need(self, name: str) -> str:
+        value = self.one(name)
+        if value is None:
+            raise ValueError(f"missing header {name}")
+        return value
+
+
+def parse_headers(lines: list[bytes]) -> Headers:
+    """Header lines; a line that begins with white space goes on with the one before."""
+    out, last = Headers(), None
+    for line in lines:
+        text = line.decode("utf-8", "replace")
+        if last is not None and text[:1] in (" ", "\t"):
+            out[last][-1] += " " + text.strip()
+            continue
+        key, colon, value = text.partition(":")
+        last = key.strip().lower()
+        if not colon or not last:
+            raise ValueError(f"bad header line {line[:60]!r}")
+        out.setdefault(last, []).append(value.strip())
+    return out
+
+
+def parse_record(record: bytes) -> tuple[Headers, bytes]:
     """Headers and block; an error if the version, a header or the length is wrong."""
     head, found, rest = record.partition(b"\r\n\r\n")
     if not found:
         raise ValueError("record without an end of its headers")
     version, *lines = head.split(b"\r\n")
-    if version != VERSION:
+    if version not in VERSIONS:
         raise ValueError(f"not a record: {version[:20]!r}")
-    headers = {}
-    for line in lines:
-        key, colon, value = line.decode().partition(": ")
-        if not colon or key in headers:
-            raise ValueError(f"bad header line {line[:60]!r}")
-        headers[key] = value
-    missing = [k for k in MANDATORY if k not in headers]
-    if missing:
-        raise ValueError(f"missing headers {missing}")
-    if not headers["Content-Length"].isdigit():
+    headers = parse_headers(lines)
+    for name in MANDATORY:
+        if len(headers.get(name.lower(), [])) != 1:
+            raise ValueError(f"header {name} is not there once")
+    if not re.fullmatch("[0-9]+", headers.need("Content-Length")):
         raise ValueError("bad Content-Length")
-    length = int(headers["Content-Length"])
+    length = int(headers.need("Content-Length"))
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise ValueError("the block has another length than its header says")
     return headers, rest[:length]
 
 
-def parse_page(headers: dict[str, str], block: bytes) -> tuple:
+def parse_page(headers: Headers, block: bytes) -> tuple:
     """A row of ``PAGE_SCHEMA``; checks digest and lengths."""
     http, found, payload = block.partition(b"\r\n\r\n")
     declared = re.search(rb"\r\nContent-Length: (\d+)(\r\n|$)", http)
-    size = int(headers["X-Payload-Length"])
+    size = int(headers.need("X-Payload-Length"))
     if not found or not declared or int(declared[1]) != size:
         raise ValueError("bad response head")
-    digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-    kind, refers = headers["WARC-Type"], None
+    digest = headers.need("WARC-Payload-Digest").removeprefix("sha1:")
+    kind, refers = headers.need("WARC-Type"), None
     if kind == "response":
         if len(payload) != size or digest_of(payload) != digest:
             raise ValueError("payload and digest differ")
     elif kind == "revisit" and not payload:
-        payload, refers = None, _page_of(headers["WARC-Refers-To"])
+        payload, refers = None, _page_of(headers.need("WARC-Refers-To"))
     else:
         raise ValueError(f"unexpected record type {kind}")
-    return (_page_of(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), payload, size,
+    return (_page_of(headers.need("WARC-Record-ID")), headers.one("WARC-Target-URI"), payload, size,
             digest, kind, refers)
 
 
+def parse_any(headers: Headers, block: bytes) -> tuple:
+    """A row of ``RECORD_SCHEMA``. The digest of a whole block is checked, that of a payload where
+    the payload stands in the block as it is."""
+    kind = headers.need("WARC-Type")
+    _check_digest(headers.one("WARC-Block-Digest"), block)
+    status, payload = None, block
+    if (headers.one("Content-Type") or "").lower().startswith("application/http"):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        first, *lines = head.split(b"\r\n")
+        found = re.match(rb"HTTP/\S+ (\d{3})", first)
+        status = int(found[1]) if found else None
+        coding = parse_headers(lines).one("Transfer-Encoding")
+        if kind == "response" and coding is None:
+            _check_digest(headers.one("WARC-Payload-Digest"), payload)
+    return (headers.need("WARC-Record-ID"), kind, headers.one("WARC-Target-URI"),
+            headers.need("WARC-Date"), headers.one("WARC-Refers-To"), status,
+            None if kind == "revisit" else payload, dict(headers))
+
+
+def _check_digest(named: str | None, data: bytes) -> None:
+    """An error if the digest is a SHA-1 in base32 and another one; other digests are not checked."""
+    if named and named.lower().startswith("sha1:") and len(named) == 37:
+        if digest_of(data) != named[5:].upper():
+            raise ValueError("data and digest differ")
+
+
 # --- frames ----------------------------------------------------------------------------------
 
 
@@ -184,8 +244,12 @@ def frame_end(view: memoryview, at: int) -> int:
     return end
 
 
-def archive_records(content: bytes) -> Iterator[bytes]:
-    """The records of an archive, one frame after another."""
+def archive_records(content: bytes, sealed: bool = True) -> Iterator[bytes]:
+    """The records of an archive, one frame after another.
+
+    ``sealed``: the archive ends with this module's closing frame, so that a cut shows even
+    between two frames.
+    """
     view = memoryview(content)
     if len(view) < 16 or struct.unpack_from("<I", view)[0] != DICTIONARY_MAGIC:
         raise ValueError("no dictionary frame")
@@ -196,7 +260,7 @@ def archive_records(content: bytes) -> Iterator[bytes]:
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
     closed = False
     while at < len(view):
-        if at + 8 > len(view) or closed:
+        if at + 8 > len(view) or (closed and sealed):
             raise ValueError("truncated archive or data after its end")
         magic, size = struct.unpack_from("<II", view, at)
         if magic in SKIPPABLE:
@@ -207,11 +271,12 @@ def archive_records(content: bytes) -> Iterator[bytes]:
             raise ValueError(f"no frame at {at}")
         end = frame_end(view, at)
         try:
-            yield reader.decompress(view[at:end])
+            # a streaming compressor writes frames without their content's size
+            yield reader.decompressobj().decompress(view[at:end])
         except zstandard.ZstdError as bad:
             raise ValueError(f"bad frame at {at}") from bad
         at = end
-    if not closed:
+    if at != len(view) or (sealed and not closed):
         raise ValueError("the archive is cut off")
 
 
@@ -326,7 +391,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 rows, size = [], 0
                 for record in archive_records(content):
                     headers, block = parse_record(record)
-                    if headers["WARC-Type"] == "warcinfo":
+                    if headers.one("WARC-Type") == "warcinfo":
                         continue
                     row = parse_page(headers, block)
                     rows.append(row if payloads else (*row[:2], None, *row[3:]))
@@ -338,3 +403,38 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     yield batch_of(rows)
 
     return read_shards(spark, path).select("content").mapInArrow(read, PAGE_SCHEMA)
+
+
+def read_records(spark: SparkSession, path: str, pattern: str = "*.warc.zst") -> DataFrame:
+    """The responses, revisits and resources of the archives of any writer.
+
+    Files are read whole, one at a time in a task. ``payload`` is null for revisits, ``headers`` has
+    all values of every header by its lower-case name.
+    """
+    kinds = [pa.string()] * 5 + [pa.int32(), pa.binary(), pa.map_(pa.string(), pa.list_(pa.string()))]
+    names = [part.split()[0] for part in RECORD_SCHEMA.split(", ") if " " in part][:7] + ["headers"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [list(c) for c in zip(*rows)]
+        columns[7] = [list(h.items()) for h in columns[7]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                rows, size = [], 0
+                for record in archive_records(content, sealed=False):
+                    headers, block = parse_record(record)
+                    if headers.need("WARC-Type") not in FETCHED:
+                        continue
+                    rows.append(parse_any(headers, block))
+                    size += len(record)
+                    if size > 16 << 20:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.filter("length > 0").select("content").mapInArrow(read, RECORD_SCHEMA)

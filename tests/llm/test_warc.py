@@ -96,3 +96,67 @@ def test_empty_table(spark):
     path = new_path(spark, "archives")
     warc.write_archives(spark.createDataFrame([], SCHEMA), path)
     assert warc.read_archives(spark, path).collect() == []
+
+
+def foreign(records, dictionary=b"WARC-Type: response WARC-Date: 2024 Content-Length: " * 20):
+    """An archive as a streaming compressor writes it: no content sizes, no closing frame."""
+    out = [warc.dictionary_frame(dictionary)]
+    packer = zstandard.ZstdCompressor(
+        dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False)
+    for record in records:
+        stream = packer.compressobj()
+        out.append(stream.compress(record) + stream.flush())
+    return b"".join(out)
+
+
+def record(kind, block, *more, version=b"WARC/1.0"):
+    lines = [version, b"warc-type:" + kind, b"WARC-RECORD-ID: <urn:x>", b"Warc-Date:  2020-01-01T00:00:00Z",
+             b"content-length:%d" % len(block), *more]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    body, kind = "<p>ü</p>".encode(), b"Content-Type: application/http; msgtype=response"
+    digest = b"WARC-Payload-Digest: sha1:" + warc.digest_of(body).encode()
+    twice = b"WARC-Concurrent-To: <urn:a>", b"warc-concurrent-to: <urn:b>"
+    records = [
+        record(b"warcinfo", b"x: y"), record(b"request", b"GET / HTTP/1.1\r\n\r\n"),
+        record(b"response", http + body, kind, digest, b"WARC-Target-URI: http://a/", *twice),
+        record(b"metadata", b""), record(b"resource", b"plain", b"WARC-Target-URI:http://b/"),
+        record(b"revisit", http, kind, b"WARC-Refers-To: <urn:x>", version=b"WARC/1.1"),
+        record(b"response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n1\r\na", kind, digest),
+        record(b"response", b"", kind),
+    ]
+    good = foreign(records)
+    assert zstandard.frame_content_size(good[good.index(b"\x28\xb5\x2f\xfd"):][:18]) == -1
+    assert list(warc.archive_records(good, sealed=False)) == records
+    (tmp_path / "a.warc.zst").write_bytes(good)
+    (tmp_path / "b.txt").write_bytes(b"other file")
+    got = warc.read_records(spark, str(tmp_path)).collect()
+    assert [(r.record_type, r.url, r.status, r.payload and bytes(r.payload)) for r in got] == [
+        ("response", "http://a/", 200, body), ("resource", "http://b/", None, b"plain"),
+        ("revisit", None, 200, None), ("response", None, 200, b"1\r\na"),
+        ("response", None, None, b"")]
+    assert got[0].headers["warc-concurrent-to"] == ["<urn:a>", "<urn:b>"]
+    assert got[2].refers_to == "<urn:x>" and got[0].date == "2020-01-01T00:00:00Z"
+    # own archives are archives, too
+    assert len(list(warc.archive_records(archive(spark), sealed=False))) == 6
+
+
+def test_damage_in_archives_of_other_writers():
+    body = b"HTTP/1.1 200 OK\r\n\r\nabc"
+    kind = b"Content-Type: application/http"
+    wrong = record(b"response", body, kind, b"WARC-Payload-Digest: sha1:" + b"A" * 32)
+    with pytest.raises(ValueError, match="digest"):
+        warc.parse_any(*warc.parse_record(wrong))
+    good = foreign([record(b"response", body, kind)] * 3)
+    for cut in (1, 5, 40):
+        with pytest.raises(ValueError):
+            list(warc.archive_records(good[:-cut], sealed=False))
+    for bad in (record(b"response", body, b"Content-Length: 3"), record(b"response", body, b"no colon"),
+                record(b"response", body).replace(b"content-length:", b"content-length:+")):
+        with pytest.raises(ValueError):
+            warc.parse_record(bad)
+    folded = warc.parse_headers([b"A: one", b"  two", b"a:three"])
+    assert folded == {"a": ["one two", "three"]}
