@@ -10,8 +10,6 @@ from fanweave.session import stage
 
 #: ``monotonically_increasing_id`` keeps the partition above this bit
 PARTITION_BIT = 33
-#: about 100 bytes each
-BROADCAST_BLOCKS = 500_000
 
 
 def _partition(mark: str) -> Column:
@@ -52,13 +50,34 @@ def _starts(counts: DataFrame, order: list[str]) -> DataFrame:
     return counts.withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
 
 
+def _block_starts(counts: DataFrame, block: list[str]) -> DataFrame:
+    """``block``, ``_start`` and ``_first``: the rows before each block, in two levels.
+
+    Blocks are range-partitioned. A block starts where its part does, plus the blocks before it in
+    the part; only the totals, one row a part, are summed in one task.
+    """
+    parts = stage(
+        counts.repartitionByRange(*block).withColumn("_part", F.spark_partition_id()), "blocks")
+    totals = parts.groupBy("_part").agg(F.sum("count").alias("count"))
+    bases = _starts(totals, ["_part"]).select("_part", F.col("_start").alias("_base"))
+    before = W.partitionBy("_part").orderBy(*block).rowsBetween(W.unboundedPreceding, -1)
+    in_part = F.coalesce(F.sum("count").over(before), F.lit(0))
+    return parts.join(bases, "_part").select(
+        *block, (F.col("_base") + in_part).alias("_start"), "_first")
+
+
+def _attach_starts(placed: DataFrame, starts: DataFrame, block: list[str]) -> DataFrame:
+    """Rows with the start of their block. A block has one row of about 150 bytes, whatever its
+    size in the file, so the broadcast is a millionth of a scan in blocks of 128 MB."""
+    return placed.join(F.broadcast(starts), block, "left")
+
+
 def with_file_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
     """Number the rows of a file scan by position, files in path order.
 
     Rows are counted per file block in one narrow pass; a row's id is the start
     of its block plus its place in the block. The starts, one row per block, are
-    broadcast up to ``BROADCAST_BLOCKS`` of them, so no row moves; beyond that rows are
-    joined with their block. If the second scan splits the files in another way than the
+    broadcast, so no row moves. If the second scan splits the files in another way than the
     first, the job fails instead of giving wrong ids.
     """
     block = ["_file", "_block"]
@@ -71,14 +90,12 @@ def with_file_row_id(scan: DataFrame, name: str = "row_id") -> DataFrame:
     counts = placed.groupBy(*block).agg(
         F.count(F.lit(1)).alias("count"), F.min("_mark").alias("_first")
     )
-    starts = stage(_starts(counts, block).select(*block, "_start", "_first"), "block-starts")
-    if starts.count() <= BROADCAST_BLOCKS:
-        starts = F.broadcast(starts)
+    starts = stage(_block_starts(counts, block), "block-starts")
     same_split = F.col("_first").isNotNull() & (_partition("_mark") == _partition("_first"))
     row_id = F.when(
         same_split, F.col("_start") + F.col("_mark") - F.col("_first")
     ).otherwise(F.raise_error(F.lit("file splits changed between two scans")).cast("long"))
-    return placed.join(starts, block, "left").select(row_id.alias(name), *scan.columns)
+    return _attach_starts(placed, starts, block).select(row_id.alias(name), *scan.columns)
 
 
 def limit_rows(df: DataFrame, n: int, order_by: str = "image_id") -> DataFrame:

@@ -18,6 +18,7 @@ from fanweave.plans.tables import (
     table,
 )
 from fanweave.session import new_path
+from fanweave.sinks import compact_upserts, read_upserts, upsert_predictions
 from fanweave.sources import scan_predictions
 from fanweave.streaming.batches import fan_in_batches, read_fan_in
 from fanweave.streaming.fanin import fan_in_stream
@@ -28,6 +29,7 @@ from fanweave.streaming.io import (
     read_messages,
     route_dead_letters,
     start,
+    write_messages,
 )
 from fanweave.streaming.predict import predict_stream, predictions_by_messages
 
@@ -157,3 +159,51 @@ def _streamed_predictions(spark: SparkSession, sf_dir: str, by_messages: bool) -
         )
     )
     return scan_predictions(spark, f"{path}-out")
+
+
+@query("stream_restart", f"WITH {MESSAGES_SQL} SELECT event_id, id, slot, value FROM m")
+def q_stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that ends, gets more input, and goes on from its checkpoint: each row once."""
+    events = table(spark, sf_dir, "events")
+    path = new_path(spark, "restart")
+    for part in (0, 1):
+        # more files in the source's folder, and the same query again
+        events.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{path}-in")
+        src = read_messages(
+            spark, path=f"{path}-in", format="parquet", schema=events.schema, rate=1)
+        out = as_partial_outputs(src).select("event_id", "id", "slot", "value")
+        drain(start(out, f"{path}-checkpoint", path=f"{path}-out"))
+    return spark.read.schema(out.schema).parquet(f"{path}-out")
+
+
+@query(
+    "stream_addressed",
+    f"WITH {MESSAGES_SQL} SELECT CAST(event_id AS VARCHAR) AS key, CAST(value AS VARCHAR) AS value, "
+    "slot AS partition FROM (SELECT event_id, slot, CAST(id AS BIGINT) AS value FROM m)",
+)
+def q_stream_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages written to the partition of their slot, and read back from there."""
+    df = as_partial_outputs(table(spark, sf_dir, "events"))
+    path = new_path(spark, "addressed")
+    write_messages(
+        df.select(F.col("event_id").alias("key"), F.col("id").alias("value"), "slot"),
+        path=path, partition_by="slot")
+    return spark.read.schema("key STRING, value STRING, partition INT").json(path)
+
+
+@query(
+    "upsert_last_write",
+    f"""WITH {MESSAGES_SQL}
+    SELECT id AS image_id, arg_max(slot, event_id % 3 * 1000000000 + event_id) AS prediction
+    FROM m GROUP BY id""",
+)
+def q_upsert_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three chunks of predictions, one of them twice, merged and compacted."""
+    df = as_partial_outputs(table(spark, sf_dir, "events")).select(
+        F.col("id").alias("image_id"), F.col("slot").alias("prediction"), "event_id")
+    path = new_path(spark, "upserts")
+    for number in (0, 1, 1, 2):
+        chunk = df.filter(F.col("event_id") % 3 == number)
+        upsert_predictions(chunk, number, path, "event_id")
+    compact_upserts(spark, path, f"{path}-compact")
+    return read_upserts(spark, f"{path}-compact")

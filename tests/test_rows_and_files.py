@@ -139,6 +139,25 @@ def test_a_scan_moves_no_rows(spark, tmp_path):
     assert "SortMergeJoin" not in plan
 
 
+def test_a_million_blocks_move_no_rows(spark):
+    """The same plan for any number of blocks, and starts that are right for all of them."""
+    from fanweave.operators.rows import _attach_starts, _block_starts
+
+    block = ["_file", "_block"]
+    counts = spark.range(1_000_000).select(
+        F.concat(F.lit("file "), F.lpad((F.col("id") / 100).cast("int").cast("string"), 6, "0")).alias("_file"),
+        (F.col("id") % 100).alias("_block"), (F.col("id") % 7).alias("count"),
+        F.lit(0).cast("bigint").alias("_first"))
+    starts = stage(_block_starts(counts, block), "starts")
+    number = F.substring("_file", 6, 6).cast("bigint") * 100 + F.col("_block")
+    whole, rest = F.call_function("div", number, F.lit(7)), number % 7
+    wrong = starts.filter(F.col("_start") != whole * 21 + F.call_function("div", rest * (rest - 1), F.lit(2)))
+    assert starts.count() == 1_000_000 and wrong.isEmpty()
+    rows = spark.range(5).select(F.lit("file 000001").alias("_file"), F.col("id").alias("_block"))
+    plan = _attach_starts(rows, starts, block)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMerge" not in plan
+
+
 def test_first_rows_are_found_on_the_id_alone(spark):
     rows = [(k % 40, [float(k)]) for k in range(200)]
     df = spark.createDataFrame(rows, "image_id BIGINT, features ARRAY<DOUBLE>").repartition(3)
