@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from fanweave.llm.labels import clear_labels, hash_sample, platt, sampled_texts, sigmoid
 from fanweave.llm.rows import small_batches
+from fanweave.llm.words import text_slices
 from fanweave.session import stage
 
 MAX_TOXIC = 6_000
@@ -48,6 +49,8 @@ STEM_LETTERS = (4, 5, 6, 7, 8)
 EXCEPTION_DOCS = 3
 POWERS = (0.125, 0.25, 0.5, 1.0)
 FLAG = 0.3
+#: bytes of texts whose contexts a task holds at once
+FITTED_BYTES = 1 << 17
 
 # fixed values: letters that look like Latin ones
 CYRILLIC = dict(zip("авекмнорстухісјѕԁԛԝ", "abekmhopctyxicjsdqw"))
@@ -212,18 +215,20 @@ def _fitting_rows(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = model.matcher()
         for batch in batches:
-            rows = []
-            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
-                line = folded(text or "")
-                found = matches(auto, line)
-                near = sorted({c for s in found for c in _contexts(line, s)})
-                rows.append((y, sum(found.values()), line.count(" ") - 1, near))
-            y, total, words, near = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(y, pa.int32()), pa.array(total, pa.float64()),
-                 pa.array(words, pa.int64()), pa.array(near, pa.list_(pa.string()))],
-                ["y", "total", "words", "near"],
-            )
+            # where most words match, the contexts are many times the texts
+            for begin, end in text_slices(batch.column("text"), FITTED_BYTES):
+                part, rows = batch.slice(begin, end - begin), []
+                for y, text in zip(part.column("y").to_pylist(), part.column("text").to_pylist()):
+                    line = folded(text or "")
+                    found = matches(auto, line)
+                    near = sorted({c for s in found for c in _contexts(line, s)})
+                    rows.append((y, sum(found.values()), line.count(" ") - 1, near))
+                y, total, words, near = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(y, pa.int32()), pa.array(total, pa.float64()),
+                     pa.array(words, pa.int64()), pa.array(near, pa.list_(pa.string()))],
+                    ["y", "total", "words", "near"],
+                )
 
     return run
 
