@@ -22,6 +22,7 @@ from fanweave.sinks import compact_upserts, read_upserts, upsert_predictions
 from fanweave.sources import scan_predictions
 from fanweave.streaming.batches import fan_in_batches, read_fan_in
 from fanweave.streaming.fanin import fan_in_stream
+from fanweave.streaming.groups import RowGroups
 from fanweave.streaming.io import (
     as_messages,
     drain,
@@ -31,7 +32,7 @@ from fanweave.streaming.io import (
     start,
     write_messages,
 )
-from fanweave.streaming.predict import predict_stream, predictions_by_messages
+from fanweave.streaming.predict import predict_stream, predict_to_files, predictions_by_messages
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -207,3 +208,49 @@ def q_upsert_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
         upsert_predictions(chunk, number, path, "event_id")
     compact_upserts(spark, path, f"{path}-compact")
     return read_upserts(spark, f"{path}-compact")
+
+
+@query(
+    "stream_micro_batches",
+    """SELECT event_id,
+    CAST((row_number() OVER (ORDER BY event_id % 3, event_id) - 1) // 500 AS BIGINT) AS batch_no
+    FROM events""",
+)
+def q_stream_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of exactly 500 messages but the last, from a stream that is restarted in the
+    middle of a batch."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    path = new_path(spark, "micro-batches")
+    groups = RowGroups(f"{path}-out", f"{path}-state", 500, ["event_id"])
+    for part in range(3):
+        events.filter(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{path}-in")
+        src = read_messages(
+            spark, path=f"{path}-in", format="parquet", schema=events.schema)
+        drain(start(src, f"{path}-checkpoint", each_batch=groups))
+    groups.close(spark, events.schema)
+    return groups.read(spark, "event_id BIGINT, event_type STRING").select(
+        "event_id", F.col("group").alias("batch_no"))
+
+
+@query(
+    "stream_prediction_files",
+    f"""WITH {FORWARD_SQL}
+    SELECT image_id, prediction,
+    CAST((row_number() OVER (ORDER BY image_id % 3, image_id) - 1) // 120 AS BIGINT) AS file_no
+    FROM formula""",
+)
+def q_stream_prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of 120 predictions, filled across the micro-batches of a restarted stream."""
+    vectors = as_images(table(spark, sf_dir, "embeddings")).select("image_id", "features")
+    neurons = formula_neurons(spark)
+    path = new_path(spark, "prediction-files")
+    for part in range(3):
+        vectors.filter(F.col("image_id") % 3 == part).write.mode("append").parquet(f"{path}-in")
+        src = read_messages(spark, path=f"{path}-in", format="parquet", schema=vectors.schema)
+        run, files = predict_to_files(
+            src, neurons, f"{path}-out", f"{path}-state", f"{path}-checkpoint",
+            rows_per_file=120, wait_s=float("inf"))
+        drain(run)
+    files.close(spark, "image_id BIGINT, prediction INT")
+    return files.read(spark, "image_id BIGINT, prediction INT").select(
+        "image_id", "prediction", F.col("group").alias("file_no"))

@@ -11,6 +11,7 @@ from fanweave.functions.vectors import argmax
 from fanweave.operators.forward import BROADCAST_LIMIT, fits_broadcast, neuron_sums, predict
 from fanweave.sinks.predictions import ROWS_PER_FILE
 from fanweave.streaming.fanin import fan_in_stream
+from fanweave.streaming.groups import RowGroups, with_ticks
 from fanweave.streaming.io import start
 
 
@@ -96,3 +97,26 @@ def predict_stream(
         out, checkpoint, path=folder, format="csv", trigger=trigger,
         options={"header": "true", "maxRecordsPerFile": str(rows_per_file)},
     )
+
+
+#: a file of predictions waits no longer for further rows
+WAIT_S = 180.0
+
+
+def predict_to_files(
+    src: DataFrame, neurons: DataFrame, folder: str, state: str, checkpoint: str,
+    id: str = "image_id", trigger: str | None = None, rows_per_file: int = ROWS_PER_FILE,
+    wait_s: float = WAIT_S,
+) -> tuple[StreamingQuery, RowGroups]:
+    """CSV files of exactly ``rows_per_file`` predictions, filled across micro-batches.
+
+    A file is closed earlier when its first row has waited for ``wait_s`` seconds; with a ``trigger`` also
+    if no vector comes any more. ``RowGroups.close`` writes the last one of a stopped stream.
+    """
+    files = RowGroups(
+        folder, state, rows_per_file, [id], wait_s, format="csv", options={"header": "true"})
+    out = predictions_of(src, neurons, id)
+    out = out.select(id, "prediction")
+    query = start(
+        with_ticks(out) if trigger else out, checkpoint, each_batch=files, trigger=trigger)
+    return query, files
