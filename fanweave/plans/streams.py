@@ -19,6 +19,7 @@ from fanweave.plans.tables import (
 )
 from fanweave.session import new_path
 from fanweave.sinks import compact_upserts, read_upserts, upsert_predictions
+from fanweave.sinks.upserts import create_upserts
 from fanweave.sources import scan_predictions
 from fanweave.streaming.batches import fan_in_batches, read_fan_in
 from fanweave.streaming.fanin import fan_in_stream
@@ -254,3 +255,20 @@ def q_stream_prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.close(spark, "image_id BIGINT, prediction INT")
     return files.read(spark, "image_id BIGINT, prediction INT").select(
         "image_id", "prediction", F.col("group").alias("file_no"))
+
+
+@query(
+    "upsert_buckets",
+    f"""WITH {MESSAGES_SQL}
+    SELECT id AS image_id, arg_max(slot, event_id % 3 * 1000000000 + event_id) AS prediction
+    FROM m GROUP BY id""",
+)
+def q_upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three chunks, one of them twice, in buckets; buckets are compacted in between."""
+    df = as_partial_outputs(table(spark, sf_dir, "events")).select(
+        F.col("id").alias("image_id"), F.col("slot").alias("prediction"), "event_id")
+    upserts = create_upserts(spark, new_path(spark, "upsert-buckets"), buckets=16)
+    for number in (0, 1, 1, 2):
+        upserts.upsert(df.filter(F.col("event_id") % 3 == number), number, "event_id")
+        upserts.compact(spark, commits=2)
+    return upserts.read(spark)
