@@ -54,18 +54,47 @@ def test_few_and_huge(spark):
 
 def test_segments_partition_the_postings():
     v = np.array([[0, 5, -9.0], [1, -1, 64]])
-    levels = segments(v)
-    assert [a for a, _ in levels] == sorted({a for a, _ in levels}, reverse=True)
-    assert (sum(m for _, m in levels) == v).all()
+    index = segments(v)
+    assert sorted(x for s in index for x in s.values) == sorted(v[v != 0])
+    highest = [int(np.frexp(np.abs(s.values))[1].max()) for s in index]
+    assert highest == sorted(set(highest), reverse=True)
+    whole = np.zeros_like(v)
+    for s in index:
+        whole[:, s.used()] += s.matrix(2)
+        assert np.allclose(s.left, np.sqrt(((v - whole) ** 2).sum(1)))
+    assert (whole == v).all()
 
 
-def test_search_stops_early_and_stays_exact():
+@pytest.mark.parametrize("floored", [False, True])
+def test_search_stops_early_and_stays_exact(floored):
     rng = np.random.default_rng(3)
     v = np.floor(rng.normal(size=(4000, 64)) * 8)
     ids = np.arange(4000)
     q = np.floor(v[:30] + rng.normal(size=(30, 64)))
-    for n, (place, score) in enumerate(search_block(q, ids[:30], v, ids, 10)):
-        exact = v @ q[n]
-        exact[n] = -np.inf
-        want = np.lexsort((ids, -exact))[:10]
-        assert (place == want).all() and (score == exact[want]).all()
+    scores = v @ q.T
+    scores[np.arange(30), np.arange(30)] = -np.inf
+    floors = np.sort(scores[:1000], axis=0)[-10] if floored else None
+    index = segments(v)
+    hits, work = search_block(q, ids[:30], index, ids, 10, floors)
+    assert work <= 0.9 * 30 * len(index)  # segments are left out
+    for n, (place, score) in enumerate(hits):
+        want = np.lexsort((ids, -scores[:, n]))[:10]
+        assert (place == want).all() and (score == scores[want, n]).all()
+
+
+def test_segments_are_left_out_on_the_given_vectors(spark):
+    """Also a threshold of another block, which leaves out hits below it and no others."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    v = np.floor(64 * np.stack(rows["embedding"]).astype(np.float64))
+    ids = rows["vec_id"].to_numpy()
+    asked = v[ids % 20 == 0]
+    own = ids[ids % 20 == 0]
+    first, second = v[:1000], v[1000:]
+    scores = np.where(own[:, None] == ids[None, :1000], -np.inf, asked @ first.T)
+    floors = np.sort(scores, axis=1)[:, -20]
+    index = segments(second)
+    alone, work = search_block(asked, own, index, ids[1000:], 20)
+    found, less = search_block(asked, own, index, ids[1000:], 20, floors)
+    assert max(less, work) <= 0.9 * len(own) * len(index)
+    for (place, score), (at, few), bar in zip(alone, found, floors):
+        assert list(place[score >= bar]) == list(at) and list(score[score >= bar]) == list(few)
