@@ -123,3 +123,36 @@ def q_layer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("layer_"), F.col("label") + 5).alias("layer_name")
     )
     return order_layers(names)
+
+
+@query(
+    "model_document",
+    """WITH v AS (SELECT vec_id % 100 AS layer, label, embedding FROM embeddings),
+    c AS (SELECT layer, label, i - 1 AS input,
+                 floor(CAST(embedding[i] AS DOUBLE) * 1024) / 1024 AS x
+          FROM v, range(1, 65) AS r(i)),
+    s AS (SELECT layer, label, input, sum(x) AS weight, count(*) AS n FROM c GROUP BY ALL)
+    SELECT CAST(layer AS INTEGER) AS layer,
+           CAST(dense_rank() OVER (PARTITION BY layer ORDER BY label) - 1 AS INTEGER) AS neuron,
+           CAST(input AS INTEGER) AS input, weight, CAST(n AS DOUBLE) AS bias
+    FROM s""",
+)
+def q_model_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of 100 layers, with a neuron per label, written and scanned layer by layer."""
+    named = images(spark, sf_dir).withColumn("layer", (F.col("image_id") % 100).cast("int"))
+    sums = named.select("layer", "label", F.posexplode("features").alias("input", "x")).groupBy(
+        "layer", "label", "input").agg(F.sum("x").alias("w"), F.count(F.lit(1)).alias("n"))
+    neurons = sums.groupBy("layer", "label").agg(
+        F.sort_array(F.collect_list(F.struct("input", "w"))).alias("cells"),
+        F.max("n").cast("double").alias("bias"))
+    held = F.sort_array(F.collect_list(F.struct("label", F.col("cells.w").alias("w"), "bias")))
+    layers = neurons.groupBy("layer").agg(held.alias("held")).select(
+        "layer", F.col("held.w").alias("weights"), F.col("held.bias").alias("biases"),
+        F.lit("relu").alias("activation"))
+    path = new_path(spark, "model-document")
+    save_layer_document(layers, path, version="v1")
+    rows = scan_model(spark, path).select(
+        "layer", F.posexplode(F.arrays_zip("weights", "biases")).alias("neuron", "unit"))
+    return rows.select(
+        "layer", "neuron", F.posexplode("unit.weights").alias("input", "weight"),
+        F.col("unit.biases").alias("bias"))

@@ -1,7 +1,9 @@
 """Model documents and model tables on disk.
 
-A model document is one JSON object, so one task reads it; its size is bounded
-by the model. Large models live in the parquet table of :func:`save_model`.
+A model document is one JSON object with an entry per layer. It is read as text that is cut
+before every layer's name, so a row holds one layer, and a large document is split between tasks
+like a file of lines. Writing collects a document in one task; large models are better
+written as the parquet table of :func:`save_model`.
 """
 
 from __future__ import annotations
@@ -12,10 +14,27 @@ from pyspark.sql import functions as F
 from fanweave import schemas
 
 
+#: what the name of a layer begins with, its quotation mark included
+LAYER_MARK = '"layer_'
+
+
 def _document_layers(spark: SparkSession, path: str, layout: str) -> DataFrame:
-    entries = spark.read.text(path, wholetext=True).select(
-        F.explode(F.from_json("value", "MAP<STRING, STRING>")).alias("layer_name", "body")
-    )
+    """One row per layer of the documents below ``path``.
+
+    A piece is the rest of a layer's name, its body, and entries up to the next layer. Text
+    before the first layer is skipped. Where the mark stands in another place than in
+    front of a name, the job fails instead of giving half a layer.
+    """
+    pieces = spark.read.option("lineSep", LAYER_MARK).text(path)
+    is_layer = F.col("value").rlike(r'^[^"\\]*"\s*:')
+    # a comma parts the entry from the next layer; the last piece has the document's end
+    entry = F.concat(F.lit("{" + LAYER_MARK), F.regexp_replace("value", r",\s*\z", "}"))
+    broken = F.raise_error(F.lit("not a document of layers")).cast("string")
+    is_head = F.ltrim("value").startswith("{") | (F.trim("value") == "")
+    whole = F.when(is_layer, entry).when(is_head, F.lit(None)).otherwise(broken)
+    entries = pieces.select(whole.alias("entry")).select(
+        F.explode(F.from_json("entry", "MAP<STRING, STRING>", {"mode": "FAILFAST"})).alias(
+            "layer_name", "body"))
     return entries.filter(F.col("layer_name").startswith("layer_")).select(
         "layer_name",
         F.regexp_extract("layer_name", r"(\d+)$", 1).cast("int").alias("layer"),

@@ -1,3 +1,7 @@
+import json
+
+import pytest
+
 from fanweave import schemas
 from fanweave.operators.models import (
     assign_activations,
@@ -109,3 +113,33 @@ def test_layers_are_ordered_by_number(spark):
     df = spark.createDataFrame([("layer_10",), ("layer_2",), ("layer_2",)], "layer_name STRING")
     got = sorted((r.position, r.layer_name, r.is_final) for r in order_layers(df).collect())
     assert got == [(0, "layer_2", False), (1, "layer_10", True)]
+
+
+def test_a_document_is_cut_at_its_layers(spark, tmp_path):
+    body = {"weights": [[0.5, -1.0]] * 20, "biases": [0.25] * 20, "activation": "relu"}
+    document = {"version": "v1", **{f"layer_{k}": body for k in range(100)}, "note": "the end"}
+    (tmp_path / "a.json").write_text(json.dumps(document, indent=1) + "\n")
+    (tmp_path / "b.json").write_text('{"layer_100" : ' + json.dumps(body) + "}")
+    (tmp_path / "c.json").write_text("{}")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4k")
+    try:
+        layers = scan_model(spark, str(tmp_path))
+        assert layers.rdd.getNumPartitions() > 4  # a document is split between tasks
+        rows = layers.collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(r.layer for r in rows) == list(range(101))
+    assert all(r.weights == body["weights"] and r.biases == body["biases"] for r in rows)
+
+
+@pytest.mark.parametrize("text", [
+    '{"layer_0": {"weights": [[1.0]], "biases": [1.0], "activation": "layer_x"}}',
+    '{"version": "a \\"layer_0\\": 1", "layer_1": {}}',
+    '{"layer_0": {"weights": [[1.0]], "biases": [1.0',
+])
+def test_half_a_layer_is_an_error(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="(?i)document of layers|malformed"):
+        scan_model(spark, str(tmp_path / "a.json")).collect()
