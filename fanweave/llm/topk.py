@@ -237,7 +237,9 @@ def _pack(
 ) -> DataFrame:
     """The rows dealt by a hash into ``blocks`` blocks; one row, with its ``key``, a block."""
     key = F.pmod(F.xxhash64("no"), F.lit(blocks)).alias("key")
-    dealt = rows.select("id", "no", "floor", "v", key).repartition("key").sortWithinPartitions("key")
+    # the order inside a block is fixed, so that a task which runs again makes the same block
+    dealt = rows.select("id", "no", "floor", "v", key).repartition("key").sortWithinPartitions(
+        "key", "no")
     names = [*_names(parts), "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
