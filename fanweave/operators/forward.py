@@ -402,6 +402,19 @@ def predict(
     return _forward(images, neurons, form, unknown, limit, scored=True)
 
 
+def tag_vectors(images: DataFrame, neurons: DataFrame, name: str = "reason") -> DataFrame:
+    """Every row with the reason why the forward pass would fail on it, null if it would not.
+
+    A job need not end for one bad row: predict the rows without a reason and keep the others.
+    """
+    width = _layer_plan(neurons)[0]["width"]
+    size = F.size("features")
+    wrong = F.concat(
+        F.lit("vector lengths differ: "), size.cast("string"), F.lit(f" and {width}"))
+    reason = F.when(F.col("features").isNull(), "no vector").when(size != width, wrong)
+    return images.withColumn(name, reason)
+
+
 def argmax_rows(df: DataFrame, id: str, slot: str = "slot", value: str = "value") -> DataFrame:
     """Argmax over ``(id, slot, value)`` rows: lowest slot on a tie, first NaN if any."""
     best = F.max(F.struct(F.col(value).alias("v"), (-F.col(slot)).alias("s")))

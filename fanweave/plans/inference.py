@@ -13,6 +13,7 @@ from fanweave.operators.forward import (
     logits,
     neuron_sums,
     predict,
+    tag_vectors,
 )
 from fanweave.plans import query
 from fanweave.plans.tables import (
@@ -161,3 +162,28 @@ def q_logits_unbroadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled.unionByName(labelled.filter("image_id % 10 = 0"))
     return exploded(
         logits(rows, formula_neurons(spark), limit=5000), "image_id", "label")
+
+
+@query(
+    "predict_dead_letters",
+    f"""WITH {FORWARD_SQL}
+    SELECT image_id,
+           CASE WHEN image_id % 7 <> 0 AND image_id % 5 <> 0 THEN prediction END AS prediction,
+           CASE WHEN image_id % 7 = 0 THEN 'no vector'
+                WHEN image_id % 10 = 0 THEN 'vector lengths differ: 65 and 64'
+                WHEN image_id % 5 = 0 THEN 'vector lengths differ: 60 and 64' END AS reason
+    FROM formula""",
+)
+def q_predict_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are null, short or long go aside with a reason; the others are predicted."""
+    v, i = F.col("features"), F.col("image_id")
+    broken = (
+        F.when(i % 7 == 0, F.lit(None)).when(i % 10 == 0, F.array_append(v, F.lit(0.0)))
+        .when(i % 5 == 0, F.slice(v, 1, 60)).otherwise(v))
+    neurons = formula_neurons(spark)
+    tagged = tag_vectors(_vectors(spark, sf_dir).withColumn("features", broken), neurons)
+    good = predict(tagged.filter("reason is null").drop("reason"), neurons)
+    bad = tagged.filter("reason is not null").select(
+        "image_id", F.lit(None).cast("int").alias("prediction"), "reason")
+    return good.select(
+        "image_id", "prediction", F.lit(None).cast("string").alias("reason")).unionByName(bad)

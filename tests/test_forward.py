@@ -13,6 +13,7 @@ from fanweave.operators.forward import (
     neuron_sums,
     predict,
     route,
+    tag_vectors,
 )
 
 RNG = np.random.default_rng(3)
@@ -209,3 +210,18 @@ def test_workers_let_blocks_go(spark):
 
     assert spark.range(10).mapInArrow(run, "id bigint").count() == 10
     assert _loaded(shared) == (1, 2) and shared.value == (1, 2)
+
+
+def test_bad_vectors_are_tagged_where_the_forward_pass_would_fail(spark):
+    rows = [(0, None), (1, []), (2, [1.0] * 6), (3, [1.0] * 7), (4, [1.0] * 8), (5, [None] * 7)]
+    df = spark.createDataFrame(rows, "image_id BIGINT, features ARRAY<DOUBLE>")
+    tagged = tag_vectors(df, network(spark))
+    reasons = {r.image_id: r.reason for r in tagged.collect()}
+    assert reasons == {
+        0: "no vector", 1: "vector lengths differ: 0 and 7", 2: "vector lengths differ: 6 and 7",
+        3: None, 4: "vector lengths differ: 8 and 7", 5: None}
+    good = tagged.filter("reason is null").drop("reason")
+    assert predict(good, network(spark)).count() == 2
+    for bad in (0, 1, 2, 4):
+        with pytest.raises(Exception):
+            predict(df.filter(F.col("image_id") == bad), network(spark)).collect()
