@@ -15,6 +15,9 @@ nodes. A node adds its multiplicity times the correction of it and each of its a
 however many terms go through it. Corrections of trees add up, so it does not matter
 which paths meet in a task. A tree is held as arrays: a node is the row and depth where it is new.
 
+Terms are counted on the bytes of a few MB of texts at a time, as arrays; such partial counts
+add up. A task holds neither a dictionary of terms nor a batch of ten thousand texts.
+
 Nothing is collected per language or source: the widest row is one term's counts, at most one
 per source, as is each row of the result. Sizes of groups are joined, not broadcast by hand.
 
@@ -29,8 +32,6 @@ not looked at.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,57 +40,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fanweave.llm.words import slices
+from fanweave.llm.rows import small_batches
+from fanweave.llm.words import slices, text_bytes, text_slices
 from fanweave.session import stage
 
-#: fixed values: a term is a run of A-Z, a-z and characters from U+0080 on
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: fixed values: a term is a run of A-Z, a-z and characters from U+0080 on, of whose bytes none is below 0x80
+_IN_TERM = np.zeros(256, dtype=bool)
+_IN_TERM[ord("A"): ord("Z") + 1] = _IN_TERM[ord("a"): ord("z") + 1] = _IN_TERM[0x80:] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"): ord("Z") + 1] = _LOWER[ord("a"): ord("z") + 1]
 LEAST_DOCUMENTS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
-#: terms in a task's tables before they are sent on
-FLUSH = 250_000
+#: bytes of texts or paths that a task looks at together, and rows of counts that it sends on at once
+BYTES = 4 << 20
+SENT_ROWS = 20_000
 #: pairs of a node and an ancestor that are computed at once
 PAIRS = 1 << 18
 
 
-class _Counters:
-    """Occurrences and documents of the terms of one group, of a bounded number of rows."""
-
-    def __init__(self) -> None:
-        self.times: Counter[bytes] = Counter()
-        self.docs: Counter[bytes] = Counter()
-
-    def batch(self, lang: str, source: str) -> pa.RecordBatch:
-        terms = list(self.times)
-        size = len(terms)
-        return pa.record_batch(
-            [pa.repeat(lang, size), pa.repeat(source, size), pa.array(terms, pa.binary()).cast("string"),
-             pa.array(np.fromiter(self.times.values(), np.int64, size)),
-             pa.array(np.fromiter(map(self.docs.__getitem__, terms), np.int64, size))],
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches as one of about ``BYTES``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms in order, A-Z as a-z, and the number of each one's text."""
+    raw, starts = text_bytes(texts)
+    inside = _IN_TERM[raw]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    # a text ends a term
+    cut = starts[(starts > 0) & (starts < len(raw))]
+    first[cut] = inside[cut]
+    begins = np.flatnonzero(first)
+    ends = np.append(np.flatnonzero(first[inside]), inside.sum()).astype(np.int32)
+    terms = pa.Array.from_buffers(
+        pa.binary(), len(begins),
+        [None, pa.py_buffer(ends), pa.py_buffer(_LOWER[raw[inside]])])
+    return terms, np.searchsorted(starts, begins, side="right") - 1
+
+
+def _counted(docs: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``(lang, source, term, times, docs)`` of the documents of a batch."""
+    lang, source = (docs.column(c).dictionary_encode() for c in ("lang", "source"))
+    sources = len(source.dictionary)
+    group = lang.indices.to_numpy().astype(np.int64) * sources + source.indices.to_numpy()
+    terms, row = _terms(docs.column("text"))
+    terms = terms.dictionary_encode()
+    known = terms.dictionary.cast("string")
+    if not len(known):
+        return
+    # the distinct terms of every document, then of every group
+    pair, times = np.unique(row * len(known) + terms.indices.to_numpy(), return_counts=True)
+    row, code = np.divmod(pair, len(known))
+    key = group[row] * len(known) + code
+    order = np.argsort(key, kind="stable")
+    key, times = key[order], times[order]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    times, in_docs = np.add.reduceat(times, at), np.diff(np.append(at, len(key)))
+    group, code = np.divmod(key[at], len(known))
+    for lo in range(0, len(at), SENT_ROWS):
+        part = slice(lo, lo + SENT_ROWS)
+        yield pa.record_batch(
+            [lang.dictionary.take(pa.array(group[part] // sources)),
+             source.dictionary.take(pa.array(group[part] % sources)),
+             known.take(pa.array(code[part])), pa.array(times[part]), pa.array(in_docs[part])],
             names=["lang", "source", "term", "times", "docs"])
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(lang, source, term, times, docs)``, partial counts of bounded tables."""
-    table: dict[tuple[str, str], _Counters] = {}
-    held = 0
-    for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("lang", "source", "text"))
-        for lang, source, text in zip(*columns):
-            # of bytes, only A-Z have a lower case
-            terms = TERM.findall(text.encode().lower())
-            group = table.setdefault((lang, source), _Counters())
-            held -= len(group.times)
-            group.times.update(terms)
-            group.docs.update(set(terms))
-            held += len(group.times)
-            if held >= FLUSH:
-                for key, group in table.items():
-                    yield group.batch(*key)
-                table, held = {}, 0
-    for key, group in table.items():
-        yield group.batch(*key)
+    """``(lang, source, term, times, docs)``, partial counts of about ``BYTES`` of texts."""
+    for docs in _gathered(batches):
+        for lo, hi in text_slices(docs.column("text"), BYTES):
+            yield from _counted(docs.slice(lo, hi - lo))
 
 
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -154,7 +185,7 @@ def tree_nodes(
 
 def _corrections(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(lang, a, b, more)`` of the sorted rows ``(lang, path, terms)`` of a batch; a before b."""
-    for batch in batches:
+    for batch in _gathered(batches):
         if not batch.num_rows:
             continue
         path = batch.column("path")
@@ -224,7 +255,8 @@ def divergence(
     def filled(name: str, out: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(out)
 
-    read = docs.select(filled(lang, "lang"), filled(source, "source"), filled(text, "text"))
+    read = small_batches(
+        docs.select(filled(lang, "lang"), filled(source, "source"), filled(text, "text")))
     counts = stage(term_counts(read, least_docs), "counts")
     per_term = counts.groupBy("lang", "term").agg(F.sum("times").alias("all_times"))
     # tables of languages and sources are written, so that their size decides how they are joined

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fanweave.llm.divergence import _corrections, divergence, tree_nodes
+from fanweave.llm.divergence import BYTES, _corrections, _counts, divergence, tree_nodes
 
 SCHEMA = "doc_id bigint, text string, lang string, source string"
 
@@ -110,3 +111,41 @@ def test_tree_corrections_equal_the_plain_sum(rows):
         number.reshape(-1), starts, np.array([n for _, n in sorted(paths.items())]))
     assert len(node) == len(nodes)
     assert {tuple(flat[k - d: k + 1]): n for k, d, n in zip(*map(list, (node, depth, times)))} == nodes
+
+
+TEXTS = ["The the  é É straße a1b", "", "x", " 12 ", "日本x Y", "İſ K\x00k", "zZ", "[`{\x7f", "é", "a" * 40]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(TEXTS), st.sampled_from(["en", ""]), st.sampled_from("ab")),
+                max_size=12), st.integers(1, 4))
+def test_partial_counts_add_up_to_the_plain_counts(rows, size):
+    batches = [pa.RecordBatch.from_pylist(
+        [dict(zip(("text", "lang", "source"), r)) for r in rows[k: k + size]])
+        for k in range(0, len(rows), size)]
+    times, docs, plain, in_docs = Counter(), Counter(), Counter(), Counter()
+    for batch in _counts(iter(batches)):
+        for r in batch.to_pylist():
+            times[r["lang"], r["source"], r["term"]] += r["times"]
+            docs[r["lang"], r["source"], r["term"]] += r["docs"]
+    for text, lang, source in rows:
+        terms = re.findall(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.encode().lower())
+        plain.update((lang, source, t.decode()) for t in terms)
+        in_docs.update((lang, source, t.decode()) for t in set(terms))
+    assert times == plain and docs == in_docs
+
+
+def test_a_task_holds_few_texts_and_no_table_of_terms(spark):
+    """Many different terms are counted in bounded memory, and sent on in small batches."""
+    batches = [pa.RecordBatch.from_pylist(
+        [{"text": " ".join(f"{chr(97 + i % 26)}é{'xyz'[j % 3]}{chr(256 + k * 100 + j)}" for j in range(100)),
+          "lang": "en", "source": "s"} for i in range(1000)]) for k in range(120)]
+    assert sum(b.nbytes for b in batches) > 16 * BYTES
+    tracemalloc.start()
+    most = max(b.num_rows for b in _counts(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= 20_000 and peak < 100 << 20
+    # texts do not come ten thousand at a time
+    divergence(spark.createDataFrame([(1, "a", "en", "s")], SCHEMA))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
