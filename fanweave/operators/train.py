@@ -8,6 +8,9 @@ not depend on how the rows are partitioned, but for rounding:
 * ``jobs``: the epoch's rows are written in blocks of mini-batches, about ``BLOCK_ROWS`` rows each,
   so their number follows the rows and not the mini-batches. A step is a job over one
   mini-batch: tasks sum packed gradients, the sums are added in a tree, the driver updates.
+  Steps follow one another, so a step that one task computes faster than Spark starts a job
+  (``CHAIN_WORK``) is not worth a job: then a job is the chain of all steps of a block of about
+  ``CHAIN_ROWS`` rows, and hands the state on to the next block's.
 * ``barrier``: the epoch is one job. A shuffle gives every task its share of the rows in the order
   of the epoch, and a barrier stage runs all tasks side by side. In a step they exchange their
   sums and each makes the same update. Spark looks for the end of an exchange once a second, so
@@ -20,12 +23,13 @@ A task holds one Arrow batch of rows and the network, whatever the table's size.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
 from pyspark import BarrierTaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from fanweave import schemas
@@ -40,6 +44,10 @@ FAN_IN = 32
 PACKED = "gradient binary, loss double, rows long"
 #: rows of a written block of mini-batches; a larger mini-batch is a block of several files
 BLOCK_ROWS = 65_536
+#: rows of a block whose steps are a chain
+CHAIN_ROWS = 16_384
+#: rows of a mini-batch times weights up to which steps are chained; a core takes about 0.2 s for so many
+CHAIN_WORK = 1 << 26
 FORMS = ("jobs", "barrier")
 STATE = "weights binary, first binary, second binary, losses array<double>"
 
@@ -177,14 +185,14 @@ def _gradient(batch: DataFrame, net: Network, flat: np.ndarray) -> tuple[np.ndar
     return gradient / rows, sum(r["loss"] for r in found) / rows
 
 
-def _in_blocks(dealt: DataFrame, size: int) -> tuple[str, int]:
+def _in_blocks(dealt: DataFrame, size: int, block_rows: int) -> tuple[str, int]:
     """Write an epoch's rows by block; the folder, and the mini-batches of a block."""
-    per_block = max(1, BLOCK_ROWS // size)
-    files = max(1, size // BLOCK_ROWS)
+    per_block = max(1, block_rows // size)
+    files = max(1, size // block_rows)
     path = new_path(dealt.sparkSession, "mini-batches")
     blocks = dealt.select(
-        "features", "label", "batch", F.call_function("div", F.col("batch"), F.lit(per_block)).alias(
-            "block"), F.pmod("pos", F.lit(files)).alias("_file"))
+        "features", "label", "batch", "pos", F.call_function("div", F.col("batch"), F.lit(
+            per_block)).alias("block"), F.pmod("pos", F.lit(files)).alias("_file"))
     blocks.repartition("block", "_file").drop("_file").write.partitionBy("block").parquet(path)
     return path, per_block
 
@@ -192,18 +200,26 @@ def _in_blocks(dealt: DataFrame, size: int) -> tuple[str, int]:
 def _epoch_in_jobs(
     dealt: DataFrame, net: Network, state: _State, size: int, steps: int, lr: float
 ) -> tuple[_State, list[float]]:
-    path, per_block = _in_blocks(dealt, size)
-    read = dealt.sparkSession.read.schema("features ARRAY<DOUBLE>, label INT, batch BIGINT")
+    chained = size <= CHAIN_ROWS and size * net.size <= CHAIN_WORK
+    path, per_block = _in_blocks(dealt, size, CHAIN_ROWS if chained else BLOCK_ROWS)
+    read = dealt.sparkSession.read.schema(
+        "features ARRAY<DOUBLE>, label INT, batch BIGINT, pos BIGINT")
     losses = []
+    if chained:
+        for begin in range(0, steps, per_block):
+            block = read.parquet(f"{path}/block={begin // per_block}")
+            state, found = _chain(block, net, state, begin, min(begin + per_block, steps), lr)
+            losses += found
+        return state, losses
     for step in range(steps):
         rows = read.parquet(f"{path}/block={step // per_block}").filter(F.col("batch") == step)
-        g, loss = _gradient(rows.drop("batch"), net, state.flat)
+        g, loss = _gradient(rows.drop("batch", "pos"), net, state.flat)
         state.update(g, lr)
         losses.append(loss)
     return state, losses
 
 
-# --- a job an epoch --------------------------------------------------------------------------
+# --- many steps in a task ---------------------------------------------------------------------
 
 
 class _Rows:
@@ -233,6 +249,55 @@ class _Rows:
             self.at = 0
 
 
+def _steps(
+    batches: Iterator[pa.RecordBatch], net: Network, state: _State, numbers: range, lr: float,
+    total: Callable[[np.ndarray], np.ndarray],
+) -> pa.RecordBatch:
+    """The state after the steps over a task's rows, and their losses; ``total`` adds what
+    other tasks have of a mini-batch."""
+    # a task that runs again in the same process must find the broadcast state as it was
+    held, own, losses = copy(state), _Rows(batches, net.width), []
+    for step in numbers:
+        # gradient, loss and number of rows in one array
+        sums = np.zeros(net.size + 2)
+        for x, y in own.parts(step):
+            loss, mean = net.loss_and_gradient(held.flat, x, y)
+            sums[:-2] += mean * len(y)
+            sums[-2:] += loss * len(y), len(y)
+        sums = total(sums)
+        held.update(sums[:-2] / sums[-1], lr)
+        losses.append(float(sums[-2] / sums[-1]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x.tobytes()], pa.binary()) for x in (held.flat, held.first, held.second)]
+        + [pa.array([losses], pa.list_(pa.float64()))],
+        names=["weights", "first", "second", "losses"])
+
+
+def _after(found: Row, t: int) -> tuple[_State, list[float]]:
+    after = _State(np.frombuffer(found["weights"]).copy())
+    after.first, after.second = (np.frombuffer(found[c]).copy() for c in ("first", "second"))
+    after.t = t
+    return after, list(found["losses"])
+
+
+def _chain(
+    block: DataFrame, net: Network, state: _State, begin: int, end: int, lr: float
+) -> tuple[_State, list[float]]:
+    """The steps ``begin`` to ``end`` over a block's rows: the state after them, and their losses."""
+    shared = block.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _steps(batches, net, shared.value, range(begin, end), lr, lambda sums: sums)
+
+    ordered = block.coalesce(1).sortWithinPartitions("batch", "pos")
+    (found,) = ordered.select("batch", "features", "label").mapInArrow(run, STATE).collect()
+    shared.unpersist()
+    return _after(found, state.t + end - begin)
+
+
+# --- a job an epoch --------------------------------------------------------------------------
+
+
 def _exchange(context: BarrierTaskContext, sums: np.ndarray | None) -> np.ndarray:
     """The element-wise total of the sums of all tasks; tasks without rows send nothing."""
     message = "" if sums is None else base64.b64encode(sums.tobytes()).decode()
@@ -252,31 +317,15 @@ def _epoch_in_one_job(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = BarrierTaskContext.get()
-        held, own, losses = shared.value, _Rows(batches, net.width), []
-        for step in range(steps):
-            # gradient, loss and number of rows in one array
-            sums = np.zeros(net.size + 2)
-            for x, y in own.parts(step):
-                loss, mean = net.loss_and_gradient(held.flat, x, y)
-                sums[:-2] += mean * len(y)
-                sums[-2:] += loss * len(y), len(y)
-            total = _exchange(context, sums if sums[-1] else None)
-            held.update(total[:-2] / total[-1], lr)
-            losses.append(float(total[-2] / total[-1]))
+        after = _steps(batches, net, shared.value, range(steps), lr,
+                       lambda sums: _exchange(context, sums if sums[-1] else None))
         if context.partitionId() == 0:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x.tobytes()], pa.binary())
-                 for x in (held.flat, held.first, held.second)]
-                + [pa.array([losses], pa.list_(pa.float64()))],
-                names=["weights", "first", "second", "losses"])
+            yield after
 
     dealt = rows.repartition(tasks, "batch", "pos").sortWithinPartitions("batch", "pos")
     (found,) = dealt.select("batch", "features", "label").mapInArrow(run, STATE, barrier=True).collect()
     shared.unpersist()
-    after = _State(np.frombuffer(found["weights"]).copy())
-    after.first, after.second = (np.frombuffer(found[c]).copy() for c in ("first", "second"))
-    after.t = state.t + steps
-    return after, list(found["losses"])
+    return _after(found, state.t + steps)
 
 
 def train(

@@ -174,6 +174,34 @@ def test_an_epoch_is_one_job_between_barriers(spark):
     assert jobs(12) == jobs(3)
 
 
+def test_small_steps_share_a_job(spark, monkeypatch):
+    """The number of jobs follows the blocks of rows, not the steps, with the same result."""
+    from fanweave.operators import train as module
+
+    images = clusters(spark, rows=101, parts=3)
+    tracker = spark.sparkContext.statusTracker()
+
+    def trained(name, batch, **limits):
+        for limit, value in limits.items():
+            monkeypatch.setattr(module, limit, value)
+        spark.sparkContext.setJobGroup(name, "")
+        neurons, losses = train(images, hidden=3, epochs=2, batch=batch, lr=0.01, report_every=1)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs = len(tracker.getJobIdsForGroup(name))
+        return jobs, neurons.orderBy("layer", "neuron").collect(), losses.orderBy("epoch", "step").collect()
+
+    many, few = trained("steps of 4", 4), trained("steps of 50", 50)
+    assert len(many[2]) == 2 * 26 and len(few[2]) == 2 * 3 and many[0] == few[0]
+    for name, limits in (("a job a step", {"CHAIN_WORK": 0}), ("blocks", {"CHAIN_WORK": 1 << 26, "CHAIN_ROWS": 30})):
+        jobs, neurons, losses = trained(name, 4, **limits)
+        assert jobs > many[0]
+        for a, b in zip(many[1], neurons):
+            np.testing.assert_allclose(a.weights, b.weights, rtol=1e-9)
+            assert a.bias == pytest.approx(b.bias, rel=1e-9)
+        assert [r[:2] for r in many[2]] == [r[:2] for r in losses]
+        np.testing.assert_allclose([r.loss for r in many[2]], [r.loss for r in losses], rtol=1e-9)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 64, 97, 1000, 4097])
 def test_permutation(spark, n):
     numbers = np.arange(n)
