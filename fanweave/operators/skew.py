@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fanweave.session import stage
 
-#: a key with at least this many rows is treated as hot
-HOT_ROWS = 5_000_000
+#: a key with at least this many rows is treated as hot; others are sorted in one task, at about 200 bytes a row
+HOT_ROWS = 500_000
 #: tables of at most so many keys are broadcast; larger ones are joined ordinarily
 BROADCAST_KEYS = 1_000_000
 

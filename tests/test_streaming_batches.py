@@ -6,6 +6,7 @@ import models
 import pytest
 from pyspark.sql import functions as F
 
+from fanweave.operators.skew import hot_keys
 from fanweave.session import new_path
 from fanweave.streaming.batches import fan_in_batches, read_fan_in
 
@@ -81,3 +82,10 @@ def test_a_hot_id_is_cut_into_ranges_of_arrivals(spark):
         assert len(sizes) > 2 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
     finally:
         spark.conf.unset(name)
+
+
+def test_an_id_that_would_fill_a_task_is_hot(spark):
+    """An id of a million messages is no single sort of one task; one of a thousand is."""
+    rows = spark.range(1_001_000).select(F.when(F.col("id") < 1_000, 1).otherwise(-1).alias("_id"))
+    found = hot_keys(rows, "_id")
+    assert found is not None and [r["_id"] for r in found.collect()] == [-1]
