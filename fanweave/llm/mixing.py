@@ -18,7 +18,9 @@ of the domains, so a few numbers describe the step of every document:
 ``step_i = p_i . pull / ridge + (w_i - 1)``. A rate at its bound whose gradient pushes on stays there.
 
 A round is two narrow passes: one sums the Hessian and finds the norm of the projected gradient, one
-tries a few lengths at once and sums expected tokens and loss. No rate is stored between rounds: a
+tries a few lengths at once and sums the expected tokens and by how much the loss changes. No length
+makes progress where rates just above their bounds are in the way of the preconditioned step; a third
+pass then tries a plain one. No rate is stored between rounds: a
 task replays the rounds, each of two vectors and a length. Nothing is shuffled but the sums of a
 task. The search ends when the projected gradient is below ``TOLERANCE`` for every
 document, which proves that no other rates are better; there is no limit of rounds.
@@ -63,8 +65,7 @@ MAX_LABELLED = 12_000
 RIDGE = 1e-3
 #: of the projected gradient of every document at the end
 TOLERANCE = 1e-8
-#: lengths of a step that one pass tries; the curvature changes by a factor of
-#: 1 + 1 / RIDGE at most, so one of them makes progress
+#: lengths of a preconditioned step that one pass tries
 LENGTHS = 0.5 ** np.arange(12)
 
 
@@ -258,18 +259,26 @@ def _summed(facts: DataFrame, width: int, of_batch) -> tuple[np.ndarray, float]:
 
 
 def _trial_sums(
-    facts: DataFrame, steps: list[Step], step: Step | None, lengths: np.ndarray, ridge: float
+    facts: DataFrame, steps: list[Step], step: Step, lengths: np.ndarray, ridge: float
 ) -> np.ndarray:
-    """For each length of ``step``: the expected tokens, and the sum of ``t (w - 1)^2``."""
+    """For each length of ``step``: the expected tokens, their change, and what the loss changes
+    by apart from the square of that change.
+
+    The loss of a large table is rounded to more than what a few documents that still move change
+    it by, so the documents' changes are summed, not the losses subtracted.
+    """
     size = len(DOMAINS)
 
     def of_batch(p: np.ndarray, t: np.ndarray, least) -> tuple[np.ndarray, float]:
         w = rates(p, steps, ridge, least)
-        tried = w[None, :] if step is None else _moved(p, w, step, lengths, ridge, least)
-        return np.hstack([(tried * t) @ p, ((tried - 1.0) ** 2 @ t)[:, None]]).reshape(-1), 0.0
+        tried = _moved(p, w, step, lengths, ridge, least)
+        change = tried - w
+        slope = p @ step.residual + ridge * (w - 1.0)
+        own = (change * (slope + ridge / 2 * change)) @ t
+        return np.hstack([(tried * t) @ p, (change * t) @ p, own[:, None]]).reshape(-1), 0.0
 
-    sums, _ = _summed(facts, len(lengths) * (size + 1), of_batch)
-    return sums.reshape(len(lengths), size + 1)
+    sums, _ = _summed(facts, len(lengths) * (2 * size + 1), of_batch)
+    return sums.reshape(len(lengths), 2 * size + 1)
 
 
 def _free_sums(
@@ -302,8 +311,9 @@ def solve_rates(
     """
     size = len(DOMAINS)
     steps: list[Step] = []
-    at = _trial_sums(facts, steps, None, np.ones(1), ridge)[0]
-    present = at[:size]
+    still = Step(np.zeros(size), np.zeros(size), 0.0)
+    at = _trial_sums(facts, steps, still, np.zeros(1), ridge)[0][:size]
+    present = at
     share = np.array([targets.get(d, 0.0) for d in DOMAINS])
     exists = present > 1e-9 * max(present.sum(), 1.0)
     wanted = np.where(exists, share * (present[2] + present[3]), 0.0)
@@ -313,29 +323,37 @@ def solve_rates(
     # measured in the roots of the domains' tokens, so that rare domains count
     root = np.sqrt(scale)
 
-    def relative(sums: np.ndarray) -> np.ndarray:
-        return np.where(exists, (sums[:size] - wanted) / scale, 0.0)
+    def gain(sums: np.ndarray) -> float:
+        """How much less the loss is, from the changes that were summed."""
+        moved = np.where(exists, sums[size: 2 * size], 0.0)
+        return -float((moved * moved / scale).sum() / 2 + sums[-1]) / present.sum()
 
-    def loss(sums: np.ndarray) -> float:
-        r = relative(sums)
-        return float((scale * r * r).sum() + ridge * sums[size]) / 2 / present.sum()
+    def tried(step: Step, lengths: np.ndarray) -> tuple[float, np.ndarray]:
+        """The gain and the expected tokens of the best length, which the step gets."""
+        sums = _trial_sums(facts, steps, step, lengths, ridge)
+        best = int(np.argmax([gain(x) for x in sums]))
+        step.length = float(lengths[best])
+        return gain(sums[best]), sums[best, :size]
 
     while True:
-        r = relative(at)
+        r = np.where(exists, (at - wanted) / scale, 0.0)
         free, slope, norm = _free_sums(facts, steps, r, ridge)
         if norm <= TOLERANCE:
-            return steps, wanted, at[:size]
+            return steps, wanted, at
         # the Hessian over the free rates is inverted through this small matrix
         inner = np.eye(size) * ridge + free / np.outer(root, root)
         inverse = np.where(exists, np.linalg.solve(inner, slope / root) / root, 0.0)
         step = Step(r, r - inverse, 1.0)
-        sums = _trial_sums(facts, steps, step, LENGTHS, ridge)
-        best = int(np.argmin([loss(x) for x in sums]))
-        if loss(sums[best]) >= loss(at):
+        better, sums = tried(step, LENGTHS)
+        if better <= 0:
+            # rates just above their bounds are in the way of all these lengths, not of a plain
+            # step: no curvature is above 1 + ridge, so it always makes progress
+            step = Step(r, r, 1.0)
+            better, sums = tried(step, np.array([ridge / (1.0 + ridge)]))
+        if better <= 0:
             raise RuntimeError(f"rates are off by {norm:.1e} and do not improve")
-        step.length = float(LENGTHS[best])
         steps.append(step)
-        at = sums[best]
+        at = sums
 
 
 def copies(rate: Column, key: Column) -> Column:

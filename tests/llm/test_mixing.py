@@ -231,3 +231,17 @@ def test_no_clean_document_goes_on_a_large_table(spark):
         documents.select(F.col("doc_id").alias("id")), "id", "left_semi").collect()}
     mixed = corpus_pipeline.mixing_stage(spark, documents, folder)
     assert clean and clean <= {r.doc_id for r in mixed.select("doc_id").distinct().collect()}
+
+
+@pytest.mark.parametrize("seed", [28, 37, 1656, 1990])
+def test_the_search_ends_whatever_part_of_the_tokens_moves(spark, seed):
+    """Half of the documents have next to no tokens, as one document of a large table has."""
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet([2.5, 0.4, 6, 0.8], 60)
+    t = np.where(rng.random(60) < 0.5, 1.0, 1e10)
+    steps, wanted, reached = m.solve_rates(facts_of(spark, p, t), m.TARGETS)
+    w = m.rates(p, steps)
+    residual = (reached - wanted) / (t @ p)
+    # the condition of the optimum, which is the only one
+    assert np.abs(w - np.maximum(0, 1 - p @ residual / m.RIDGE)).max() < 1e-4
+    assert np.allclose(reached, (w * t) @ p)
